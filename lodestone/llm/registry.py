@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, rules, sharding
+from lodestone.llm import licenses, mixing, pages, rules, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), power=0.5, block_rows=32)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op6_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -34,6 +46,9 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_token_counts": op2_token_counts,
+        "op5_extract_html": op5_extract_html,
+        "op6_scan_licenses": op6_scan_licenses,
         "op7_quality_rules": op7_quality_rules,
         "op9_shard": op9_shard,
     }
