@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import licenses, mixing, pages, rules, sharding, tokens
+from lodestone.llm import jaccard, licenses, mixing, pages, rules, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_token_counts": op2_token_counts,
+        "op3_jaccard_join": op3_jaccard_join,
         "op5_extract_html": op5_extract_html,
         "op6_scan_licenses": op6_scan_licenses,
         "op7_quality_rules": op7_quality_rules,
