@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import jaccard, licenses, mixing, pages, rules, sharding, tokens
+from lodestone.llm import classifier, decontaminate, jaccard, licenses, mixing, pages, rules, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = classifier.score(docs, classifier.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+    return out.select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_size(_table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,7 +65,9 @@ def queries() -> dict[str, Query]:
         "op5_extract_html": op5_extract_html,
         "op6_scan_licenses": op6_scan_licenses,
         "op7_quality_rules": op7_quality_rules,
+        "op8_decontaminate": op8_decontaminate,
         "op9_shard": op9_shard,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
