@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import classifier, decontaminate, jaccard, licenses, mixing, pages, rules, sharding, tokens
+from lodestone.llm import classifier, decontaminate, jaccard, licenses, mixing, pages, rules, sharding, suffixes, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), length=100).drop("spans")
+
+
 def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op1_mix_sources": op1_mix_sources,
         "op2_token_counts": op2_token_counts,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_extract_html": op5_extract_html,
         "op6_scan_licenses": op6_scan_licenses,
         "op7_quality_rules": op7_quality_rules,
