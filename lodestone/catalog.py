@@ -1,15 +1,23 @@
-"""Queries over the reference's operators, each with its SQL twin."""
+"""Queries over the engine's operators, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.queries import base, graphs, retrieval, texts
 
-def oracle_sql():
-    return {}
+MODULES = (texts, retrieval, graphs)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q.build for name, q in base.REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: q.sql for name, q in base.REGISTRY.items() if q.sql}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.REGISTRY["chunk_documents"].build(spark, sf_dir)
