@@ -8,7 +8,7 @@ adjacent suffixes on their first ``length`` bytes.
 
 A suffix array of the whole corpus would move tens of times its size through
 the shuffles. So positions are first brought together by content: every
-window of ``length`` bytes is filed under its anchor, the 16-byte gram of
+window of ``length`` bytes is filed under its anchor, the 32-byte gram of
 smallest hash in it. Equal windows have equal anchors, and neighbouring
 windows mostly share theirs, so a file holds segments (runs of windows) and
 there are few anchors a text. Anchors that occur once are done; of equal
@@ -16,7 +16,9 @@ segments all but the first go whole; only the different segments of an anchor
 need suffix arrays. They are sorted anchor by anchor, in chunks of bounded
 size. Anchors with more segments than a chunk holds are settled window by
 window, by 128-bit hashes in an ordinary aggregation, which no hot anchor can
-overload. Nothing is sampled or dropped.
+overload. Before the sort, a segment goes whose text around the anchor, on the
+side that its windows need, no other segment of the anchor shares. Nothing is
+sampled or dropped.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.text_arrow import slices
 from lodestone.plans.staging import stage, unstage
 
-GRAM = 16
+GRAM = 32
+#: Bytes of text hashed at a time (numpy arrays of eight times that stay in the cache).
+HASH_BYTES = 1 << 18
 #: Bytes of segments that one suffix array is built over, and the segments of an anchor up to which it is used.
 CHUNK_BYTES, MOST_SEGMENTS = 1 << 20, 4096
 
@@ -121,15 +125,15 @@ def runs(offsets: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(offsets[np.append(0, cut + 1)].tolist(), (offsets[np.append(cut, len(offsets) - 1)] + length).tolist(), strict=True))
 
 
-def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first window, last window, hash of the anchor's gram.
+def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: first window, last window, place of the anchor, hash of its gram.
 
     ``data``: some texts one after another, ending at ``ends``. The anchor of
     a window is the leftmost of its grams with the smallest hash.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     h, size = _TABLE[data], 1
     while size < GRAM:
         a, b = h[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size), h[size:]
@@ -147,11 +151,11 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     limit = np.repeat(ends, ends - begins)[: len(pos)]
     s = np.flatnonzero(np.arange(len(pos)) + length <= limit)
     if not len(s):
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     a = pos[s]
     cut = np.flatnonzero((np.diff(a) != 0) | (np.diff(s) != 1))
     first, last = s[np.append(0, cut + 1)], s[np.append(cut, len(s) - 1)]
-    return first, last, h[pos[first]]
+    return first, last, pos[first], h[pos[first]]
 
 
 def _bytes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -165,9 +169,9 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", HASH_BYTES):
                 data, ends, _ = _bytes(part)
-                first, last, key = segments(data, ends, length)
+                first, last, anchor, key = segments(data, ends, length)
                 raw = data.tobytes()
                 prints = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)])
                 both = np.frombuffer(prints, np.int64).reshape(-1, 2)
@@ -180,16 +184,17 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
                         part.column("_id").take(pa.array(row)),
                         pa.array((first - np.append(0, ends)[row]).astype(np.int32)),
                         pa.array((last - first + 1).astype(np.int32)),
+                        pa.array((anchor - first).astype(np.int32)),
                     ],
-                    names=["key", "f1", "f2", "_id", "s", "n"],
+                    names=["key", "f1", "f2", "_id", "s", "n", "o"],
                 )
 
-    return rows.mapInArrow(emit, "key bigint, f1 bigint, f2 bigint, _id bigint, s int, n int")
+    return rows.mapInArrow(emit, "key bigint, f1 bigint, f2 bigint, _id bigint, s int, n int, o int")
 
 
 def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of segments (key, _id, s, n)."""
-    lists = wanted.groupBy("_id").agg(F.collect_list(F.struct("key", "s", "n")).alias("_w"))
+    """The bytes of segments (key, _id, s, n, o)."""
+    lists = wanted.groupBy("_id").agg(F.collect_list(F.struct("key", "s", "n", "o")).alias("_w"))
     joined = rows.join(lists.withColumnRenamed("_id", "_i"), F.col("_id").eqNullSafe(F.col("_i"))).select("_id", "_text", "_w")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +206,37 @@ def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     for x in asked:
                         piece = texts[i][x["s"] : x["s"] + x["n"] + length - 1]
                         if len(piece) == x["n"] + length - 1:
-                            out.append((x["key"], x["s"], piece))
+                            out.append((x["key"], x["s"], piece, x["o"]))
                             row.append(i)
-                key, s, piece = zip(*out, strict=True) if out else ((), (), ())
+                key, s, piece, o = zip(*out, strict=True) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), part.column("_id").take(pa.array(row, pa.int64())), pa.array(s, pa.int32()), pa.array(piece, pa.binary())], names=["key", "_id", "s", "piece"]
+                    [pa.array(key, pa.int64()), part.column("_id").take(pa.array(row, pa.int64())), pa.array(s, pa.int32()), pa.array(piece, pa.binary()), pa.array(o, pa.int32())],
+                    names=["key", "_id", "s", "piece", "o"],
                 )
 
-    return joined.mapInArrow(emit, "key bigint, _id bigint, s int, piece binary")
+    return joined.mapInArrow(emit, "key bigint, _id bigint, s int, piece binary, o int")
+
+
+def worth_sorting(group: list[tuple], length: int) -> list[tuple]:
+    """The segments (key, _id, s, piece, o) of one anchor that may share a window with another.
+
+    A window with the anchor in its left half holds the text from the anchor
+    on for ``length - half`` bytes, any other window the text before it; equal
+    windows have it equal.
+    """
+    half = (length - GRAM) // 2
+    sides = []
+    seen: dict[bytes | tuple, int] = {}
+    for _, _, _, piece, o in group:
+        mine = []
+        if len(piece) - length >= o - half:
+            mine.append(piece[o : o + length - half])
+        if o > half:
+            mine.append((piece[o - half - 1 : o + GRAM],))
+        for x in mine:
+            seen[x] = seen.get(x, 0) + 1
+        sides.append(mine)
+    return [r for r, mine in zip(group, sides, strict=True) if any(seen[x] > 1 for x in mine)]
 
 
 def _by_suffix_arrays(pieces: DataFrame, length: int) -> DataFrame:
@@ -227,20 +255,25 @@ def _by_suffix_arrays(pieces: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["_id", "a", "b"])
 
         held: list[tuple] = []
+        group: list[tuple] = []
         size = 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and r[0] != held[-1][0]:
+                if group and r[0] != group[0][0]:
+                    found = worth_sorting(group, length)
+                    held += found
+                    size += sum(len(x[3]) for x in found)
+                    group = []
                     if size >= CHUNK_BYTES:
                         yield give(held)
                         held, size = [], 0
-                held.append(r)
-                size += len(r[3])
+                group.append(r)
+        held += worth_sorting(group, length)
         if held:
             yield give(held)
 
     # All segments of an anchor reach one task, at most MOST_SEGMENTS of them.
-    return pieces.repartition("key").sortWithinPartitions("key").select("key", "_id", "s", "piece").mapInArrow(emit, "_id bigint, a int, b int")
+    return pieces.repartition("key").sortWithinPartitions("key").select("key", "_id", "s", "piece", "o").mapInArrow(emit, "_id bigint, a int, b int")
 
 
 def _by_windows(pieces: DataFrame, length: int) -> DataFrame:
@@ -290,8 +323,8 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     plain = hits.where(~F.col("mixed") & later("first")).select("_id", F.col("s").alias("a"), end)
 
     # Several different segments: of each all but its first go whole, the firsts are compared.
-    mixed = hits.where("mixed").select("key", "f1", "f2", "_id", "s", "n")
-    heads = stage(mixed.groupBy("key", "f1", "f2").agg(F.min(F.struct("_id", "s", "n")).alias("r")), "suffix-heads")
+    mixed = hits.where("mixed").select("key", "f1", "f2", "_id", "s", "n", "o")
+    heads = stage(mixed.groupBy("key", "f1", "f2").agg(F.min(F.struct("_id", "s", "n", "o")).alias("r")), "suffix-heads")
     copies = mixed.join(heads, ["key", "f1", "f2"]).where(later("r")).select("_id", F.col("s").alias("a"), end)
     many = heads.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     wanted = heads.join(many, "key").select("key", "r.*", "m")
