@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.queries import base, graphs, retrieval, texts
+from lodestone.queries import base, evaluation, extraction, flows, graphs, retrieval, tables, texts
 
-MODULES = (texts, retrieval, graphs)
+MODULES = (texts, retrieval, graphs, evaluation, extraction, tables, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.REGISTRY["chunk_documents"].build(spark, sf_dir)
+    return flows.graph_to_ranked_chunks(spark, sf_dir)
