@@ -8,9 +8,8 @@ overlap is then counted fragment by fragment and summed, until the sum reaches
 what the threshold needs or cannot reach it any more.
 
 Only connectivity is asked for, so identical sets are one class first; a first
-round verifies each candidate with the smallest document of its group; a
-second round verifies every remaining candidate pair whose ends are not
-connected yet. No pair is dropped: pairs are skipped only when their ends are
+round verifies each document with one likely partner; a second round verifies
+every candidate pair whose ends are not connected yet. No pair is dropped: pairs are skipped only when their ends are
 known to be connected.
 """
 
@@ -31,6 +30,8 @@ from lodestone.plans.staging import stage, unstage
 #: The sketch: 2**SKETCH_BITS counters, sent in chunks. Its size does not depend on the input.
 SKETCH_BITS, CHUNK = 18, 1024
 FRAGMENTS = 8
+#: Longs of a first fragment's bit signature.
+SIGNATURE = 4
 
 
 def _sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -86,12 +87,12 @@ def _levels(facts: DataFrame) -> np.ndarray:
 
 
 def _first_fragments(rows: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """For each row with a set: its size n and the first n - ceil(t n) + 1 n-grams in the global order."""
+    """For each row with a set: its size n, the first n - ceil(t n) + 1 n-grams in the global order, and their bit signature."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                ids, sizes, pre, ends = [], [], [], [0]
+                ids, sizes, pre, ends, bits = [], [], [], [0], []
                 for i, s in zip(part.column("_id").to_pylist(), _sets(part, size), strict=True):
                     if len(s):
                         take = len(s) - -(-percent * len(s) // 100) + 1
@@ -99,12 +100,16 @@ def _first_fragments(rows: DataFrame, size: int, percent: int, levels: np.ndarra
                         ids.append(i)
                         sizes.append(len(s))
                         pre.append(signed(s[order]))
+                        flags = np.zeros(64 * SIGNATURE, np.uint8)
+                        flags[(s[order] % np.uint64(len(flags))).astype(np.int64)] = 1
+                        bits.append(np.packbits(flags).view(np.int64).tolist())
                         ends.append(ends[-1] + take)
                 flat = np.concatenate(pre) if pre else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["_id", "n", "pre"])
+                signature = pa.array(bits, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists, signature], names=["_id", "n", "pre", "sig"])
 
-    return rows.mapInArrow(emit, "_id bigint, n bigint, pre array<bigint>")
+    return rows.mapInArrow(emit, "_id bigint, n bigint, pre array<bigint>, sig array<bigint>")
 
 
 def overlap_reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -123,7 +128,7 @@ def overlap_reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that the threshold links."""
-    involved = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    involved = stage(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "join-ids")
     texts = stage(rows.join(involved, "_id"), "join-texts")
     joined = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "_text"), "a").select("a", "b", "_text", "tb")
 
@@ -141,16 +146,45 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
                         good.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
-    edges = stage(joined.mapInArrow(check, "a bigint, b bigint"), "join-links")
+    links = stage(joined.mapInArrow(check, "a bigint, b bigint"), "join-links")
     unstage(texts)
-    return edges
+    unstage(involved)
+    return links
 
 
-def _possible(n: Column, pos: Column, m: Column, mpos: Column, percent: int) -> Column:
-    """Length filter, and the bound on the overlap of two sets whose first common n-gram has these places."""
-    length = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    bound = (F.least(n - pos, m - mpos)) * (100 + percent) >= (n + m) * percent
-    return length & bound
+def _rest(n: Column, percent: int) -> Column:
+    """N-grams of a set of size n after its first fragment."""
+    return F.ceil(n * percent / 100) - 1
+
+
+def _within_reach(c: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether two sets of sizes n and m, c of whose first n-grams are common, can reach the threshold.
+
+    Of two first fragments take the one that ends earlier in the global order:
+    any further common n-gram lies in its document's rest. So the overlap is
+    at most c plus the larger rest.
+    """
+    sized = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return sized & ((c + F.greatest(_rest(n, percent), _rest(m, percent))) * (100 + percent) >= (n + m) * percent)
+
+
+def _signed_alike(n: Column, x: Column, m: Column, y: Column, percent: int) -> Column:
+    """The same from signatures: each bit of one that the other lacks is at least one n-gram not in common."""
+
+    def most(size: Column, own: Column, other: Column) -> Column:
+        lacking = sum((F.bit_count(F.get(own, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(k))))) for k in range(SIGNATURE)), F.lit(0))
+        return size - _rest(size, percent) - lacking
+
+    return _within_reach(F.least(most(n, x, y), most(m, y, x)), n, m, percent)
+
+
+def _counted(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with their overlap c in the first fragments, where it leaves the threshold within reach.
+
+    ``pairs``: a, b and their sizes n and m, a row per common n-gram.
+    """
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    return counted.where(_within_reach(F.col("c"), F.col("n"), F.col("m"), percent)).select("a", "b", "c")
 
 
 def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,26 +206,34 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
 
     first = _first_fragments(rows.where("_id IS NOT NULL"), size, percent, levels)
     base = stage(first.join(classes.select(F.col("rep").alias("_id")).distinct(), "_id").dropDuplicates(["_id", "n", "pre"]), "join-first")
-    grams = base.select("_id", "n", F.posexplode("pre").alias("pos", "g"))
-
-    # Round 1: each candidate with the smallest document of its n-gram.
-    hub = grams.groupBy("g").agg(F.min(F.struct("_id", "n", "pos")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "c")
-    star = grams.join(hub, "g").where((F.col("_id") != F.col("c._id")) & _possible(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos"), percent))
-    star = stage(star.select(F.col("c._id").alias("a"), F.col("_id").alias("b")).distinct(), "join-star")
+    grams = base.select("_id", "n", "sig", F.explode("pre").alias("g"))
+
+    # N-grams of one document only lead nowhere; from here on there are the others.
+    several = grams.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
+    shared = stage(grams.join(several, "g").select("g", "_id", "n", "sig"), "join-shared")
+    unstage(base)
+
+    # Round 1: each document with the one of its n-grams' smallest documents that it shares most with.
+    hub = shared.groupBy("g").agg(F.min(F.struct("_id", "n", "sig")).alias("h"))
+    alike = _signed_alike(F.col("n"), F.col("sig"), F.col("h.n"), F.col("h.sig"), percent)
+    star = shared.join(hub, "g").where((F.col("_id") != F.col("h._id")) & alike)
+    star = _counted(star.select(F.col("h._id").alias("a"), F.col("_id").alias("b"), F.col("h.n").alias("n"), F.col("n").alias("m")), percent)
+    star = stage(star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b"), "join-star")
     links = _verified(star, rows, size, percent)
     parts = connected_components(links, "a", "b")
 
-    # Round 2: candidate pairs between different components, all of them.
-    named = base.join(parts.toDF("_id", "component"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-    grams = named.select("_id", "n", "component", F.posexplode("pre").alias("pos", "g"))
-    split = grams.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
-    open_ = stage(grams.join(split, "g"), "join-open")
-    x, y = (open_.select("g", *(F.col(c).alias(c + k) for c in ("_id", "n", "pos", "component"))) for k in "xy")
-    rest = x.join(y, "g").where((F.col("_idx") < F.col("_idy")) & (F.col("componentx") != F.col("componenty")))
-    rest = rest.where(_possible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy"), percent))
-    rest = rest.select(F.col("_idx").alias("a"), F.col("_idy").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = stage(rest, "join-rest")
+    # Round 2: all pairs between different components, with their whole overlap in the first fragments.
+    named = shared.join(parts.toDF("_id", "component"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+    split = named.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
+    open_ = stage(named.join(split, "g").select("g", "_id", "n", "sig", "component"), "join-open")
+    unstage(shared)
+    x, y = open_.toDF("g", "a", "n", "sx", "ca"), open_.toDF("g", "b", "m", "sy", "cb")
+    alike = _signed_alike(F.col("n"), F.col("sx"), F.col("m"), F.col("sy"), percent)
+    rest = _counted(x.join(y, "g").where(F.expr("a < b AND ca <> cb") & alike), percent)
+    rest = stage(rest.select("a", "b").join(star, ["a", "b"], "left_anti"), "join-rest")
     more = _verified(rest, rows, size, percent)
+    for t in (open_, star, rest):
+        unstage(t)
     if not more.isEmpty():
         parts = connected_components(links.union(more), "a", "b")
 
