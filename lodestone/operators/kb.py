@@ -66,12 +66,25 @@ def mapped_relations(triples: DataFrame, mapping: DataFrame, ignored: tuple[str,
     ).dropDuplicates()
 
 
-#: First letters of tree numbers and their categories (fixed values).
+#: First letters of tree numbers and the types they stand for (fixed values, spelled as in published dictionaries).
 TREE_CATEGORIES = {
-    "A": "Anatomy", "B": "Organisms", "C": "Diseases", "D": "Chemicals and Drugs", "E": "Analytical, Diagnostic and Therapeutic Techniques, and Equipment", "F": "Psychiatry and Psychology",
-    "G": "Phenomena and Processes", "H": "Disciplines and Occupations", "I": "Anthropology, Education, Sociology, and Social Phenomena", "J": "Technology, Industry, and Agriculture",
-    "K": "Humanities", "L": "Information Science", "M": "Named Groups", "N": "Health Care", "V": "Publication Characteristics", "Z": "Geographicals",
-}
+    "A": "Anatomy",
+    "B": "Organism",
+    "C": "Disease",
+    "D": "Chemical",
+    "E": "TechniqueAndEquipment",
+    "F": "PhychiatryAndPsychology",
+    "G": "PhenomemonAndProcess",
+    "H": "Discripline",
+    "I": "Social",
+    "J": "Industry",
+    "K": "Humanity",
+    "L": "InformationScience",
+    "M": "NamedGroup",
+    "N": "HealthCare",
+    "V": "Publication",
+    "Z": "Geographical",
+}
 
 
 def tree_category(tree_numbers: Column) -> Column:
