@@ -14,15 +14,17 @@ SHARDS = 24
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of these documents, does not reject."""
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return classifier.score(docs, model, threshold=0.3, keep=others).where("predicted = 1").select(*docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no clash with the scores' names
+    name = dict(zip(docs.columns, plain.columns, strict=True))
+    kept = classifier.score(plain, model, threshold=0.3, id_col=name["doc_id"], text_col=name["text"], keep=tuple(c for c in plain.columns if c != name["doc_id"]))
+    return kept.where("predicted = 1").select(*(F.col(name[c]).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id in each component of near duplicates (five words, 0.8); repeated rows once."""
     groups = jaccard.jaccard_components(docs, size=5, percent=80)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns).dropDuplicates()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns).dropDuplicates([c for c, kind in docs.dtypes if "map<" not in kind])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
