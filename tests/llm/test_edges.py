@@ -79,7 +79,7 @@ def test_defined_results(spark):
     left = {(r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffixes.remove_repeats(docs).collect() if r["doc_id"] in (2, 6)}
     assert left == {(2, 0, hashlib.sha256(b"").hexdigest()), (6, len(LONG), hashlib.sha256(b"").hexdigest())}
     marks = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
-    assert marks[7]["base_labels"] == "mit" and marks[7]["first_word"] == 3 and marks[1]["n_words"] == 0 and marks[1]["first_word"] is None
+    assert marks[7]["base_labels"] == "mit" and marks[7]["first_word"] == 4 and marks[1]["n_words"] == 0 and marks[1]["first_word"] is None
     kept = {r["doc_id"]: r for r in rules.quality_rules(docs).collect()}
     assert kept[7]["n_dup_lines"] == 1 and kept[1]["base_failed"]
     leaks = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, "x5 word6 x6 word7 x7 word8 x8")], "item_id bigint, text string")).collect()}
