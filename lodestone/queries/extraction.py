@@ -135,7 +135,7 @@ def score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN trim(split_part(text, chr(10), 1)) ELSE text END AS answer,
-    CASE WHEN conv_id % 2 = 0 THEN 'because' ELSE '' END AS rationale, CASE WHEN conv_id % 2 = 0 THEN 0.85 ELSE 0.0 END AS score FROM conversations"""
+    CASE WHEN conv_id % 2 = 0 THEN 'because' ELSE '' END AS rationale, CASE WHEN conv_id % 2 = 0 THEN 0.85::DOUBLE ELSE 0.0::DOUBLE END AS score FROM conversations"""
 )
 def qa_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.split_part("text", F.lit("\n"), F.lit(1))
