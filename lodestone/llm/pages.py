@@ -42,11 +42,17 @@ CLASS_DROP = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|banners?|promos?|promoted|promotion|sponsor\w*|side-?bars?|menus?|nav|navs|navbar|navigation|"
     r"bread-?crumbs?|footers?|site-?header|page-?header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|newsletter|"
     r"subscribe|subscription|comments?|comment-?list|replies|respond|disqus|discussion|responses?|share|sharing|social|related|recommend\w*|widgets?|"
-    r"log-?in|sign-?up|sign-?in|search|skip|pagination|pager|disclaimer|copyright|toolbar|hidden|visually-hidden|sr-only|forms?)(?=$|[\s_-])",
+    r"log-?in|sign-?up|sign-?in|search|skip|pagination|pager|disclaimer|copyright|toolbar|hidden|visually-hidden|sr-only)(?=$|[\s_-])",
     re.I,
 )
 CLASS_HEADER = re.compile(r"(?:^|[\s_-])headers?(?=$|[\s_-])", re.I)
 
+#: Class words that say what a layout has, not what the element is.
+_LAYOUT = re.compile(r"^(?:has|no|with|without)[_-]", re.I)
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: What an article element may be besides an article.
+ARTICLE_DROP = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|comments?|replies|respond|related|teasers?)(?=$|[\s_-])", re.I)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Long numbers in class names differ from page to page.
@@ -72,11 +78,12 @@ def _dropped(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
         return True
     if tag in ("body", "html", "main"):
         return False
-    names = attrs.get("class", "") + " " + attrs.get("id", "")
-    if tag == "header" or CLASS_HEADER.search(names):
-        if not in_main:
-            return True
-    return bool(names.strip() and CLASS_DROP.search(names)) or bool(_HIDDEN.search(attrs.get("style", "")))
+    names = " ".join(_HUMP.sub("-", x) for x in (attrs.get("class", "") + " " + attrs.get("id", "")).split() if not _LAYOUT.match(x))
+    if tag == "article":
+        return bool(ARTICLE_DROP.search(names))
+    if (tag == "header" or CLASS_HEADER.search(names)) and not in_main:
+        return True
+    return bool(names and CLASS_DROP.search(names)) or bool(_HIDDEN.search(attrs.get("style", "")))
 
 
 def blocks(html: str) -> list[Block]:

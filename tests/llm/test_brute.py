@@ -267,6 +267,21 @@ def test_markup():
     assert pages.main_text(pages.blocks(html)) == "T & U\nBold\nTwo lines it x < y\na\nb\n3 < 4"
 
 
+@pytest.mark.parametrize(
+    "markup,text",
+    [
+        ("<body class='has-sidebar'><article class='post no-sidebar long-form'><p>A</p></article>", "A"),
+        ("<main><div class='cookieBanner'>x</div><p>A<div id='user-comments'><article class='comment'>y</article></div></main>", "A"),
+        ("<div class='page-header'>h</div><div><p>A &nbsp; B</p><p class='notice'>n</p><div role='navigation'>m</div></div>", "A B"),
+        ("<article><header><h1>T</h1></header><table><tr><td>1<td>2<tr><td>3</table><pre>a\n b</pre><footer>f</footer></article>", "T\n1\n2\n3\na b"),
+        ("<p>a<!-- x <p>y -->b<style>p{}</style><select><option>o</select><p hidden>h</p>", "ab"),
+        ("a < b &lt;c&gt; &#233;&#x41;", "a < b <c> éA"),
+    ],
+)
+def test_markup_cases(markup, text):
+    assert pages.main_text(pages.blocks(markup)) == text
+
+
 def test_classifier_held_out(spark, small):
     d, labels = spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet"), spark.read.parquet(f"{small.replace('0.001', '0.1')}/labels.parquet")
     model = classifier.fit(d, labels, max_rows=3000)
