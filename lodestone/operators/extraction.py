@@ -232,7 +232,9 @@ def distant_triples(occurrences: DataFrame, facts: DataFrame, key: str = "doc_ke
     """Every known relation of two entities that share a sentence. ``occurrences``: key, entity, sent_idx; ``facts``: head, relation, tail."""
     o = occurrences.select(key, "entity", "sent_idx").distinct()
     a, b = o.withColumnRenamed("entity", "head"), o.withColumnRenamed("entity", "tail")
-    return a.join(facts.distinct(), "head").join(b, [key, "sent_idx", "tail"]).where("head <> tail").select(key, "head", "relation", "tail").distinct()
+    # Pairs first: a sentence holds few entities, an entity may have many facts and sentences.
+    pairs = a.join(b, [key, "sent_idx"]).where("head <> tail").select(key, "head", "tail").distinct()
+    return pairs.join(facts.distinct(), ["head", "tail"]).select(key, "head", "relation", "tail").distinct()
 
 
 def first_triples(triples: DataFrame, pos: str, key: str = "doc_key") -> DataFrame:
