@@ -216,3 +216,29 @@ def graded(outputs: DataFrame, response: str = "response") -> DataFrame:
     from lodestone.functions.parsing import score
 
     return outputs.agg(F.count(F.lit(1)).alias("questions"), F.avg(score(F.col(response))).alias("mean_score"))
+
+
+def official_scores(pred: DataFrame, gold: DataFrame, names: DataFrame, facts: DataFrame, key: str = "doc_key") -> DataFrame:
+    """The exchange format's evaluation: standard scores, those without training facts (denominator + 1e-5), and evidence.
+
+    ``pred`` and ``gold``: key, head, relation, tail, evidences (array). Equal
+    predictions count once; without any the scores are 0.
+    """
+    cols = [key, "head", "relation", "tail"]
+    first = pred.groupBy(*cols).agg(F.first(F.coalesce("evidences", F.array().cast("array<int>"))).alias("_e"))
+    std = gold.groupBy(*cols).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("evidences", F.array().cast("array<int>"))))).alias("_g"))
+    right = first.join(std, cols)
+    h, t = names.toDF(key, "head", "head_name"), names.toDF(key, "tail", "tail_name")
+    known = right.select(*cols).join(h, [key, "head"]).join(t, [key, "tail"]).join(facts, ["head_name", "relation", "tail_name"], "left_semi").select(*cols).distinct()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    one = first.agg(F.count(F.lit(1)).alias("pred"), total(F.size(F.array_distinct("_e"))).alias("pred_evidence"))
+    two = std.agg(F.count(F.lit(1)).alias("gold"), total(F.size("_g")).alias("gold_evidence"))
+    three = right.agg(F.count(F.lit(1)).alias("correct"), total(F.size(F.array_intersect("_e", "_g"))).alias("correct_evidence"))
+    c = one.crossJoin(two).crossJoin(three).crossJoin(_count(known, "correct_known"))  # one row each
+    p, r = share(F.col("correct"), F.col("pred")), share(F.col("correct"), F.col("gold"))
+    ip = (F.col("correct") - F.col("correct_known")) / (F.col("pred") - F.col("correct_known") + 1e-5)
+    ep, er = share(F.col("correct_evidence"), F.col("pred_evidence")), share(F.col("correct_evidence"), F.col("gold_evidence"))
+    f = lambda a, b: share(2 * a * b, a + b) * 100
+    return c.select(
+        "pred", "gold", "correct", "correct_known", (p * 100).alias("precision"), (r * 100).alias("recall"), f(p, r).alias("f1"), (ip * 100).alias("ign_precision"), f(ip, r).alias("ign_f1"), f(ep, er).alias("evidence_f1")
+    )
