@@ -105,7 +105,7 @@ def test_vector_search_blocks_and_recall(spark, small):
     asked = corpus.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q")
     exact = {(r["q"], r["vec_id"]) for r in R.vector_search(corpus, asked, "vec_id", "q", "embedding", 10).collect()}
     assert exact == {(r["q"], r["vec_id"]) for r in R.vector_search(corpus, asked, "vec_id", "q", "embedding", 10, block=3).collect()}
-    near = {(r["q"], r["vec_id"]) for r in R.lsh_search(corpus, asked, "vec_id", "q", "embedding", 10, bits=3, tables=24).collect()}
+    near = {(r["q"], r["vec_id"]) for r in R.lsh_search(corpus, asked, "vec_id", "q", "embedding", 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 
