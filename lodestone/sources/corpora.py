@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.kb import tree_category
+from lodestone.operators.linking import aggregate_mentions
 
 
 def read_pubtator(spark: SparkSession, path: str, type_names: dict[str, str] | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ PAIR_FIELDS = 17
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_key, text, relation, direction, cross, arg1_*, arg2_*): rows of two fixed columns and repeated groups of 17.
+    """(doc_key, text, pos, relation, direction, cross, arg1_*, arg2_*): rows of two fixed columns and repeated groups of 17.
 
     Mention lists are parted by ``|``, places by ``:``; a relation of the form
     ``1:NAME:2`` is its middle.
@@ -64,7 +65,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t")
     rows = spark.read.text(path).where("value <> ''").select(F.get(parts, F.lit(0)).alias("doc_key"), F.get(parts, F.lit(1)).alias("text"), parts.alias("p"))
     groups = F.transform(F.sequence(F.lit(3), F.size("p") - PAIR_FIELDS + 1, F.lit(PAIR_FIELDS)), lambda i: F.slice("p", i, PAIR_FIELDS))
-    rows = rows.where(F.size("p") > PAIR_FIELDS).select("doc_key", "text", F.explode(groups).alias("g"))
+    rows = rows.where(F.size("p") > PAIR_FIELDS).select("doc_key", "text", F.posexplode(groups).alias("pos", "g"))
     ints = lambda c: F.transform(F.split(c, ":"), lambda x: x.cast("int"))
 
     def arg(name: str, at: int) -> list[Column]:
@@ -79,7 +80,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
         ]
 
     relation = F.coalesce(F.nullif(F.regexp_extract(F.col("g")[0], r"^\d+:(.*):\d+$", 1), F.lit("")), F.col("g")[0])
-    return rows.select("doc_key", "text", relation.alias("relation"), F.col("g")[1].alias("direction"), F.col("g")[2].alias("cross"), *arg("arg1", 5), *arg("arg2", 11))
+    return rows.select("doc_key", "text", "pos", relation.alias("relation"), F.col("g")[1].alias("direction"), F.col("g")[2].alias("cross"), *arg("arg1", 5), *arg("arg2", 11))
 
 
 ABSTRACT = r'<http://dbpedia\.org/resource/([^\s]+)> <[^\s]+> "(.*)"@(\w+) \.'
@@ -140,3 +141,31 @@ def documents_of_vertices(df: DataFrame) -> DataFrame:
     one = lambda firsts: F.flatten(F.transform("vertexSet", lambda v, i: F.transform(v, lambda m: F.struct(F.array(place(firsts, m, m["pos"][0]), place(firsts, m, m["pos"][1]) - 1).alias("span"), m["name"].alias("name"), m["type"].alias("entity_type"), i.cast("string").alias("entity_id")))))
     rel = F.transform("labels", lambda x: F.struct(x["h"].alias("arg1"), x["r"].alias("relation"), x["t"].alias("arg2"), x["evidence"].alias("evidences")))
     return df.select(F.col("title").alias("doc_key"), F.transform(kept, lambda s: F.array_join(s, " ")).alias("sentences"), bind(before, one).alias("mentions"), rel.alias("relations"))
+
+
+def tables_of_pairs(pairs: DataFrame) -> dict[str, DataFrame]:
+    """The working tables of ``read_pairs``: mentions, entities, relations and excluded pairs.
+
+    mentions: doc_key, m_idx, begin, end (inclusive), name, entity_type,
+    entity_id, sorted by span, of equal spans the first; entities share the
+    mentions of their spans; relations: doc_key, head, relation, tail, each
+    once; excluded: pairs marked ``not_include``.
+    """
+    from pyspark.sql import Window
+
+    def side(arg: str, nth: int) -> DataFrame:
+        each = F.arrays_zip(F.col(f"{arg}_mentions").alias("name"), F.col(f"{arg}_begins").alias("begin"), F.col(f"{arg}_ends").alias("stop"))
+        return pairs.select("doc_key", F.struct("pos", F.lit(nth).alias("nth")).alias("at"), F.col(f"{arg}_entity_id").alias("entity_id"), F.col(f"{arg}_entity_type").alias("entity_type"), F.inline(each))
+
+    found = side("arg1", 0).union(side("arg2", 1)).withColumn("end", F.col("stop") - 1)
+    one = found.groupBy("doc_key", "begin", "end").agg(F.min_by(F.struct("name", "entity_type", "entity_id"), "at").alias("m"))
+    place = F.row_number().over(Window.partitionBy("doc_key").orderBy("begin", "end")) - 1
+    mentions = one.select("doc_key", place.alias("m_idx"), "begin", "end", "m.*")
+    spans = found.join(mentions.select("doc_key", "begin", "end", "m_idx"), ["doc_key", "begin", "end"])
+    ends = pairs.select("doc_key", F.col("arg1_entity_id").alias("head"), "relation", F.col("arg2_entity_id").alias("tail")).distinct()
+    return {
+        "mentions": mentions,
+        "entities": aggregate_mentions(spans.select("doc_key", "m_idx", "name", "entity_type", "entity_id").distinct()),
+        "relations": ends.where("relation NOT IN ('not_include', 'NR')"),
+        "excluded": ends.where("relation = 'not_include'").drop("relation"),
+    }

@@ -85,6 +85,15 @@ def test_pairs(spark, tmp_path):
     assert len(r) == 2 and r[0]["relation"] == "CID" and r[0]["arg1_mentions"] == ["a", "b"] and r[0]["arg1_begins"] == [0, 5] and r[0]["arg2_entity_id"] == "D2"
 
 
+def test_tables_of_pairs(spark, tmp_path):
+    group = ["1:CID:2", "L2R", "CROSS", "0", "1", "D1", "a|b", "Chemical", "0:5", "1:6", "0:1", "D2", "c", "Disease", "3", "4", "0"]
+    other = ["not_include", *group[1:11], "D3", *group[12:]]
+    t = corpora.tables_of_pairs(corpora.read_pairs(spark, put(tmp_path / "x", "\t".join(["9", "some text", *group, *group, *other]) + "\n")))
+    assert [(r["m_idx"], r["begin"], r["end"], r["name"], r["entity_id"]) for r in t["mentions"].orderBy("m_idx").collect()] == [(0, 0, 0, "a", "D1"), (1, 3, 3, "c", "D2"), (2, 5, 5, "b", "D1")]
+    assert [(r["entity_id"], r["mention_indices"]) for r in t["entities"].orderBy("entity_id").collect()] == [("D1", [0, 2]), ("D2", [1]), ("D3", [1])]
+    assert [tuple(r) for r in t["relations"].collect()] == [("9", "D1", "CID", "D2")] and [tuple(r) for r in t["excluded"].collect()] == [("9", "D1", "D3")]
+
+
 def test_abstracts(spark, tmp_path):
     text = '# c\n<http://dbpedia.org/resource/New_York> <http://x> "A \\"big\\" city"@en .\n<http://dbpedia.org/resource/X> <http://x> "y"@de .\n'
     assert [tuple(r) for r in corpora.read_abstracts(spark, put(tmp_path / "n", text)).collect()] == [("New_York", "New York", 'A "big" city')]
