@@ -84,3 +84,12 @@ def test_defined_results(spark):
     assert kept[7]["n_dup_lines"] == 1 and kept[1]["base_failed"]
     leaks = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, "x5 word6 x6 word7 x7 word8 x8")], "item_id bigint, text string")).collect()}
     assert leaks == {(5, 1), (6, 1)}
+
+
+def test_empty_side_tables(spark):
+    docs = spark.createDataFrame(ROWS, DOC)
+    assert decontaminate.find_leaks(docs, spark.createDataFrame([], "item_id bigint, text string")).collect() == []
+    model = classifier.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
+    assert {round(r["score"], 6) for r in classifier.score(docs, model).collect()} == {0.5}
+    one_class = classifier.fit(docs, spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id bigint, quality int, toxic int"))
+    assert all(r["score"] > 0.5 for r in classifier.score(docs, one_class).collect())
