@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.components import connected_components
 
+#: The document key of triples known beforehand (fixed value).
 EXISTING = "ExistingKG"
 
 

@@ -11,6 +11,7 @@ from lodestone.functions import text as T
 from lodestone.operators.graph import degrees, induced, rank_within
 from lodestone.plans.staging import stage
 
+#: How a template report's title begins (fixed value).
 TITLE = "The primary nodes in this community are: "
 
 

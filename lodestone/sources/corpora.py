@@ -83,6 +83,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_key", "text", "pos", relation.alias("relation"), F.col("g")[1].alias("direction"), F.col("g")[2].alias("cross"), *arg("arg1", 5), *arg("arg2", 11))
 
 
+#: A line with a resource, its abstract and the language (fixed format).
 ABSTRACT = r'<http://dbpedia\.org/resource/([^\s]+)> <[^\s]+> "(.*)"@(\w+) \.'
 
 
