@@ -42,8 +42,6 @@ HASH_BYTES = 1 << 18
 #: Bytes of segments that one suffix array is built over, and the segments of an anchor up to which it is used.
 CHUNK_BYTES, MOST_SEGMENTS = 1 << 20, 4096
 
-_TABLE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The sorted suffixes of a sequence of whole numbers, by the difference cover modulo 3."""
@@ -125,6 +123,24 @@ def runs(offsets: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(offsets[np.append(0, cut + 1)].tolist(), (offsets[np.append(cut, len(offsets) - 1)] + length).tolist(), strict=True))
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every GRAM bytes: the 8-byte words at all places, mixed and joined twice over."""
+    raw = data.tobytes()
+    n = len(raw) - 7
+    h = np.empty(n, np.uint64)
+    for o in range(min(8, n)):
+        h[o::8] = np.frombuffer(raw, "<u8", count=(n - o + 7) // 8, offset=o)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    size = 8
+    while size < GRAM:
+        a, b = h[:-size] * np.uint64(0xBF58476D1CE4E5B9 + 2 * size), h[size:]
+        h = a + (b ^ (b >> np.uint64(29)))
+        size *= 2
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
 def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: first window, last window, place of the anchor, hash of its gram.
 
@@ -134,28 +150,37 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none.astype(np.uint64)
-    h, size = _TABLE[data], 1
-    while size < GRAM:
-        a, b = h[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size), h[size:]
-        h = a + (b ^ (b >> np.uint64(29)))
-        size *= 2
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(29)
+    h = gram_hashes(data)
     span = length - GRAM + 1
-    val, pos, size = h, np.arange(len(h), dtype=np.int32), 1
+    low, size = h, 1
     while size < span:
         hop = min(size, span - size)
-        right = val[hop:] < val[:-hop]
-        val, pos, size = np.where(right, val[hop:], val[:-hop]), np.where(right, pos[hop:], pos[:-hop]), size + hop
+        low, size = np.minimum(low[:-hop], low[hop:]), size + hop
     begins = np.append(0, ends[:-1])
-    limit = np.repeat(ends, ends - begins)[: len(pos)]
-    s = np.flatnonzero(np.arange(len(pos)) + length <= limit)
+    limit = np.repeat(ends, ends - begins)[: len(low)]
+    s = np.flatnonzero(np.arange(len(low)) + length <= limit)
     if not len(s):
         return none, none, none, none.astype(np.uint64)
-    a = pos[s]
-    cut = np.flatnonzero((np.diff(a) != 0) | (np.diff(s) != 1))
+
+    # Runs of windows with one smallest hash; the anchor is where the first window has it.
+    cut = np.flatnonzero((np.diff(low[s]) != 0) | (np.diff(s) != 1))
     first, last = s[np.append(0, cut + 1)], s[np.append(cut, len(s) - 1)]
-    return first, last, pos[first], h[pos[first]]
+    anchor = first + (np.lib.stride_tricks.sliding_window_view(h, span)[first] == low[first][:, None]).argmax(1)
+    odd = np.flatnonzero(anchor < last)
+    if len(odd):
+        # The hash occurs again: later windows of the run have a later anchor.
+        parts = [(first, last, anchor)]
+        keep = np.ones(len(first), bool)
+        keep[odd] = False
+        for k in odd.tolist():
+            x, y = int(first[k]), int(last[k])
+            at = x + np.flatnonzero(h[x : y + span] == low[x])
+            own = at[np.searchsorted(at, np.arange(x, y + 1))]
+            turn = np.flatnonzero(np.diff(own))
+            parts.append((x + np.append(0, turn + 1), x + np.append(turn, y - x), own[np.append(0, turn + 1)]))
+        parts[0] = (first[keep], last[keep], anchor[keep])
+        first, last, anchor = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return first, last, anchor, h[anchor]
 
 
 def _bytes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -334,7 +359,7 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     spans = plain.union(copies).union(partly).groupBy("_id").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
     spans = stage(spans, "suffix-spans")
-    for t in (hits, heads, small, partly):
+    for t in (hits, heads, small, large, partly):
         unstage(t)
     out = rows.join(spans.withColumnRenamed("_id", "_i"), F.col("_id").eqNullSafe(F.col("_i")), "left").select("_id", "_text", "_spans")
 
