@@ -1,21 +1,16 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
-
-The CGK random walk copies a sequence symbol by symbol and, by a random bit of
-step and symbol, moves on or stays; sequences at small edit distance fall into
-step again, so their walks agree in most places. Windows of an item's size are
-embedded like the item; a window is a candidate if it agrees with the item in
-all sampled places of at least one of many samples (bit-sampling LSH, with the
-number of samples set by the target recall). Candidates are verified with the
-exact edit distance over words.
-
-Windows are looked at only where they can match: within d edits of an L-word
-item some run of ceil((L - d) / (d + 1)) of its words stands unchanged, so a
-window must hold that many consecutive words of the item. This loses nothing.
+"""Benchmark decontamination: shared runs of words, a lossless count of them, exact edit distance.
+
+An item can only match where it shares words: within d edits of an L-word item
+some run of ceil((L - d) / (d + 1)) of its words stands unchanged, and each
+edit destroys at most g of its L - g + 1 runs of g words, so L - g + 1 - d g of
+them stand, on diagonals (place in the document less place in the item) that
+differ by at most d. Where a document has that many, the exact edit distance
+over words is computed. Nothing is estimated: every match is found, with
+insertions, deletions and substitutions at any item length.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,7 +22,6 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.text_arrow import Words, hash_strings, mix64, slices, string_column
 
-WALKS, PLACES = 4, 3
 SEED_WORDS = 3
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,28 +46,10 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
     return acc
 
 
-def embed(h: np.ndarray, start: np.ndarray, size: np.ndarray, end: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """One CGK walk for each window: the symbol at each step (0 beyond the window's end)."""
-    at = start.astype(np.int64).copy()
-    stop = np.minimum(start + size, end)
-    out = np.zeros((len(start), steps), np.uint64)
-    for j in range(steps):
-        live = at < stop
-        c = np.where(live, h[np.minimum(at, len(h) - 1)], np.uint64(0))
-        out[:, j] = c
-        at += live & (mix64(c + np.uint64((int(_G) * (1 + j + 100_000 * walk)) % 2**64)) >> np.uint64(63) == 1)
-    return out
-
-
-def samples_for(recall: float, agree: float = 0.45) -> int:
-    """Samples of PLACES places needed when a pair at the threshold agrees in the share ``agree`` of places."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**PLACES))
-
-
 class Items:
-    """The benchmark items of one block, with their seeds and embeddings."""
+    """The benchmark items of one block, with their seeds and the places of each word."""
 
-    def __init__(self, ids: list, texts: list[str], similarity: float, recall: float):
+    def __init__(self, ids: list, texts: list[str], similarity: float):
         self.ids, self.words = [], []
         for i, t in zip(ids, texts, strict=True):
             h, _ = word_hashes(pa.array([t]))
@@ -85,9 +61,11 @@ class Items:
         self.longest = int(self.size.max()) if len(self.size) else 0
         # Seeds by their number of words: sorted hashes, and for each the item and the place in it.
         seeds: dict[int, list] = {}
+        self.need = np.ones(len(self.size), np.int64)
         for k, w in enumerate(self.words):
             run = -(-(len(w) - self.most[k]) // (self.most[k] + 1))
             g = int(min(SEED_WORDS, run))
+            self.need[k] = max(1, len(w) - g + 1 - self.most[k] * g)
             g_hash = grams(w, g)
             seeds.setdefault(g, []).append((g_hash, np.full(len(g_hash), k), np.arange(len(g_hash))))
         self.seeds = {}
@@ -97,41 +75,41 @@ class Items:
             table = np.zeros(1 << 20, bool)
             table[(cols[0] >> np.uint64(44)).astype(np.int64)] = True
             self.seeds[g] = (*(c[order] for c in cols), table)
-        self.steps = 2 * self.longest
-        rng = np.random.default_rng(11)
-        self.places = rng.random((WALKS, -(-samples_for(recall) // WALKS), PLACES))
-        self.flat = np.concatenate(self.words) if self.words else np.zeros(1, np.uint64)
-        first = np.cumsum(self.size) - self.size
-        self.walks = [embed(self.flat, first, self.size, first + self.size, self.steps, w) for w in range(WALKS)]
-
-    def candidates(self, h: np.ndarray, doc_end: np.ndarray, start: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which windows agree with their item in all places of some sample."""
-        hit = np.zeros(len(start), bool)
-        for w in range(WALKS):
-            rest = np.flatnonzero(~hit)
-            if not len(rest):
-                break
-            size = self.size[item[rest]]
-            out = embed(h, start[rest], size, doc_end[rest], int(2 * size.max()), w)
-            same = out == self.walks[w][item[rest], : out.shape[1]]
-            for places in self.places[w]:
-                at = (places[None, :] * 2 * size[:, None]).astype(np.int64)
-                hit[rest] |= np.take_along_axis(same, at, 1).all(1)
-        return hit
-
-
-def best_alignment(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+        self.masks = [word_masks(w.tolist()) for w in self.words]
+        self.back_masks = [word_masks(w[::-1].tolist()) for w in self.words]
+
+
+def word_masks(item: list[int]) -> dict[int, int]:
+    """For each word of the item, the bits of its places."""
+    out: dict[int, int] = {}
+    for i, w in enumerate(item):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def edit_row(masks: dict[int, int], size: int, words: list[int], free_start: bool) -> Iterator[int]:
+    """Edit distances of the item to the first 0, 1, 2... words, or with ``free_start`` to their best ends (Myers' bit vectors)."""
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    vp, vn, d = full, 0, size
+    yield d
+    for w in words:
+        eq = masks.get(w, 0)
+        xv = eq | vn
+        xh = (((eq & vp) + vp) ^ vp) | eq
+        hp = vn | (~(xh | vp) & full)
+        hn = vp & xh
+        d += bool(hp & top) - bool(hn & top)
+        hp, hn = hp << 1 | (not free_start), hn << 1
+        vp = (hn | ~(xv | hp)) & full
+        vn = hp & xv & full
+        yield d
+
+
+def best_alignment(masks: dict[int, int], back: dict[int, int], size: int, window: list[int]) -> tuple[int, int, int]:
     """Smallest edit distance of the item to any part of the window, with the part's start and end (first end, then latest start)."""
-    n = len(window)
-    cost = [(0, -j) for j in range(n + 1)]
-    for a in item.tolist():
-        prev, cost_new = cost, [(cost[0][0] + 1, 0)]
-        for j, b in enumerate(window.tolist()):
-            keep = (prev[j][0] + (a != b), prev[j][1])
-            cost_new.append(min(keep, (prev[j + 1][0] + 1, prev[j + 1][1]), (cost_new[j][0] + 1, cost_new[j][1])))
-        cost = cost_new
-    d, end = min((c[0], j) for j, c in enumerate(cost))
-    return d, -cost[end][1], end
+    d, end = min((d, j) for j, d in enumerate(edit_row(masks, size, window, True)))
+    before = window[max(0, end - size - d) : end][::-1]
+    return d, end - next(j for j, x in enumerate(edit_row(back, size, before, False)) if x == d), end
 
 
 def _scan(part: pa.RecordBatch, items: Items) -> list[tuple[int, int, int, int, int]]:
@@ -154,24 +132,30 @@ def _scan(part: pa.RecordBatch, items: Items) -> list[tuple[int, int, int, int,
             continue
         pos = np.repeat(at, k)
         which = np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        start = np.maximum(pos - place[which], begins[doc[pos]])
-        found.append(np.stack([start, item[which]], 1))
+        k, row, diagonal = item[which], doc[pos], pos - place[which]
+        order = np.lexsort((diagonal, k, row))
+        k, row, diagonal = k[order], row[order], diagonal[order]
+        pair = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (row[1:] != row[:-1])])
+        key = pair * (len(h) + 3 * items.longest) + diagonal  # diagonals of two pairs are further apart than any budget
+        full = np.searchsorted(key, key + items.most[k], side="right") - np.arange(len(key)) >= items.need[k]
+        found.append(np.stack([row[full], k[full], diagonal[full]], 1))
     if not found:
         return []
-    windows = np.unique(np.concatenate(found), axis=0)
+    # Where the words of a match can lie, beginning with its lowest diagonal; places that overlap become one.
+    places: dict[tuple[int, int], list[list[int]]] = {}
+    for row, k, diagonal in np.concatenate(found).tolist():
+        most, held = int(items.most[k]), places.setdefault((row, k), [])
+        lo, hi = max(int(begins[row]), diagonal - most), min(int(ends[row]), diagonal + int(items.size[k]) + most)
+        if held and lo <= held[-1][1]:
+            held[-1][1] = hi
+        else:
+            held.append([lo, hi])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for a in range(0, len(windows), 4096):
-        start, item = windows[a : a + 4096, 0], windows[a : a + 4096, 1]
-        for i in np.flatnonzero(items.candidates(h, ends[doc[start]], start, item)):
-            k, row = int(item[i]), int(doc[start[i]])
-            most = int(items.most[k])
-            lo, hi = max(int(begins[row]), int(start[i]) - most), min(int(ends[row]), int(start[i] + items.size[k]) + most)
-            known = best.get((row, k))
-            if known and known[0] == 0:
-                continue
-            d, s, e = best_alignment(items.words[k], h[lo:hi])
+    for (row, k), spans in places.items():
+        for lo, hi in spans:
+            d, s, e = best_alignment(items.masks[k], items.back_masks[k], int(items.size[k]), h[lo:hi].tolist())
             got = (d, lo + s - int(begins[row]), lo + e - int(begins[row]))
-            if d <= most and (known is None or got < known):
+            if d <= items.most[k] and ((row, k) not in best or got < best[row, k]):
                 best[row, k] = got
     return [(row, k, *v) for (row, k), v in best.items()]
 
@@ -180,7 +164,6 @@ def find_leaks(
     df: DataFrame,
     benchmark: DataFrame,
     similarity: float = 0.8,
-    recall: float = 0.99,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -203,7 +186,7 @@ def find_leaks(
     out: list[DataFrame] = []
 
     def search(block: list) -> DataFrame:
-        sent = df.sparkSession.sparkContext.broadcast(Items([b[0] for b in block], [b[1] for b in block], similarity, recall))
+        sent = df.sparkSession.sparkContext.broadcast(Items([b[0] for b in block], [b[1] for b in block], similarity))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = sent.value

@@ -214,6 +214,37 @@ def test_leaks(spark):
         assert r["distance"] <= int(0.2 * len(item)) and edit(item, plain[i][r["start_word"] : r["end_word"]]) == r["distance"]
 
 
+def nearest(item, words):
+    """Smallest edit distance of the item to any run of the words, its first end and latest start."""
+    row = [(0, -j) for j in range(len(words) + 1)]
+    for i, a in enumerate(item, 1):
+        old, row = row, [(i, 0)]
+        for j, b in enumerate(words):
+            row.append(min((old[j][0] + (a != b), old[j][1]), (old[j + 1][0] + 1, old[j + 1][1]), (row[j][0] + 1, row[j][1])))
+    end = min(range(len(row)), key=lambda j: (row[j][0], j))
+    return row[end][0], -row[end][1], end
+
+
+def test_leaks_at_the_threshold_are_all_found(spark):
+    """Substitutions, insertions and deletions up to the budget, at any item length; all pairs against the full table of distances."""
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.choices(VOCAB, k=n))) for k, n in enumerate([1, 4, 5, 9, 15, 30, 50, 59, 100, 200])]
+    rows, planted = [], set()
+    for k, text in items:
+        for kind in ("delete", "mixed", "insert") * 5:
+            w = text.split()
+            for at in sorted(rng.sample(range(len(w)), int(0.2 * len(w))), reverse=True):
+                step = rng.choice(["delete", "insert", "replace"]) if kind == "mixed" else kind
+                w[at : at + (step != "insert")] = [] if step == "delete" else ["other"]
+            planted.add((len(rows), k))
+            rows.append((len(rows), " ".join(rng.choices(VOCAB, k=15) + w + rng.choices(VOCAB, k=15))))
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"], r["end_word"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert planted <= set(got)
+    every = {(i, k): nearest(x.split(), t.split()) for i, t in rows for k, x in items if k % 3 == 0 or (i, k) in planted}
+    most = {k: int(0.2 * len(x.split())) for k, x in items}
+    assert {p: v for p, v in got.items() if p in every} == {p: v for p, v in every.items() if v[0] <= most[p[1]]}
+
+
 def test_rules_against_counts(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices(VOCAB[:12], k=rng.randrange(120))) + "\n" + rng.choice(["x", "", "# a", "x"]) + "\nx" for _ in range(80)] + ["", "a b c a b c a b c"]
