@@ -3,21 +3,38 @@
 Each source's rows are cut into blocks. Block j of a source of weight w may run
 from slot floor(j / w) and must run before slot ceil((j + 1) / w); the earliest
 deadline among the released blocks goes first, which keeps every source within
-one block of its target at every slot. Weights are multiples of 1 / frame, so
-the schedule repeats with the frame: one frame is laid out once, and every
-row's place follows from it in closed form, without a global sort.
+one block of its target at every slot. The weights are exact fractions, so
+nothing adds up however long the stream is. The driver lays the blocks out one
+by one and sends their places in pieces; the rows join them, without a global sort.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
+from math import lcm
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.staging import stage
 
+#: Blocks whose places are sent at once, and at most in one row (fixed values).
+PIECE_BLOCKS, RUN_BLOCKS = 1 << 20, 4096
+
+
+def exact(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the ratio of the weights."""
+    if any(not w > 0 for w in weights):
+        raise ValueError("target weights must be positive")
+    parts = [Fraction(w) for w in weights]
+    unit = lcm(*(x.denominator for x in parts))
+    return [int(x * unit) for x in parts]
+
 
 def quanta(weights: list[float], frame: int) -> list[int]:
     """Blocks a frame for each weight: largest remainders, at least 1 each, summing to the frame."""
@@ -36,21 +53,45 @@ def quanta(weights: list[float], frame: int) -> list[int]:
     return out
 
 
-def pfair_frame(quota: list[int]) -> list[int]:
-    """The source that runs in each slot of one frame, earliest deadline first among released blocks."""
-    frame, slots = sum(quota), []
-    waiting = [(0, -(-frame // q), i, 0) for i, q in enumerate(quota)]  # release, deadline, source, block
+def pfair(weights: list[int], blocks: list[int]) -> Iterator[int]:
+    """The source of each block in turn, earliest deadline first among released blocks; sources that have run out leave no gap."""
+    total, slot = sum(weights), 0
+    waiting = [(0, -(-total // w), i, 0) for i, w in enumerate(weights) if blocks[i]]  # release, deadline, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    for slot in range(frame):
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, deadline, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, i, j))
         _, i, j = heapq.heappop(ready)
-        slots.append(i)
-        if j + 1 < quota[i]:
-            heapq.heappush(waiting, ((j + 1) * frame // quota[i], -(-(j + 2) * frame // quota[i]), i, j + 1))
-    return slots
+        yield i
+        slot += 1
+        if j + 1 < blocks[i]:
+            heapq.heappush(waiting, ((j + 1) * total // weights[i], -(-(j + 2) * total // weights[i]), i, j + 1))
+
+
+def block_starts(weights: list[int], sizes: list[int], block_rows: int) -> Iterator[pa.Table]:
+    """The first position of every block in pieces: source, first block, starts of the blocks from it on."""
+    blocks = [-(-n // block_rows) for n in sizes]
+    done, position = [0] * len(sizes), 0
+    held: list[list[int]] = [[] for _ in sizes]
+
+    def piece() -> pa.Table:
+        runs = [(i, done[i] - len(x) + a, x[a : a + RUN_BLOCKS]) for i, x in enumerate(held) for a in range(0, len(x), RUN_BLOCKS)]
+        types = {"s": pa.int32(), "first": pa.int64(), "starts": pa.list_(pa.int64())}
+        return pa.table({c: pa.array(v, t) for (c, t), v in zip(types.items(), zip(*runs, strict=True), strict=True)})
+
+    for n, i in enumerate(pfair(weights, blocks), 1):
+        held[i].append(position)
+        done[i] += 1
+        position += min(block_rows, sizes[i] - (done[i] - 1) * block_rows)
+        if n % PIECE_BLOCKS == 0:
+            yield piece()
+            held = [[] for _ in sizes]
+    if any(held):
+        yield piece()
 
 
 def mix_sources(
@@ -58,7 +99,7 @@ def mix_sources(
     weights: dict[str | None, float] | None = None,
     power: float = 0.5,
     block_rows: int = 32,
-    frame: int = 1024,
+    frame: int | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
     bucket_rows: int = 20_000,
@@ -68,6 +109,8 @@ def mix_sources(
 
     ``weights`` maps sources to target weights (any missing source is an
     error); without it a source's weight is its row count to the ``power``.
+    The weights are followed exactly, or rounded to whole blocks a ``frame``
+    where one is given.
     Rows of one source come in a seeded pseudo-random order, ``block_rows`` to
     a block. When a source runs out, its slots fall away and the others keep
     their ratio; no row is dropped or repeated.
@@ -75,7 +118,7 @@ def mix_sources(
     Returns id, source, block (of the source, from 0), in_block and position
     (0 to rows - 1, each once). A null source is a source of its own; null ids
     and repeated rows are kept; an empty input gives an empty result. The
-    schedule gathers one row per source on the driver.
+    schedule gathers one row per source on the driver, which sends 8 bytes a block.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"))
@@ -84,18 +127,13 @@ def mix_sources(
     if not counts:
         return rows.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), *(F.lit(0).cast("bigint").alias(c) for c in ("block", "in_block", "position")))
     names, sizes = [c[0] for c in counts], [c[1] for c in counts]
-    quota = quanta([weights[n] for n in names] if weights else [s**power for s in sizes], frame)
-    slots = pfair_frame(quota)
-
-    seen, plan = [0] * len(quota), []
-    for slot, i in enumerate(slots):
-        plan.append({"s": i, "k": seen[i], "slot": slot, "ran": list(seen)})
-        seen[i] += 1
+    target = [weights[n] for n in names] if weights else [s**power for s in sizes]
+    shares = quanta(target, frame) if frame else exact(target)
 
     def local(values: list[dict], schema: str) -> DataFrame:
         return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(values)), f"array<struct<{schema}>>")))
 
-    sources = local([{"name": n, "s": i, "q": quota[i]} for i, n in enumerate(names)], "name:string,s:int,q:int")
+    sources = local([{"name": n, "s": i} for i, n in enumerate(names)], "name:string,s:int")
     rows = rows.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("name"))).drop("name")  # what the driver holds already
 
     # Ranks within a source: many hash buckets, prefix sums over their counts.
@@ -107,22 +145,16 @@ def mix_sources(
     nth = F.row_number().over(Window.partitionBy("s", "_bucket").orderBy("_h", "_id"))
     rows = rows.withColumn("_nth", nth).join(held, ["s", "_bucket"])
     rows = rows.withColumn("_i", F.col("_before") + F.col("_nth") - 1)
-    rows = rows.withColumn("block", F.expr(f"_i div {block_rows}")).withColumn("k", F.expr("cast(block % q as int)"))
-
-    frames = local(plan, "s:int,k:int,slot:int,ran:array<int>")
-    rows = rows.join(F.broadcast(frames), ["s", "k"])  # one row a slot of the frame
-    lap = F.expr("block div q")
-
-    def ahead(total: Column, x: Column) -> Column:
-        return total + F.least(x["n"], (lap * x["q"] + F.get(F.col("ran"), x["s"])) * block_rows)
+    rows = rows.withColumn("block", F.expr(f"_i div {block_rows}"))
 
-    each = F.lit(None) if not names else F.array(*(F.struct(F.lit(i).alias("s"), F.lit(q).cast("bigint").alias("q"), F.lit(n).cast("bigint").alias("n")) for i, (q, n) in enumerate(zip(quota, sizes, strict=True))))
-    start = F.aggregate(each, F.lit(0).cast("bigint"), ahead)
+    starts = [stage(spark.createDataFrame(t).select("s", "first", F.posexplode("starts").alias("_k", "_start")), "mix-blocks") for t in block_starts(shares, sizes, block_rows)]
+    places = reduce(DataFrame.unionByName, starts).select("s", (F.col("first") + F.col("_k")).alias("block"), "_start")
+    rows = rows.join(places, ["s", "block"])
     in_block = F.expr(f"_i % {block_rows}")
     return rows.select(
         F.col("_id").alias(id_col),
         F.col("_source").alias(source_col),
         F.col("block").cast("bigint").alias("block"),
         in_block.cast("bigint").alias("in_block"),
-        (start + in_block).cast("bigint").alias("position"),
+        (F.col("_start") + in_block).cast("bigint").alias("position"),
     )

@@ -147,6 +147,40 @@ def test_mixing_against_simulation(spark):
     assert order == mix_brute(sizes, quota, 4)
 
 
+@pytest.mark.parametrize("sizes", [{f"s{i:02}": 600 for i in range(20)}, {"hot": 4000} | {f"s{i:02}": 421 for i in range(19)}])
+def test_mixing_does_not_drift(spark, sizes):
+    """Within one block of the true weights at every slot of a long stream, though 1 / 20 and square roots are no multiples of 1 / 1024."""
+    rows = [(i, s) for i, s in enumerate(x for s, n in sizes.items() for x in [s] * n)]
+    got = sorted((r["position"], r["source"], r["doc_id"]) for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, source string"), block_rows=1).collect())
+    assert [g[0] for g in got] == list(range(len(rows))) and len({g[2] for g in got}) == len(rows)
+    weights = {s: n**0.5 / sum(m**0.5 for m in sizes.values()) for s, n in sizes.items()}
+    active = min(n / weights[s] for s, n in sizes.items())
+    seen = dict.fromkeys(sizes, 0)
+    for t, (_, s, _) in enumerate(got[: int(active)], 1):
+        seen[s] += 1
+        assert all(abs(seen[k] - t * w) < 1 + 1e-9 for k, w in weights.items())
+
+
+def test_mixing_in_pieces(monkeypatch):
+    """Places sent in many pieces are those of one: every block once, one after the other, and within one block over a million slots."""
+    sizes, weights = [70, 41, 300], mixing.exact([0.3, 0.1, 0.6])
+    whole = [(s, f + k, x) for t in mixing.block_starts(weights, sizes, 4) for s, f, xs in zip(*t.to_pydict().values(), strict=True) for k, x in enumerate(xs)]
+    monkeypatch.setattr(mixing, "PIECE_BLOCKS", 10)
+    monkeypatch.setattr(mixing, "RUN_BLOCKS", 3)
+    parts = [(s, f + k, x) for t in mixing.block_starts(weights, sizes, 4) for s, f, xs in zip(*t.to_pydict().values(), strict=True) for k, x in enumerate(xs)]
+    assert sorted(whole) == sorted(parts) and {x[:2] for x in whole} == {(s, j) for s, n in enumerate(sizes) for j in range(-(-n // 4))}
+    at = 0
+    for s, j, x in sorted(whole, key=lambda v: v[2]):
+        assert x == at
+        at += min(4, sizes[s] - 4 * j)
+    target = [3333333**0.5] + [350877**0.5] * 19
+    seen, total = [0] * 20, sum(target)
+    for t, i in zip(range(1, 1_000_001), mixing.pfair(mixing.exact(target), [10**7] * 20)):
+        seen[i] += 1
+        if t % 997 == 0:
+            assert all(abs(n - t * w / total) < 1 + 1e-6 for n, w in zip(seen, target, strict=True))
+
+
 def test_shards(spark):
     rng = random.Random(8)
     rows = [(i, "x" * rng.choice([0, 1, 10, 50, 4000])) for i in range(3000)] + [(10_000 + i, "the same") for i in range(1500)]
