@@ -4,7 +4,8 @@ The pages of a host are merged into one style tree: a node is a path of
 elements (tag and class), and for each node the tree holds how often it
 occurs and which contents its branch has had. A branch whose content hardly
 varies over the host's pages (low entropy, as for menus and notices) is of low
-importance and is cut from each of the host's pages. What the markup itself
+importance and is cut from the pages whose own content there is one of those
+that the host repeats. Articles are never cut into. What the markup itself
 declares as presentation (navigation, forms, scripts, advert and comment
 boxes) is cut on any host, also where a host has too few pages for a tree.
 """
@@ -55,6 +56,11 @@ ARTICLE_DROP = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|co
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: The entropy's unit stops growing at so many pages: three equally frequent contents are the most that count as repeats (fixed value).
+UNIT_PAGES = 320
+#: The least share of a branch's pages that a content is on to count as one the host repeats (fixed value).
+REPEATED = 0.1
+
 #: Long numbers in class names differ from page to page.
 _DIGITS = re.compile(r"\d{3,}")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -177,6 +183,11 @@ def branches(page: list[Block]) -> dict[str, tuple[int, float]]:
     return {k: (xxhash.xxh3_64_intdigest("\n".join(v)) - 2**63, sum(map(len, v)) / total) for k, v in held.items()}
 
 
+def repeated(page: list[Block], repeats: dict[str, list[int]], max_share: float) -> frozenset[str]:
+    """The paths at which the page's own content is one of ``repeats`` and at most ``max_share`` of its text."""
+    return frozenset(k for k, (content, share) in branches(page).items() if share <= max_share and content in repeats.get(k, ()))
+
+
 def main_text(page: list[Block], cut: frozenset[str] = frozenset()) -> str:
     """The article's blocks joined by newlines, without the branches at ``cut``."""
 
@@ -188,12 +199,13 @@ def main_text(page: list[Block], cut: frozenset[str] = frozenset()) -> str:
 
 
 def style_tree(df: DataFrame, min_pages: int = 8) -> DataFrame:
-    """The nodes of each host's style tree: host, path, pages, importance, share.
+    """The nodes of each host's style tree: host, path, pages, share, repeats, importance.
 
     ``df`` has _host and _html. Copies of a page count once. The importance of
     a node is the entropy of its branch's content over the host's pages, in
-    units of the largest possible (all different); nodes on under
-    ``min_pages`` pages are of importance 1.
+    units of the largest possible (all different, on UNIT_PAGES pages at most);
+    nodes on under ``min_pages`` pages are of importance 1. ``repeats`` are the
+    contents on ``min_pages`` pages and REPEATED of the node's pages at least.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +223,12 @@ def style_tree(df: DataFrame, min_pages: int = 8) -> DataFrame:
     nodes = nodes.groupBy("host", "path", "content", "page").agg(F.max("share").alias("share"))
     contents = nodes.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("share"))
     tree = contents.groupBy("host", "path").agg(
-        F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("_nln"), (F.sum("share") / F.sum("n")).alias("share")
-    )
-    entropy = (F.ln("pages") - F.col("_nln") / F.col("pages")) / F.ln("pages")
-    return tree.select("host", "path", "pages", "share", F.when(F.col("pages") < min_pages, F.lit(1.0)).otherwise(entropy).alias("importance"))
+        F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("_nln"), (F.sum("share") / F.sum("n")).alias("share"),
+        F.collect_list(F.when(F.col("n") >= min_pages, F.struct("n", "content"))).alias("_often"),
+    )
+    entropy = (F.ln("pages") - F.col("_nln") / F.col("pages")) / F.ln(F.least("pages", F.lit(UNIT_PAGES)))
+    repeats = F.transform(F.filter("_often", lambda x: x["n"] >= F.col("pages") * REPEATED), lambda x: x["content"])
+    return tree.select("host", "path", "pages", "share", repeats.alias("repeats"), F.when(F.col("pages") < min_pages, F.lit(1.0)).otherwise(entropy).alias("importance"))
 
 
 def extract_pages(
@@ -229,8 +243,9 @@ def extract_pages(
     """The main text of every page: id, url, text (blocks joined by newlines), n_chars, n_cut.
 
     Branches of importance under ``min_importance`` that hold on average at
-    most ``max_share`` of their pages' text are cut (``n_cut``: how many of
-    the page's blocks). Null and empty pages give an empty text; pages without
+    most ``max_share`` of their pages' text are cut from a page (``n_cut``: how
+    many of its blocks) where its own content is one that the host repeats and
+    its own share is as small; article and main elements stay whole. Null and empty pages give an empty text; pages without
     a host in the url share one tree; repeated rows are kept; an empty input
     gives an empty result.
     """
@@ -238,8 +253,9 @@ def extract_pages(
     rows = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"), host.alias("_host"))
     tree = style_tree(rows, min_pages)
     low = tree.where((F.col("importance") < min_importance) & (F.col("share") <= max_share))
-    # Few paths a host: each is on min_pages pages at least and repeats its content.
-    low = stage(low.groupBy("host").agg(F.collect_set("path").alias("_cut")), "style-cuts")
+    # Few paths a host and contents a path: each is on min_pages pages at least.
+    low = low.select("host", F.struct("path", "repeats").alias("_c")).where(F.size("_c.repeats") > 0)
+    low = stage(low.groupBy("host").agg(F.collect_list("_c").alias("_cut")), "style-cuts")
     rows = rows.join(low, F.col("_host") == F.col("host"), "left").select("_id", "_url", "_html", "_cut")
     kind, url_kind = rows.schema["_id"].dataType.simpleString(), rows.schema["_url"].dataType.simpleString()
 
@@ -250,7 +266,8 @@ def extract_pages(
                 for html, cut in zip(string_column(part, "_html").to_pylist(), part.column("_cut").to_pylist(), strict=True):
                     page = blocks(html)
                     whole = main_text(page)
-                    texts.append(main_text(page, frozenset(cut)) if cut else whole)
+                    own = repeated(page, {c["path"]: c["repeats"] for c in cut}, max_share) if cut and not any(b.main for b in page) else frozenset()
+                    texts.append(main_text(page, own) if own else whole)
                     cuts.append(whole.count("\n") - texts[-1].count("\n") if len(whole) != len(texts[-1]) else 0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), part.column("_url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(cuts, pa.int64())],

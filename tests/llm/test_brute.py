@@ -325,6 +325,23 @@ def test_style_trees(spark):
     assert got[200] == "Home Shop About\nOnly page.\nAll rights kept, 2024"
 
 
+def test_own_content_stays_in_a_repeated_branch(spark):
+    """A page is cut where it repeats its host, not where others do; headings of an article template stay; many variants are no repeat."""
+    def page(k, body):
+        return f"<html><body><div class='x2'><p>{f'Story {k} is of its own kind, number {k * 7}. ' * 6}</p></div>{body}</body></html>"
+
+    rows = [(k, f"http://lists.example/{k}", page(k, f"<ul><li>{'See all' if k < 190 else f'Part {k} of the set'}</li></ul>")) for k in range(200)]
+    rows += [(1000 + k, f"http://heads.example/{k}", f"<article><h2>Overview</h2><p>{f'Text {k} of an article. ' * 9}</p></article>") for k in range(200)]
+    rows += [(3000 + k, f"http://many.example/{k}", page(k, f"<div class='v'>Variant {k % 5}</div>")) for k in range(6000)]
+    rows += [(20000, "http://lists.example/x", "<html><body><ul><li>See all</li></ul></body></html>")]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert not [k for k in range(190) if "See all" in got[k]]
+    assert all(f"Part {k} of the set" in got[k] for k in range(190, 200))
+    assert all(got[1000 + k].startswith("Overview\n") for k in range(200))
+    assert all(f"Variant {k % 5}" in got[3000 + k] for k in range(6000))
+    assert got[20000] == "See all"
+
+
 def test_markup():
     html = """<html><head><title>x</title><script>var t="</p>";</script></head><body><header><a>Home</a></header><nav><ul><li>M</ul></nav>
     <div class="ad">Buy</div><article><h1>T &amp; U</h1><p><b>Bold<br><p>Two
