@@ -21,6 +21,10 @@ def entity_names(canonical: Column, synonyms: Column, mentioned: Column | None =
     return F.array_distinct(F.concat(*lists, *([mentioned] if mentioned is not None else [])))
 
 
+#: Nodes of one neighbour that one task pairs with the others (fixed value).
+NODES_A_TASK = 512
+
+
 def neighbourhood(edges: DataFrame, templates: dict[str, str] | None = None, least: int = 2) -> DataFrame:
     """Nodes with ``least`` neighbours or more under one relation: node, relation, question, answers."""
     near = neighbours(edges).groupBy("node", "relation").agg(F.array_sort(F.collect_set("neighbour")).alias("answers")).where(F.size("answers") >= least)
@@ -36,9 +40,12 @@ def intersection(edges: DataFrame, least: int = 2) -> DataFrame:
     near = neighbours(edges).distinct()
     size = near.groupBy("node", "relation").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
     near = near.join(size, ["node", "relation"])
-    a = near.select(F.col("node").alias("node_a"), "relation", "neighbour", F.col("n").alias("n_a"))
-    b = near.select(F.col("node").alias("node_b"), "relation", "neighbour", F.col("n").alias("n_b"))
-    shared = a.join(b, ["relation", "neighbour"]).where("node_a < node_b").groupBy("node_a", "node_b", "relation", "n_a", "n_b").agg(F.array_sort(F.collect_list("neighbour")).alias("answers"))
+    # The nodes of a neighbour that has many go in parts, each against all of them.
+    held = near.groupBy("relation", "neighbour").agg(F.count(F.lit(1)).alias("_held")).where("_held > 1")
+    near = near.join(held, ["relation", "neighbour"]).withColumn("_parts", F.expr(f"cast(1 + (_held - 1) div {NODES_A_TASK} as int)"))
+    a = near.select(F.col("node").alias("node_a"), "relation", "neighbour", F.col("n").alias("n_a"), F.expr("pmod(xxhash64(node), _parts)").cast("int").alias("_part"))
+    b = near.select(F.col("node").alias("node_b"), "relation", "neighbour", F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    shared = a.join(b, ["relation", "neighbour", "_part"]).where("node_a < node_b").groupBy("node_a", "node_b", "relation", "n_a", "n_b").agg(F.array_sort(F.collect_list("neighbour")).alias("answers"))
     k = F.size("answers")
     return shared.where((k >= least) & (F.col("n_a") > k) & (F.col("n_b") > k)).select("node_a", "node_b", "relation", "answers")
 

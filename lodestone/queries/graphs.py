@@ -227,11 +227,19 @@ def questions_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN (SELECT t, count(*) AS n FROM e GROUP BY t) x ON x.t = a JOIN (SELECT t, count(*) AS n FROM e GROUP BY t) y ON y.t = b WHERE x.n > common AND y.n > common"""
 )
 def questions_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The returned parts of large quantity only, as in the SQL; ``questions_intersection_whole`` has all triples."""
     edges = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 45").select(F.concat(F.lit("S"), "l_suppkey").alias("head"), F.lit("returned").alias("relation"), F.concat(F.lit("P"), "l_partkey").alias("tail")).distinct()
     out = questions.intersection(edges)
     return out.select("node_a", "node_b", "relation", F.size("answers").cast("bigint").alias("common"), F.array_join("answers", "|").alias("answers"))
 
 
+@query()
+def questions_intersection_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection questions on all triples: every returned and supplied part, suppliers and places."""
+    out = questions.intersection(triples(spark, sf_dir).select("head", "relation", "tail"))
+    return out.select("node_a", "node_b", "relation", F.size("answers").cast("bigint").alias("common"), F.array_join("answers", "|").alias("answers"))
+
+
 @query(
     """WITH n AS (SELECT 'S' || s_suppkey AS node, 'located_in' AS r, 'N' || s_nationkey AS nb FROM supplier UNION ALL SELECT 'N' || s_nationkey, 'located_in#inverse', 'S' || s_suppkey FROM supplier
     UNION ALL SELECT 'N' || n_nationkey, 'part_of', 'R' || n_regionkey FROM nation UNION ALL SELECT 'R' || n_regionkey, 'part_of#inverse', 'N' || n_nationkey FROM nation)

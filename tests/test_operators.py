@@ -227,6 +227,39 @@ def test_question_patterns(spark):
     assert two[("a", "r", "s")] == ["p", "q"]
 
 
+def intersections(edges):
+    """All pairs of nodes that share two neighbours or more under a relation, each having others too."""
+    near = {}
+    for h, r, t in edges:
+        if h != t:
+            near.setdefault((r, h), set()).add(t)
+            near.setdefault((r + "#inverse", t), set()).add(h)
+    out = {}
+    for (r, a), x in near.items():
+        for (s, b), y in near.items():
+            k = x & y
+            if r == s and a < b and len(k) >= 2 and len(x) > len(k) and len(y) > len(k):
+                out[a, b, r] = sorted(k)
+    return out
+
+
+def test_intersections_with_hot_neighbours(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(questions, "NODES_A_TASK", 16)
+    edges = [(f"s{rng.randrange(40)}", rng.choice(["r", "q"]), f"p{rng.randrange(60)}") for _ in range(600)] + [(f"s{i}", "r", "hot") for i in range(40)] + [("hot", "r", "hot")]
+    got = {(r["node_a"], r["node_b"], r["relation"]): r["answers"] for r in questions.intersection(spark.createDataFrame(edges, "head string, relation string, tail string")).collect()}
+    assert got == intersections(edges)
+
+
+def test_intersections_of_all_triples(spark, small):
+    from lodestone.catalog import queries
+    from lodestone.queries.graphs import triples
+
+    want = intersections([tuple(r) for r in triples(spark, small).select("head", "relation", "tail").distinct().collect()])
+    got = {(r["node_a"], r["node_b"], r["relation"]): r["answers"] for r in queries()["questions_intersection_whole"](spark, small).collect()}
+    assert got == {k: "|".join(v) for k, v in want.items()}
+
+
 def test_answer_kinds(spark):
     df = spark.createDataFrame([("list", [["a", "b"], ["c"]], "i"), ("summary", None, "i")], "k string, exact array<array<string>>, ideal string")
     got = [[tuple(x) for x in r[0]] for r in df.select(filters.answers_of_type(F.col("k"), F.col("exact"), F.col("ideal"))).collect()]
