@@ -72,6 +72,33 @@ def test_jaccard(spark, size, percent, seed):
     assert got == jaccard_brute(rows, size, percent)
 
 
+def test_jaccard_with_repeated_and_null_ids(spark):
+    """All texts of an id are one node, a null id is none; brute force over texts."""
+    rng = random.Random(21)
+    rows = [((i // 2 if i % 5 == 0 else i) if i % 11 else None, t, *_) for i, t, *_ in corpus(21, 160)]
+    rows += [(2000, rows[1][1], *rows[1][2:]), (2001, rows[2][1], *rows[2][2:]), (2002, rows[1][1], *rows[1][2:]), (2002, rows[2][1], *rows[2][2:])]
+    rng.shuffle(rows)
+    sets = word_sets([(k, t) for k, (_, t, *_) in enumerate(rows)], 4)
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and None not in (rows[a][0], rows[b][0]) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    ids = sorted({r[0] for r in rows if r[0] is not None})
+    part = components(ids, [(rows[a][0], rows[b][0]) for a, b in links])
+    equal = {frozenset(s): part[rows[k][0]] for k, s in sets.items() if s and rows[k][0] is not None}
+    want = sorted(str((r[0], len(sets[k]), part[r[0]] if r[0] is not None else equal.get(frozenset(sets[k])))) for k, r in enumerate(rows))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOC).repartition(4), 4, 85).collect()
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == want
+
+
+def test_jaccard_with_frequent_ngrams(spark, monkeypatch):
+    """N-grams handed on early, hot partners in many salts and places that rows do not carry change nothing."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard, "MOST_HELD", 40)
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 2)
+    monkeypatch.setattr(jaccard, "CARRIED", 1)
+    rows = corpus(4, 250, copies=0.7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOC).repartition(5), 2, 70).collect()}
+    assert got == jaccard_brute(rows, 2, 70)
+
+
 def repeats_brute(rows, length):
     seen, out = set(), {}
     for i, t, *_ in sorted(rows):
