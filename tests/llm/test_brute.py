@@ -224,6 +224,28 @@ def test_shards(spark):
     assert [r["doc_id"] for r in sorted(order, key=lambda r: (r["shard"], r["slot"]))] == list(range(100))
 
 
+@pytest.mark.parametrize("per_range", [500_000, 40])
+def test_shards_keep_the_key_order(spark, per_range):
+    """Also where sizes are heavy-tailed, one text is hot and ranges are subdivided again and again."""
+    rng = random.Random(18)
+    rows = [(i, "x" * min(200_000, int(rng.paretovariate(0.7)))) for i in range(2500)] + [(10_000 + i, "the same") for i in range(1500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    size = {i: len(t) + 8 for i, t in rows}
+    total, at, want = sum(size.values()), 0, {}
+    for i in sorted(size):
+        want[i] = min(23, int((at + size[i] / 2) * 24 / total))
+        at += size[i]
+    got = sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.shard_by_size(df, 24, order_col="doc_id", rows_per_range=per_range).collect())
+    assert [i for *_, i in got] == sorted(size) and {i: s for s, _, i in got} == want
+    # By a table of places, against the ids' order; equal texts stand together where there is none.
+    places = spark.createDataFrame([(i, -i) for i in size], "doc_id bigint, place bigint")
+    got = sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.shard_by_size(df, 24, order=places, rows_per_range=per_range).collect())
+    assert [i for *_, i in got] == sorted(size, reverse=True)
+    crcs = [c for *_, c in sorted((r["shard"], r["slot"], r["text_crc32"]) for r in sharding.shard_by_size(df, 24, rows_per_range=per_range).collect())]
+    assert 1 + sum(a != b for a, b in zip(crcs, crcs[1:])) == len({t for _, t in rows})
+
+
 def test_tokens(spark):
     vocabulary = tokens.read_vocabulary(open(tokens.DEFAULT_VOCABULARY, "rb").readlines())
     known = set(vocabulary)

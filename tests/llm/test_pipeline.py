@@ -26,8 +26,10 @@ def test_stages(spark, small, tmp_path):
             assert set(after) == set(before)
         if name == "sharding":
             assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before)
-            # Shards are runs of the mixed order.
-            assert [r["doc_id"] for r in sorted(after, key=lambda r: (r["shard"], r["slot"]))] == [r["doc_id"] for r in before]
+            # Shards are runs of the mixed order, in which the files before hold the rows.
+            mixed = spark.read.parquet(str(tmp_path / str(k - 1))).select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+            mixed.sort(key=lambda r: (int(r["file_name"].split("-")[1]), r["row_index"]))
+            assert [r["doc_id"] for r in sorted(after, key=lambda r: (r["shard"], r["slot"]))] == [r["doc_id"] for r in mixed]
 
 
 def test_run(spark, small):
