@@ -34,10 +34,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
 
 
+def mixed_order(docs: DataFrame) -> DataFrame:
+    """doc_id and its place in the mix, a function of the documents' ids and sources."""
+    order = mixing.mix_sources(docs, power=0.5, block_rows=32)
+    return stage(order.groupBy("doc_id").agg(F.min("position").alias("place")), "mix-order")
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: files and the rows in them follow the schedule."""
-    order = mixing.mix_sources(docs, power=0.5, block_rows=32)
-    order = stage(order.groupBy(F.col("doc_id").alias("_d")).agg(F.min("position").alias("_p")), "mix-order")
+    order = mixed_order(docs).toDF("_d", "_p")
     last = order.agg(F.max("_p")).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     part = F.expr(f"cast(_p * {parts} div {last + 1} as int)")
@@ -46,11 +51,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shards of near equal bytes, cut from the mixed order (the text's hash where the rows come from no files)."""
-    if not docs.inputFiles():
-        return sharding.shard_by_size(docs, SHARDS)
-    place = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint") * 2**40 + F.col("_metadata.row_index")
-    return sharding.shard_by_size(docs.select("doc_id", "text", place.alias("_place")), SHARDS, order_col="_place")
+    """Shards of near equal bytes, cut from the mixed order; it is found again from the rows, so it does not matter how they come."""
+    return sharding.shard_by_size(docs, SHARDS, order=mixed_order(docs))
 
 
 STAGES = [
