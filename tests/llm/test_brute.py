@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,24 +189,50 @@ def test_mixing_does_not_drift(spark, sizes):
         assert all(abs(seen[k] - t * w) < 1 + 1e-9 for k, w in weights.items())
 
 
-def test_mixing_in_pieces(monkeypatch):
-    """Places sent in many pieces are those of one: every block once, one after the other, and within one block over a million slots."""
-    sizes, weights = [70, 41, 300], mixing.exact([0.3, 0.1, 0.6])
-    whole = [(s, f + k, x) for t in mixing.block_starts(weights, sizes, 4) for s, f, xs in zip(*t.to_pydict().values(), strict=True) for k, x in enumerate(xs)]
-    monkeypatch.setattr(mixing, "PIECE_BLOCKS", 10)
-    monkeypatch.setattr(mixing, "RUN_BLOCKS", 3)
-    parts = [(s, f + k, x) for t in mixing.block_starts(weights, sizes, 4) for s, f, xs in zip(*t.to_pydict().values(), strict=True) for k, x in enumerate(xs)]
-    assert sorted(whole) == sorted(parts) and {x[:2] for x in whole} == {(s, j) for s, n in enumerate(sizes) for j in range(-(-n // 4))}
-    at = 0
-    for s, j, x in sorted(whole, key=lambda v: v[2]):
-        assert x == at
-        at += min(4, sizes[s] - 4 * j)
-    target = [3333333**0.5] + [350877**0.5] * 19
-    seen, total = [0] * 20, sum(target)
-    for t, i in zip(range(1, 1_000_001), mixing.pfair(mixing.exact(target), [10**7] * 20)):
-        seen[i] += 1
-        if t % 997 == 0:
-            assert all(abs(n - t * w / total) < 1 + 1e-6 for n, w in zip(seen, target, strict=True))
+def fluid(weights, blocks):
+    """Per source the fluid schedule's blocks at each whole slot; a source that has run out leaves its share to the others."""
+    done, at, out = [Fraction(0)] * len(blocks), Fraction(0), [[Fraction(0)] for _ in blocks]
+    left = {i for i, n in enumerate(blocks) if n}
+    while left:
+        act = sum(weights[i] for i in left)
+        step = min(Fraction(int(at) + 1) - at, *((blocks[i] - done[i]) * act / weights[i] for i in left))
+        for i in left:
+            done[i] += step * weights[i] / act
+        at += step
+        left = {i for i in left if done[i] < blocks[i]}
+        if at.denominator == 1:
+            for i, d in enumerate(done):
+                out[i].append(d)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_slots_follow_the_fluid_schedule(spark, seed):
+    """Every block once, one a slot, within one block of the fluid schedule at every slot of every source, whatever the frames, also after sources have run out."""
+    rng = random.Random(seed)
+    weights = [rng.choice([1, 2, 3, 7, 20]) for _ in range(rng.randrange(2, 9))]
+    blocks = [rng.choice([1, 5, 40, 150]) for _ in weights]
+    want = fluid([Fraction(w) for w in weights], blocks)
+    for frame in (1, 64, 10**6):
+        got = sorted((r["slot"], r["s"], r["block"]) for r in mixing.block_slots(spark, weights, blocks, frame).collect())
+        assert [x for x, *_ in got] == list(range(sum(blocks)))
+        seen = [0] * len(blocks)
+        for t, (_, s, j) in enumerate(got, 1):
+            assert j == seen[s]
+            seen[s] += 1
+            assert all(abs(n - want[i][t]) < 1 for i, n in enumerate(seen)), (t, seen)
+
+
+def test_slots_of_a_long_stream(spark):
+    """Within one block of irrational weights over many frames, one source a third of all."""
+    blocks = [6_000] + [640] * 19
+    target = [n**0.5 for n in blocks]
+    got = mixing.block_slots(spark, mixing.exact(target), blocks).orderBy("slot").toPandas()
+    assert (got["slot"] == range(len(got))).all() and len(got.drop_duplicates(["s", "block"])) == sum(blocks)
+    active = int(min(n / w for n, w in zip(blocks, target, strict=True)) * sum(target))
+    for s, w in enumerate(target):
+        seen = (got["s"] == s).cumsum()[:active]
+        assert (abs(seen - (seen.index + 1) * w / sum(target)) < 1 + 1e-6).all()
 
 
 def test_shards(spark):
