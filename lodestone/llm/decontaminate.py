@@ -1,18 +1,29 @@
-"""Benchmark decontamination: shared runs of words, a lossless count of them, exact edit distance.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-An item can only match where it shares words: within d edits of an L-word item
-some run of ceil((L - d) / (d + 1)) of its words stands unchanged, and each
+The CGK random walk copies a sequence word by word and, by a random bit of
+step and word, moves on or stays; sequences at small edit distance fall into
+step again, so their walks agree in many places. Windows of an item's size are
+embedded like the item, from both ends; a window is a candidate if it agrees
+with the item in one of the sampled places (bit-sampling LSH). How many places
+are sampled follows from the item's length: pairs with as many edits as are
+allowed (deletions, insertions, mixed) are embedded beforehand, and the number
+is raised until the one of them that agrees least is missed with a chance of at
+most 1 - recall. Items of over
+LONGEST words, or of lengths at which MOST_SAMPLES places are not enough, have
+all their windows verified.
+
+Windows are looked at only where they can match: within d edits of an L-word
+item some run of ceil((L - d) / (d + 1)) of its words stands unchanged, and each
 edit destroys at most g of its L - g + 1 runs of g words, so L - g + 1 - d g of
 them stand, on diagonals (place in the document less place in the item) that
-differ by at most d. Where a document has that many, the exact edit distance
-over words is computed. Nothing is estimated: every match is found, with
-insertions, deletions and substitutions at any item length.
+differ by at most d. This loses nothing. Candidates are verified with the exact
+edit distance over words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +34,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.text_arrow import Words, hash_strings, mix64, slices, string_column
 
 SEED_WORDS = 3
+#: Walks (half of them from the end back), places sampled of each at most, trials a kind of edit, and words embedded at a time.
+WALKS, MOST_SAMPLES, TRIALS, EMBED_WORDS = 4, 128, 32, 1 << 21
+#: Items of more words have their windows verified without LSH.
+LONGEST = 512
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,10 +61,79 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
     return acc
 
 
+def seed_plan(size: int, most: int) -> tuple[int, int]:
+    """Words of a seed of an item, and how many of its seeds stand in any match within ``most`` edits."""
+    g = min(SEED_WORDS, -(-(size - most) // (most + 1)))
+    return g, max(1, size - g + 1 - most * g)
+
+
+def embed(h: np.ndarray, first: np.ndarray, count: np.ndarray, walk: int, steps: int) -> np.ndarray:
+    """One CGK walk for each window of ``count`` words from ``first`` on (odd walks: from its end back): the word at each step, 0 beyond the window."""
+    at = np.zeros(len(first), np.int64)
+    out = np.zeros((len(first), steps), np.uint64)
+    for j in range(steps):
+        live = at < count
+        c = np.where(live, h[np.where(live, first + (count - 1 - at if walk % 2 else at), 0)], np.uint64(0))
+        out[:, j] = c
+        at += live & (mix64(c + np.uint64((int(_G) * (1 + j + 100_003 * (walk // 2))) % 2**64)) >> np.uint64(63) == 1)
+    return out
+
+
+def _edited(rng: np.random.Generator, item: np.ndarray, edits: int, kind: str) -> list[int]:
+    words, fresh = item.tolist(), iter(range(-(2**31), 0))
+    for at in sorted(rng.choice(len(words), edits, replace=False).tolist(), reverse=True):
+        step = kind if kind != "mixed" else ("delete", "insert", "replace")[rng.integers(3)]
+        words[at : at + (step != "insert")] = [] if step == "delete" else [next(fresh) % 2**64]
+    return words
+
+
+def calibrated(size: int) -> int:
+    """The length at which an item of ``size`` words is calibrated: up to 16 words its own, beyond the next in steps of an eighth."""
+    out = 16
+    while out < size:
+        out += out // 8
+    return out if size > 16 else size
+
+
+@lru_cache(maxsize=1024)
+def samples_for(size: int, similarity: float, recall: float) -> int:
+    """Places a walk to sample so that of the trial pairs with all edits allowed the most different is missed with a chance of at most 1 - recall; 0 where MOST_SAMPLES is not enough."""
+    rng, most = np.random.default_rng(size), int((1 - similarity) * size + 1e-9)
+    g, need = seed_plan(size, most)
+    items, docs, trial, first, count = [], [], [], [], []
+    begin = 0
+    for k in range(3 * TRIALS):
+        item = rng.integers(1, 2**63, size, dtype=np.uint64)
+        side = rng.integers(1, 2**63, 2 * most + 4, dtype=np.uint64)
+        doc = np.concatenate([side, np.array(_edited(rng, item, most, ("delete", "insert", "mixed")[k % 3]), np.uint64), side[::-1]])
+        where = dict(zip(grams(item, g).tolist(), range(size), strict=False))
+        met = np.array(sorted(i - where[x] for i, x in enumerate(grams(doc, g).tolist()) if x in where), np.int64)
+        full = np.maximum(0, np.unique(met[np.searchsorted(met, met + most, side="right") - np.arange(len(met)) >= need]))
+        items.append(item)
+        docs.append(doc)
+        trial.append(np.full(len(full), k))
+        first.append(begin + full)
+        count.append(np.minimum(size, len(doc) - full))
+        begin += len(doc)
+    trial, flat = np.concatenate(trial), np.concatenate(docs)
+    missed = np.zeros(3 * TRIALS)
+    for w in range(WALKS):
+        ones = embed(np.concatenate(items), size * np.arange(len(items)), np.full(len(items), size), w, 2 * size)[trial]
+        same = ((embed(flat, np.concatenate(first), np.concatenate(count), w, 2 * size) == ones) & (ones != 0)).mean(1)
+        missed += np.bincount(trial, np.log(np.maximum(1e-9, 1 - same)), len(missed))
+    needed = 1
+    while needed <= MOST_SAMPLES and np.exp(needed * missed.max()) > 1 - recall:
+        needed *= 2
+    return needed if needed <= MOST_SAMPLES else 0
+
+
 class Items:
-    """The benchmark items of one block, with their seeds and the places of each word."""
+    """The benchmark items of one block, with their seeds, the sampled places of their walks and the places of each word.
 
-    def __init__(self, ids: list, texts: list[str], similarity: float):
+    Besides the text an item takes at most 8 * WALKS * MOST_SAMPLES bytes of samples.
+    """
+
+    def __init__(self, ids: list, texts: list[str], similarity: float, recall: float):
         self.ids, self.words = [], []
         for i, t in zip(ids, texts, strict=True):
             h, _ = word_hashes(pa.array([t]))
@@ -63,9 +147,7 @@ class Items:
         seeds: dict[int, list] = {}
         self.need = np.ones(len(self.size), np.int64)
         for k, w in enumerate(self.words):
-            run = -(-(len(w) - self.most[k]) // (self.most[k] + 1))
-            g = int(min(SEED_WORDS, run))
-            self.need[k] = max(1, len(w) - g + 1 - self.most[k] * g)
+            g, self.need[k] = seed_plan(len(w), int(self.most[k]))
             g_hash = grams(w, g)
             seeds.setdefault(g, []).append((g_hash, np.full(len(g_hash), k), np.arange(len(g_hash))))
         self.seeds = {}
@@ -77,6 +159,41 @@ class Items:
             self.seeds[g] = (*(c[order] for c in cols), table)
         self.masks = [word_masks(w.tolist()) for w in self.words]
         self.back_masks = [word_masks(w[::-1].tolist()) for w in self.words]
+        # Samples of items of one length: the steps of each walk, and each item's words there.
+        self.steps: dict[int, np.ndarray] = {}
+        self.sampled: dict[int, np.ndarray] = {}
+        self.row = np.zeros(len(self.size), np.int64)
+        for n in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == n)
+            self.row[own] = np.arange(len(own))
+            s = samples_for(calibrated(n), similarity, recall) if n <= LONGEST else 0
+            if s:
+                rng = np.random.default_rng(n)
+                self.steps[n] = np.stack([rng.choice(2 * n, min(s, 2 * n), replace=False) for _ in range(WALKS)])
+                flat = np.concatenate([self.words[k] for k in own])
+                self.sampled[n] = self.sample(flat, n * np.arange(len(own)), np.full(len(own), n), n)
+
+    def sample(self, h: np.ndarray, first: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+        """The sampled places of windows held against items of ``size`` words: window x walk x sample."""
+        out = np.zeros((len(first), *self.steps[size].shape), np.uint64)
+        room = max(1, EMBED_WORDS // (2 * size))
+        for a in range(0, len(first), room):
+            for w, steps in enumerate(self.steps[size]):
+                out[a : a + room, w] = embed(h, first[a : a + room], count[a : a + room], w, 2 * size)[:, steps]
+        return out
+
+    def candidates(self, h: np.ndarray, item: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which windows agree with their item in a sampled place."""
+        hit = np.ones(len(item), bool)
+        for n in np.unique(self.size[item]).tolist():
+            if n in self.steps:
+                at = np.flatnonzero(self.size[item] == n)
+                for a in range(0, len(at), 4096):
+                    x = at[a : a + 4096]
+                    theirs = self.sampled[n][self.row[item[x]]]
+                    ours = self.sample(h, first[x], np.minimum(n, end[x] - first[x]), n)
+                    hit[x] = ((ours == theirs) & (theirs != 0)).any((1, 2))
+        return hit
 
 
 def word_masks(item: list[int]) -> dict[int, int]:
@@ -138,10 +255,15 @@ def _scan(part: pa.RecordBatch, items: Items) -> list[tuple[int, int, int, int,
         pair = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (row[1:] != row[:-1])])
         key = pair * (len(h) + 3 * items.longest) + diagonal  # diagonals of two pairs are further apart than any budget
         full = np.searchsorted(key, key + items.most[k], side="right") - np.arange(len(key)) >= items.need[k]
-        found.append(np.stack([row[full], k[full], diagonal[full]], 1))
+        row, k, diagonal = row[full], k[full], diagonal[full]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (k[1:] != k[:-1]) | (diagonal[1:] != diagonal[:-1])
+        row, k, diagonal = row[fresh], k[fresh], diagonal[fresh]
+        near = items.candidates(h, k, np.maximum(diagonal, begins[row]), ends[row])
+        found.append(np.stack([row[near], k[near], diagonal[near]], 1))
     if not found:
         return []
-    # Where the words of a match can lie, beginning with its lowest diagonal; places that overlap become one.
+    # Where the words of a match can lie, on either side of a candidate's diagonal; places that overlap become one.
     places: dict[tuple[int, int], list[list[int]]] = {}
     for row, k, diagonal in np.concatenate(found).tolist():
         most, held = int(items.most[k]), places.setdefault((row, k), [])
@@ -168,6 +290,7 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    recall: float = 0.9999,
     block_items: int = 20_000,
     block_bytes: int = 32 << 20,
 ) -> DataFrame:
@@ -175,10 +298,14 @@ def find_leaks(
 
     An item of L words leaks where some run of the document's words is within
     floor((1 - similarity) L) word edits of it; one row for each document row
-    and item, with the closest place. The benchmark is taken in blocks of at
-    most ``block_items`` items and ``block_bytes`` of text (or one item),
-    each against all documents. Items and documents without words match
-    nothing; repeated rows and items give a row each; null ids are kept.
+    and item, with the closest place among the candidates, of which one at the
+    very threshold is found with a chance of ``recall`` (closer ones: more). The
+    benchmark is taken in blocks of at most ``block_items`` items and
+    ``block_bytes`` of text (or one item), each against all documents; a block
+    takes some 40 bytes a byte of text and 4 KB an item. Items and documents
+    without words match nothing; long texts count whole; repeated rows and
+    items give a row each; null ids are kept. An empty input gives an empty
+    result.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind, item_kind = rows.schema["_id"].dataType.simpleString(), benchmark.schema[item_col].dataType
@@ -186,7 +313,7 @@ def find_leaks(
     out: list[DataFrame] = []
 
     def search(block: list) -> DataFrame:
-        sent = df.sparkSession.sparkContext.broadcast(Items([b[0] for b in block], [b[1] for b in block], similarity))
+        sent = df.sparkSession.sparkContext.broadcast(Items([b[0] for b in block], [b[1] for b in block], similarity, recall))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = sent.value

@@ -5,6 +5,8 @@ import random
 import re
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,8 +118,6 @@ def repeats_brute(rows, length):
 
 
 def test_suffix_array():
-    import numpy as np
-
     rng = random.Random(1)
     for _ in range(200):
         t = np.array([rng.randrange(rng.choice([1, 2, 200])) for _ in range(rng.randrange(50))], np.int64)
@@ -355,6 +355,20 @@ def test_leaks_at_the_threshold_are_all_found(spark):
     assert {p: v for p, v in got.items() if p in every} == {p: v for p, v in every.items() if v[0] <= most[p[1]]}
 
 
+def test_leaks_sampling():
+    """How many places are sampled follows from the length; unrelated windows mostly fall through; memory is bounded."""
+    needed = {n: decontaminate.samples_for(decontaminate.calibrated(n), 0.8, 0.9999) for n in (1, 4, 5, 9, 20, 59, 100, 200)}
+    assert needed[4] <= needed[59] <= needed[200] and all(0 < s <= decontaminate.MOST_SAMPLES for s in needed.values()), needed
+    rng = random.Random(3)
+    items = decontaminate.Items(list(range(40)), [" ".join(rng.choices(VOCAB, k=4000 if k == 0 else 50)) for k in range(40)], 0.8, 0.9999)
+    assert sum(x.nbytes for x in items.sampled.values()) <= 8 * decontaminate.WALKS * decontaminate.MOST_SAMPLES * 40
+    other = decontaminate.word_hashes(pa.array([" ".join(f"z{i}" for i in range(500))]))[0]
+    near = items.candidates(other, np.arange(1, 40), 10 * np.arange(39), np.full(39, 500))
+    own = np.concatenate(items.words[1:])
+    same = items.candidates(own, np.arange(1, 40), 50 * np.arange(39), 50 * np.arange(1, 40))
+    assert not near.any() and same.all()
+
+
 def test_rules_against_counts(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices(VOCAB[:12], k=rng.randrange(120))) + "\n" + rng.choice(["x", "", "# a", "x"]) + "\nx" for _ in range(80)] + ["", "a b c a b c a b c"]
