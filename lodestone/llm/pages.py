@@ -2,23 +2,28 @@
 
 The pages of a host are merged into one style tree: a node is a path of
 elements (tag and class), and for each node the tree holds how often it
-occurs and which contents its branch has had. A branch whose content hardly
-varies over the host's pages (low entropy, as for menus and notices) is of low
-importance and is cut from the pages whose own content there is one of those
-that the host repeats. Articles are never cut into. What the markup itself
-declares as presentation (navigation, forms, scripts, advert and comment
-boxes) is cut on any host, also where a host has too few pages for a tree.
+occurs, which contents its branch has had, in which layouts (the elements
+below it) and how much of its pages' text it holds. The entropy of the contents
+and that of the layouts, each over the host's pages, are its importance, scaled
+by its share of the text. What the markup says is a prior that the importance is
+multiplied by: 0 for elements that are presentation by their kind (navigation,
+forms, hidden boxes, reader comments), SOFT for class words such as "ad" or
+"notice", OUTSIDE beside an article. Branches below LEAST are cut. An undeclared
+branch is cut where its content hardly varies over the host's pages (low
+entropy) from the pages whose own content there is one of those that the host
+repeats; articles are never cut into that way.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.text_arrow import slices, string_column
@@ -36,16 +41,17 @@ CLOSES_P = BLOCK - frozenset("body dd dt head html legend optgroup option summar
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table body article section div main aside nav header footer form td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements, roles and class words that are presentation on any host.
+#: Elements, roles and class words that are presentation on any host; of class words only those of reader comments decide by themselves.
 PLAIN_DROP = frozenset("nav footer aside form button select menu dialog head input label fieldset search datalist audio video".split()) | RAW
 ROLE_DROP = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
 CLASS_DROP = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|banners?|promos?|promoted|promotion|sponsor\w*|side-?bars?|menus?|nav|navs|navbar|navigation|"
     r"bread-?crumbs?|footers?|site-?header|page-?header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|newsletter|"
-    r"subscribe|subscription|comments?|comment-?list|replies|respond|disqus|discussion|responses?|share|sharing|social|related|recommend\w*|widgets?|"
+    r"subscribe|subscription|share|sharing|social|related|recommend\w*|widgets?|"
     r"log-?in|sign-?up|sign-?in|search|skip|pagination|pager|disclaimer|copyright|toolbar|hidden|visually-hidden|sr-only)(?=$|[\s_-])",
     re.I,
 )
+COMMENT_DROP = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|replies|respond|disqus|discussion|responses?)(?=$|[\s_-])", re.I)
 CLASS_HEADER = re.compile(r"(?:^|[\s_-])headers?(?=$|[\s_-])", re.I)
 
 #: Class words that say what a layout has, not what the element is.
@@ -54,158 +60,241 @@ _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: What an article element may be besides an article.
 ARTICLE_DROP = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|comments?|replies|respond|related|teasers?)(?=$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
+#: The rest of a tag up to its end, over quoted values; it never goes back.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: The entropy's unit stops growing at so many pages: three equally frequent contents are the most that count as repeats (fixed value).
 UNIT_PAGES = 320
 #: The least share of a branch's pages that a content is on to count as one the host repeats (fixed value).
 REPEATED = 0.1
 
+#: Priors of branches with a class word of presentation, and of those beside the page's article; what prior times importance must reach.
+SOFT, OUTSIDE, LEAST = 0.5, 0.35, 0.25
+#: The share of the text from which on a branch counts fully, and the least share of a host's pages that a node of its tree is on (fixed values).
+WHOLE_SHARE, ON_PAGES = 0.75, 0.01
+#: Levels of elements that the tree distinguishes.
+LEVELS = 64
+
 #: Long numbers in class names differ from page to page.
 _DIGITS = re.compile(r"\d{3,}")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    """A run of text between block boundaries, with the path of elements above it."""
+    """A run of text between block boundaries: the path of elements above it, whether in an article, declared presentation (hard), or below a branch of that many levels with a class word of it (soft)."""
 
-    __slots__ = ("main", "path", "text")
+    __slots__ = ("hard", "main", "path", "soft", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], main: bool):
-        self.text, self.path, self.main = text, path, main
+    def __init__(self, text: str, path: tuple[str, ...], main: bool = False, hard: bool = False, soft: int = 0):
+        self.text, self.path, self.main, self.hard, self.soft = text, path, main, hard, soft
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
     return tag + "".join("." + c for c in sorted(set(_DIGITS.sub("0", attrs.get("class", "")).lower().split())))
 
 
-def _dropped(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
+def _declared(tag: str, attrs: dict[str, str], in_main: bool) -> int:
+    """What the markup says of an element: 2 presentation by its kind, 1 by a class word, 0 nothing."""
     if tag in PLAIN_DROP or attrs.get("role", "").lower() in ROLE_DROP or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
+        return 2
     if tag in ("body", "html", "main"):
-        return False
+        return 0
     names = " ".join(_HUMP.sub("-", x) for x in (attrs.get("class", "") + " " + attrs.get("id", "")).split() if not _LAYOUT.match(x))
+    if COMMENT_DROP.search(names) or _HIDDEN.search(attrs.get("style", "")) or (tag == "header" and not in_main):
+        return 2
     if tag == "article":
-        return bool(ARTICLE_DROP.search(names))
-    if (tag == "header" or CLASS_HEADER.search(names)) and not in_main:
-        return True
-    return bool(names and CLASS_DROP.search(names)) or bool(_HIDDEN.search(attrs.get("style", "")))
+        return 2 if ARTICLE_DROP.search(names) else 0
+    if not names:
+        return 0
+    soft = CLASS_DROP.search(names) or (not in_main and CLASS_HEADER.search(names))
+    return 0 if not soft else 1 if tag in BLOCK else 2
 
 
 def blocks(html: str) -> list[Block]:
-    """The page's text blocks outside declared presentation, in page order.
+    """The page's text blocks in page order, in time linear in the page.
 
-    ``main`` tells blocks inside an article or main element. Unclosed and
-    misnested tags are repaired as browsers do for paragraphs, lists and tables.
+    Unclosed and misnested tags are repaired as browsers do for paragraphs,
+    lists and tables; a "<" that no ">" follows is text.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, dropped, main
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, main, hard, soft
+    path: list[str] = []
+    held: Counter[str] = Counter()
     parts: list[str] = []
     pos, end = 0, len(html)
+    quotes = True  # whether quoted values are minded: not any more after one that ran over the page's end
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, tuple(x[1] for x in stack if x[0] in BLOCK), bool(stack and stack[-1][3])))
+                _, main, hard, soft = stack[-1] if stack else ("", False, False, 0)
+                out.append(Block(text, tuple(path[:LEVELS]), main, hard, soft))
 
     def pop(index: int) -> None:
-        if any(x[0] in BLOCK for x in stack[index:]):
+        gone = [x[0] for x in stack[index:]]
+        levels = sum(x in BLOCK for x in gone)
+        if levels:
             flush()
+            del path[len(path) - levels :]
+        held.subtract(gone)
         del stack[index:]
 
     while pos < end:
-        m = _TOKEN.search(html, pos)
-        if not m:
-            if not (stack and stack[-1][2]):
-                parts.append(html[pos:])
+        at = html.find("<", pos)
+        if at < 0:
+            parts.append(html[pos:])
             break
-        if m.start() > pos and not (stack and stack[-1][2]):
-            parts.append(html[pos : m.start()])
-        pos = m.end()
-        if m[2] is None:
+        if at > pos:
+            parts.append(html[pos:at])
+        lead = html[at + 1 : at + 2]
+        if lead in ("!", "?"):
+            mark = "-->" if html.startswith("<!--", at) else "]]>" if html.startswith("<![CDATA[", at) else ">"
+            stop = html.find(mark, at + (4 if mark == "-->" else 2))
+            pos = end if stop < 0 else stop + len(mark)
             continue
-        tag = m[2].lower()
+        m = _NAME.match(html, at)
+        rest = m and quotes and _REST.match(html, m.end())
+        if m and not rest:
+            quotes = False
+            stop = html.find(">", m.end())
+            if stop < 0:
+                parts.append(html[at:])
+                break
+        if not m:
+            parts.append("<")
+            pos = at + 1
+            continue
+        pos = rest.end() if rest else stop + 1
+        tag, inner = m[2].lower(), html[m.end() : pos - 1]
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if stack[i][0] in ("article", "main", "body", "table") and tag not in ("html", "body", "article", "main", "table"):
-                    break
+            if held[tag] > 0:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        pop(i)
+                        break
+                    if stack[i][0] in ("article", "main", "body", "table") and tag not in ("html", "body", "article", "main", "table"):
+                        break
             continue
         if tag in ("br", "hr", "wbr"):
             if tag == "hr":
                 flush()
-            elif tag == "br" and not (stack and stack[-1][2]):
+            elif tag == "br":
                 parts.append(" ")
             continue
         if tag in VOID:
             continue
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3].strip(" /\n\t") else {}
+        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(inner)} if inner.strip(" /\n\t") else {}
         if tag in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
+            if not inner.endswith("/"):
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
+                if close is None:
+                    unclosed.add(tag)
                 pos = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else pos)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and held["p"] > 0:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     pop(i)
                     break
                 if stack[i][0] in BLOCK:
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(held[x] > 0 for x in ENDS[tag]):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ENDS[tag]:
                     pop(i)
                     break
                 if stack[i][0] in STOPS:
                     break
+        _, main, hard, soft = stack[-1] if stack else ("", False, False, 0)
+        says = _declared(tag, attrs, main)
         if tag in BLOCK:
             flush()
-        above = stack[-1] if stack else ("", "", False, False)
-        dropped = above[2] or _dropped(tag, attrs, above[3])
-        inside = above[3] or tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
-        stack.append((tag, _label(tag, attrs) if tag in BLOCK else "", dropped, inside))
+            path.append(_label(tag, attrs))
+            soft = soft or (len(path) if says == 1 and len(path) <= LEVELS else 0)
+        elif says and not hard:
+            # An inline element goes with its text.
+            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
+            if close is None:
+                unclosed.add(tag)
+            else:
+                pos = close.end()
+            continue
+        inside = main or tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
+        stack.append((tag, inside, hard or says == 2, soft))
+        held[tag] += 1
     flush()
     return out
 
 
-def branches(page: list[Block]) -> dict[str, tuple[int, float]]:
-    """For each style path of the page: a hash of its branch's content and its share of the page's text."""
-    held: dict[str, list[str]] = {}
-    total = sum(len(b.text) for b in page) or 1
+def branches(page: list[Block]) -> dict[str, tuple[int, int, float]]:
+    """For each style path of the page: hashes of its branch's content and of its layout, and its share of the page's text (of what is not presentation by its kind)."""
+    held: dict[str, list[Block]] = {}
+    total = sum(len(b.text) for b in page if not b.hard) or 1
     for b in page:
         for depth in range(1, len(b.path) + 1):
-            held.setdefault(">".join(b.path[:depth]), []).append(b.text)
-    return {k: (xxhash.xxh3_64_intdigest("\n".join(v)) - 2**63, sum(map(len, v)) / total) for k, v in held.items()}
+            held.setdefault(">".join(b.path[:depth]), []).append(b)
+    out = {}
+    for k, v in held.items():
+        depth = k.count(">") + 1
+        layout = "|".join(">".join(b.path[depth:]) for b in v)
+        out[k] = (xxhash.xxh3_64_intdigest("\n".join(b.text for b in v)) - 2**63, xxhash.xxh3_64_intdigest(layout) - 2**63, min(1.0, sum(len(b.text) for b in v) / total))
+    return out
 
 
-def repeated(page: list[Block], repeats: dict[str, list[int]], max_share: float) -> frozenset[str]:
-    """The paths at which the page's own content is one of ``repeats`` and at most ``max_share`` of its text."""
-    return frozenset(k for k, (content, share) in branches(page).items() if share <= max_share and content in repeats.get(k, ()))
+def importance(content: float, layout: float, share: float) -> float:
+    return (content + layout) / 2 * min(1.0, share / WHOLE_SHARE)
 
 
-def main_text(page: list[Block], cut: frozenset[str] = frozenset()) -> str:
-    """The article's blocks joined by newlines, without the branches at ``cut``."""
+def judged(page: list[Block], known: dict[str, float], repeats: dict[str, list[int]], max_share: float) -> list[str]:
+    """For each block what becomes of it: "kept", "declared" (presentation by its kind) or "cut" (of low importance).
 
-    def kept(b: Block) -> bool:
-        return not cut or not any(">".join(b.path[:d]) in cut for d in range(1, len(b.path) + 1))
+    ``known``: importance of the host's nodes; where a node is none, the page
+    itself counts (own content, one layout). ``repeats``: undeclared paths of low
+    content entropy with the contents that the host repeats there.
+    """
+    own = branches(page)
+    inside = {b.path[:d] for b in page if b.main and not b.hard for d in range(len(b.path) + 1)}
 
-    inside = [b for b in page if b.main]
-    return "\n".join(b.text for b in (inside or page) if kept(b))
+    def weighs(path: tuple[str, ...], prior: float) -> bool:
+        k = ">".join(path)
+        return prior * known.get(k, importance(1.0, 0.0, own[k][2])) >= LEAST
 
+    def fate(b: Block) -> str:
+        if b.hard:
+            return "declared"
+        if b.soft and not weighs(b.path[: b.soft], SOFT):
+            return "cut"
+        if inside:
+            beside = next((d for d in range(1, len(b.path) + 1) if b.path[:d] not in inside), 0)
+            return "kept" if b.main or (beside and weighs(b.path[:beside], OUTSIDE)) else "cut"
+        if repeats:
+            for d in range(1, len(b.path) + 1):
+                k = ">".join(b.path[:d])
+                if own[k][2] <= max_share and own[k][0] in repeats.get(k, ()):
+                    return "cut"
+        return "kept"
+
+    return [fate(b) for b in page]
+
+
+def main_text(page: list[Block], known: dict[str, float] | None = None, repeats: dict[str, list[int]] | None = None, max_share: float = 0.25) -> str:
+    """The blocks that are kept, joined by newlines."""
+    return "\n".join(b.text for b, f in zip(page, judged(page, known or {}, repeats or {}, max_share), strict=True) if f == "kept")
 
-def style_tree(df: DataFrame, min_pages: int = 8) -> DataFrame:
-    """The nodes of each host's style tree: host, path, pages, share, repeats, importance.
 
-    ``df`` has _host and _html. Copies of a page count once. The importance of
-    a node is the entropy of its branch's content over the host's pages, in
-    units of the largest possible (all different, on UNIT_PAGES pages at most);
-    nodes on under ``min_pages`` pages are of importance 1. ``repeats`` are the
-    contents on ``min_pages`` pages and REPEATED of the node's pages at least.
+def style_tree(df: DataFrame, min_pages: int = 8) -> DataFrame:
+    """The nodes of each host's style tree: host, path, pages, share, repeats, content, layout.
+
+    ``df`` has _host and _html. Copies of a page count once. ``content`` and
+    ``layout`` are the entropies of what a node's branch has held and of how it was
+    laid out, in units of the largest possible (all different, on UNIT_PAGES pages
+    at most). ``repeats`` are the contents on ``min_pages`` pages and REPEATED of the node's
+    pages at least. The tree has the nodes on ``min_pages`` pages and ON_PAGES of
+    the host's pages at least.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,21 +303,29 @@ def style_tree(df: DataFrame, min_pages: int = 8) -> DataFrame:
                 rows = []
                 for host, html in zip(part.column("_host").to_pylist(), string_column(part, "_html").to_pylist(), strict=True):
                     page = xxhash.xxh3_64_intdigest(html) - 2**63
-                    rows += [(host, path, page, content, share) for path, (content, share) in branches(blocks(html)).items()]
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "path", "page", "content", "share"])
-
-    nodes = df.select("_host", "_html").mapInArrow(emit, "host string, path string, page bigint, content bigint, share double")
-    nodes = nodes.groupBy("host", "path", "content", "page").agg(F.max("share").alias("share"))
-    contents = nodes.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("share"))
+                    rows += [(host, path, page, *node) for path, node in branches(blocks(html)).items()]
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "path", "page", "content", "layout", "share"])
+
+    nodes = df.select("_host", "_html").mapInArrow(emit, "host string, path string, page bigint, content bigint, layout bigint, share double")
+    nodes = nodes.groupBy("host", "path", "content", "layout", "page").agg(F.max("share").alias("share"))
+    pairs = stage(nodes.groupBy("host", "path", "content", "layout").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("share")), "style-nodes")
+
+    def entropy(pages: str, nln: str) -> Column:
+        return (F.ln(pages) - F.col(nln) / F.col(pages)) / F.ln(F.greatest(F.lit(2), F.least(F.col(pages), F.lit(UNIT_PAGES))))
+
+    contents = pairs.groupBy("host", "path", "content").agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
     tree = contents.groupBy("host", "path").agg(
         F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("_nln"), (F.sum("share") / F.sum("n")).alias("share"),
         F.collect_list(F.when(F.col("n") >= min_pages, F.struct("n", "content"))).alias("_often"),
     )
-    entropy = (F.ln("pages") - F.col("_nln") / F.col("pages")) / F.ln(F.least("pages", F.lit(UNIT_PAGES)))
+    layouts = pairs.groupBy("host", "path", "layout").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("_nln"))
+    layouts = layouts.select("host", "path", entropy("pages", "_nln").alias("layout"))
+    widest = tree.groupBy("host").agg(F.max("pages").alias("_most"))
     repeats = F.transform(F.filter("_often", lambda x: x["n"] >= F.col("pages") * REPEATED), lambda x: x["content"])
-    return tree.select("host", "path", "pages", "share", repeats.alias("repeats"), F.when(F.col("pages") < min_pages, F.lit(1.0)).otherwise(entropy).alias("importance"))
+    tree = tree.join(layouts, ["host", "path"]).join(widest, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("_most") * ON_PAGES))
+    return tree.select("host", "path", "pages", "share", repeats.alias("repeats"), entropy("pages", "_nln").alias("content"), "layout")
 
 
 def extract_pages(
@@ -240,38 +337,47 @@ def extract_pages(
     max_share: float = 0.25,
     min_pages: int = 8,
 ) -> DataFrame:
-    """The main text of every page: id, url, text (blocks joined by newlines), n_chars, n_cut.
-
-    Branches of importance under ``min_importance`` that hold on average at
-    most ``max_share`` of their pages' text are cut from a page (``n_cut``: how
-    many of its blocks) where its own content is one that the host repeats and
-    its own share is as small; article and main elements stay whole. Null and empty pages give an empty text; pages without
-    a host in the url share one tree; repeated rows are kept; an empty input
-    gives an empty result.
+    """The main text of every page: id, url, text (blocks joined by newlines), n_chars, n_cut, n_declared.
+
+    ``n_cut`` blocks went for their low importance in the host's style tree,
+    ``n_declared`` as presentation by their kind. A branch with a class word of
+    presentation, or beside the article, stays if its prior times its
+    importance reaches LEAST. Without article, branches of content entropy under
+    ``min_importance`` that hold on average at most ``max_share`` of their pages'
+    text are cut from a page where its own content is one that the host repeats
+    and its own share is as small. Null and empty pages give an empty text; long
+    pages count whole, in linear time; pages without a host in the url share one
+    tree; repeated rows are kept; an empty input gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"), host.alias("_host"))
     tree = style_tree(rows, min_pages)
-    low = tree.where((F.col("importance") < min_importance) & (F.col("share") <= max_share))
-    # Few paths a host and contents a path: each is on min_pages pages at least.
-    low = low.select("host", F.struct("path", "repeats").alias("_c")).where(F.size("_c.repeats") > 0)
-    low = stage(low.groupBy("host").agg(F.collect_list("_c").alias("_cut")), "style-cuts")
-    rows = rows.join(low, F.col("_host") == F.col("host"), "left").select("_id", "_url", "_html", "_cut")
+    low = (F.col("content") < min_importance) & (F.col("share") <= max_share)
+    weight = (F.col("content") + F.col("layout")) / 2 * F.least(F.lit(1.0), F.col("share") / WHOLE_SHARE)
+    # Nodes on ON_PAGES of a host's pages: their number does not grow with the host.
+    node = F.struct("path", weight.alias("weight"), F.when(low, F.col("repeats")).alias("repeats"))
+    trees = stage(tree.groupBy("host").agg(F.collect_list(node).alias("_tree")), "style-trees")
+    rows = rows.join(trees, F.col("_host") == F.col("host"), "left").select("_id", "_url", "_html", "_host", "_tree")
     kind, url_kind = rows.schema["_id"].dataType.simpleString(), rows.schema["_url"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, tuple[dict, dict]] = {}
         for batch in batches:
             for part in slices(batch, "_html"):
-                texts, cuts = [], []
-                for html, cut in zip(string_column(part, "_html").to_pylist(), part.column("_cut").to_pylist(), strict=True):
+                texts, cut, declared = [], [], []
+                hosts, nodes = part.column("_host").to_pylist(), part.column("_tree")
+                for i, html in enumerate(string_column(part, "_html").to_pylist()):
+                    if hosts[i] not in trees:
+                        if len(trees) >= 256:
+                            trees.clear()
+                        held = nodes[i].as_py() or []
+                        trees[hosts[i]] = {x["path"]: x["weight"] for x in held}, {x["path"]: x["repeats"] for x in held if x["repeats"]}
                     page = blocks(html)
-                    whole = main_text(page)
-                    own = repeated(page, {c["path"]: c["repeats"] for c in cut}, max_share) if cut and not any(b.main for b in page) else frozenset()
-                    texts.append(main_text(page, own) if own else whole)
-                    cuts.append(whole.count("\n") - texts[-1].count("\n") if len(whole) != len(texts[-1]) else 0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), part.column("_url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(cuts, pa.int64())],
-                    names=[id_col, url_col, "text", "n_chars", "n_cut"],
-                )
-
-    return rows.mapInArrow(extract, f"`{id_col}` {kind}, `{url_col}` {url_kind}, text string, n_chars bigint, n_cut bigint")
+                    fates = judged(page, *trees[hosts[i]], max_share)
+                    texts.append("\n".join(b.text for b, f in zip(page, fates, strict=True) if f == "kept"))
+                    cut.append(fates.count("cut"))
+                    declared.append(fates.count("declared"))
+                counts = [pa.array(x, pa.int64()) for x in (list(map(len, texts)), cut, declared)]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_url"), pa.array(texts, pa.string()), *counts], names=[id_col, url_col, "text", "n_chars", "n_cut", "n_declared"])
+
+    return rows.mapInArrow(extract, f"`{id_col}` {kind}, `{url_col}` {url_kind}, text string, n_chars bigint, n_cut bigint, n_declared bigint")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -415,6 +416,57 @@ def test_style_trees(spark):
     assert got[200] == "Home Shop About\nOnly page.\nAll rights kept, 2024"
 
 
+def test_tree_against_counts(spark):
+    """Importances of every node, against a plain count over the pages; pages with and without article, presentation included."""
+    rng = random.Random(14)
+    rows = []
+    for k in range(60):
+        body = "".join(f"<p>{' '.join(rng.choices(VOCAB, k=rng.randrange(1, 9)))}</p>" for _ in range(rng.randrange(1, 4)))
+        body = f"<article>{body}</article>" if k % 2 else f"<div class='text'>{body}</div>"
+        rows.append((k, f"http://h{k % 2}.example/{k}", f"<body><nav><ul><li>{rng.choice(VOCAB)}<li>b</ul></nav>{body}<div class='ad'>{rng.choice(VOCAB[:5])}</div><footer>f</footer>"))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("substring(url, 8, 2) AS _host", "html AS _html")
+    got = {(r["host"], r["path"]): r for r in pages.style_tree(df).collect()}
+    want = {}
+    for _, url, html in dict((r[2], r) for r in rows).values():
+        for path, node in pages.branches(pages.blocks(html)).items():
+            want.setdefault((url[7:9], path), []).append(node)
+    want = {k: v for k, v in want.items() if len(v) >= 8}
+    assert set(got) == set(want) and {p for _, p in got} >= {"body>nav>ul>li", "body>footer", "body>article>p", "body>div.text", "body>div.ad"}
+
+    def entropy(values):
+        n = len(values)
+        return -sum(values.count(v) / n * np.log(values.count(v) / n) for v in set(values)) / np.log(n)
+
+    for k, v in want.items():
+        content, layout, share = zip(*v, strict=True)
+        r = got[k]
+        assert r["pages"] == len(v) and abs(r["share"] - sum(share) / len(v)) < 1e-9
+        assert abs(r["content"] - entropy(content)) < 1e-9 and abs(r["layout"] - entropy(layout)) < 1e-9
+        assert sorted(r["repeats"]) == sorted(c for c in set(content) if content.count(c) >= 8)
+
+
+def test_class_words_and_articles_do_not_decide_alone(spark):
+    """A text under a class word stays where it is what its pages are about; so does one beside an article that is a mere teaser."""
+    own = [f"<p>{' '.join(random.Random(k).choices(VOCAB, k=40))}</p>" * (1 + k % 7) for k in range(30)]
+    rows = [(k, f"http://notices.example/{k}", f"<div class='notice'>{own[k]}</div><div class='promo'>Buy {k}</div>") for k in range(30)]
+    rows += [(100 + k, f"http://teasers.example/{k}", f"<div class='story'>{own[k]}</div><article><p>Next: story {k}</p></article>") for k in range(30)]
+    got = {r["page_id"]: r for r in pages.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(30):
+        text = pages.main_text(pages.blocks(own[k]))
+        assert got[k]["text"] == text and got[k]["n_cut"] == 1
+        assert got[100 + k]["text"].startswith(text)
+
+
+@pytest.mark.parametrize("piece", ["<a b", "<a '", '<a x="', "<", "<!", "<svg>", "<div>", "</p>", "<li>", "<p>", "<b><li>", "<a ' \">", "<span class='ad'>", "&", "<div>x", "<!--", "<a<"])
+def test_markup_in_linear_time(piece):
+    began = time.process_time()
+    pages.main_text(pages.blocks(piece * 2_000))
+    small = time.process_time() - began
+    began = time.process_time()
+    pages.main_text(pages.blocks(piece * 16_000))
+    assert time.process_time() - began < max(1.0, 24 * small)
+
+
 def test_own_content_stays_in_a_repeated_branch(spark):
     """A page is cut where it repeats its host, not where others do; headings of an article template stay; many variants are no repeat."""
     def page(k, body):
