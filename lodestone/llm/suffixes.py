@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.text_arrow import slices
@@ -190,7 +190,7 @@ def _bytes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
-    """Every segment: anchor hash, 128-bit fingerprint, document, first window and number of windows."""
+    """Every segment: anchor hash, 128-bit fingerprint, document (id and text), first window and number of windows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,20 +207,26 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
                         pa.array(both[:, 0]),
                         pa.array(both[:, 1]),
                         part.column("_id").take(pa.array(row)),
+                        part.column("_t").take(pa.array(row)),
                         pa.array((first - np.append(0, ends)[row]).astype(np.int32)),
                         pa.array((last - first + 1).astype(np.int32)),
                         pa.array((anchor - first).astype(np.int32)),
                     ],
-                    names=["key", "f1", "f2", "_id", "s", "n", "o"],
+                    names=["key", "f1", "f2", "_id", "_t", "s", "n", "o"],
                 )
 
-    return rows.mapInArrow(emit, "key bigint, f1 bigint, f2 bigint, _id bigint, s int, n int, o int")
+    return rows.mapInArrow(emit, "key bigint, f1 bigint, f2 bigint, _id bigint, _t bigint, s int, n int, o int")
+
+
+def _same(side: DataFrame) -> tuple[DataFrame, Column]:
+    """A table by document, and the condition that joins it to the rows (a null id is one)."""
+    return side.withColumnsRenamed({"_id": "_i", "_t": "_u"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u"))
 
 
 def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of segments (key, _id, s, n, o)."""
-    lists = wanted.groupBy("_id").agg(F.collect_list(F.struct("key", "s", "n", "o")).alias("_w"))
-    joined = rows.join(lists.withColumnRenamed("_id", "_i"), F.col("_id").eqNullSafe(F.col("_i"))).select("_id", "_text", "_w")
+    """The bytes of segments (key, _id, _t, s, n, o)."""
+    lists = wanted.groupBy("_id", "_t").agg(F.collect_list(F.struct("key", "s", "n", "o")).alias("_w"))
+    joined = rows.join(*_same(lists)).select("_id", "_t", "_text", "_w")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,15 +241,15 @@ def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                             row.append(i)
                 key, s, piece, o = zip(*out, strict=True) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), part.column("_id").take(pa.array(row, pa.int64())), pa.array(s, pa.int32()), pa.array(piece, pa.binary()), pa.array(o, pa.int32())],
-                    names=["key", "_id", "s", "piece", "o"],
+                    [pa.array(key, pa.int64()), *(part.column(c).take(pa.array(row, pa.int64())) for c in ("_id", "_t")), pa.array(s, pa.int32()), pa.array(piece, pa.binary()), pa.array(o, pa.int32())],
+                    names=["key", "_id", "_t", "s", "piece", "o"],
                 )
 
-    return joined.mapInArrow(emit, "key bigint, _id bigint, s int, piece binary, o int")
+    return joined.mapInArrow(emit, "key bigint, _id bigint, _t bigint, s int, piece binary, o int")
 
 
 def worth_sorting(group: list[tuple], length: int) -> list[tuple]:
-    """The segments (key, _id, s, piece, o) of one anchor that may share a window with another.
+    """The segments (key, _id, _t, s, piece, o) of one anchor that may share a window with another.
 
     A window with the anchor in its left half holds the text from the anchor
     on for ``length - half`` bytes, any other window the text before it; equal
@@ -252,7 +258,7 @@ def worth_sorting(group: list[tuple], length: int) -> list[tuple]:
     half = (length - GRAM) // 2
     sides = []
     seen: dict[bytes | tuple, int] = {}
-    for _, _, _, piece, o in group:
+    for *_, piece, o in group:
         mine = []
         if len(piece) - length >= o - half:
             mine.append(piece[o : o + length - half])
@@ -265,19 +271,20 @@ def worth_sorting(group: list[tuple], length: int) -> list[tuple]:
 
 
 def _by_suffix_arrays(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeated runs of bytes (_id, a, b) in segments that are filed under the same anchors."""
+    """Repeated runs of bytes (_id, _t, a, b) in segments that are filed under the same anchors."""
 
-    def settle(rows: list[tuple]) -> list[tuple[int | None, int, int]]:
-        doc = np.array([-(2**63) if r[1] is None else r[1] for r in rows], np.int64)
-        start = np.array([r[2] for r in rows], np.int64)
-        found = repeated_windows([r[3] for r in rows], doc, start, length)
-        return [(r[1], r[2] + a, r[2] + b) for r, x in zip(rows, found, strict=True) for a, b in runs(x, length)]
+    def settle(rows: list[tuple]) -> list[tuple[int | None, int, int, int]]:
+        docs = [(r[1] is not None, r[1], r[2]) for r in rows]
+        place = {d: k for k, d in enumerate(sorted(set(docs), key=lambda d: (d[0], d[1] or 0, d[2])))}
+        start = np.array([r[3] for r in rows], np.int64)
+        found = repeated_windows([r[4] for r in rows], np.array([place[d] for d in docs], np.int64), start, length)
+        return [(r[1], r[2], r[3] + a, r[3] + b) for r, x in zip(rows, found, strict=True) for a, b in runs(x, length)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(rows: list[tuple]) -> pa.RecordBatch:
             got = settle(rows)
-            i, a, b = zip(*got, strict=True) if got else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["_id", "a", "b"])
+            i, t, a, b = zip(*got, strict=True) if got else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["_id", "_t", "a", "b"])
 
         held: list[tuple] = []
         group: list[tuple] = []
@@ -287,7 +294,7 @@ def _by_suffix_arrays(pieces: DataFrame, length: int) -> DataFrame:
                 if group and r[0] != group[0][0]:
                     found = worth_sorting(group, length)
                     held += found
-                    size += sum(len(x[3]) for x in found)
+                    size += sum(len(x[4]) for x in found)
                     group = []
                     if size >= CHUNK_BYTES:
                         yield give(held)
@@ -298,7 +305,7 @@ def _by_suffix_arrays(pieces: DataFrame, length: int) -> DataFrame:
             yield give(held)
 
     # All segments of an anchor reach one task, at most MOST_SEGMENTS of them.
-    return pieces.repartition("key").sortWithinPartitions("key").select("key", "_id", "s", "piece", "o").mapInArrow(emit, "_id bigint, a int, b int")
+    return pieces.repartition("key").sortWithinPartitions("key").select("key", "_id", "_t", "s", "piece", "o").mapInArrow(emit, "_id bigint, _t bigint, a int, b int")
 
 
 def _by_windows(pieces: DataFrame, length: int) -> DataFrame:
@@ -315,12 +322,12 @@ def _by_windows(pieces: DataFrame, length: int) -> DataFrame:
                         at.append(s + o)
                         prints.append(xxhash.xxh3_128_digest(piece[o : o + length]))
                 both = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), part.column("_id").take(pa.array(row, pa.int64())), pa.array(at, pa.int32())], names=["w1", "w2", "_id", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *(part.column(c).take(pa.array(row, pa.int64())) for c in ("_id", "_t")), pa.array(at, pa.int32())], names=["w1", "w2", "_id", "_t", "a"])
 
-    windows = stage(pieces.mapInArrow(emit, "w1 bigint, w2 bigint, _id bigint, a int"), "suffix-windows")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("_id", "a")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    later = windows.join(first, ["w1", "w2"]).where(~(F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("a") == F.col("f.a"))))
-    return later.select("_id", "a", (F.col("a") + length).cast("int").alias("b"))
+    windows = stage(pieces.mapInArrow(emit, "w1 bigint, w2 bigint, _id bigint, _t bigint, a int"), "suffix-windows")
+    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("_id", "_t", "a")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    later = windows.join(first, ["w1", "w2"]).where(~(F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_t") == F.col("f._t")) & (F.col("a") == F.col("f.a"))))
+    return later.select("_id", "_t", "a", (F.col("a") + length).cast("int").alias("b"))
 
 
 def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,38 +337,41 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     are judged on the input, overlaps count, and none crosses documents. Ids
     are whole numbers; a null id comes before all others. Returns id, n_bytes
     (UTF-8), n_removed, n_spans (maximal removed runs), kept_sha256 (of the
-    remaining bytes) and spans (start, end). Null texts count as empty.
-    Repeated rows stand at the same places, so they do not remove each other;
-    rows with one id and different texts share their removed places. An empty
-    input gives an empty result.
+    remaining bytes) and spans (start, end). Null texts count as empty, long
+    ones whole. Repeated rows stand at the same places, so they do not remove
+    each other; different texts of one id, or of null ids, are documents of
+    their own, in the order of a hash of the text. An empty input gives an empty
+    result.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    text = F.col(text_col).cast("string")
+    told = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.hash(text))
+    rows = df.select(F.col(id_col).cast("bigint").alias("_id"), told.cast("bigint").alias("_t"), text.alias("_text"))
     anchors = _anchors(rows, length)
-    shared = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.min(F.struct("_id", "s")).alias("first"))
-    shared = stage(shared.where("k > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed"), "first"), "suffix-anchors")
+    shared = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *(x(c).alias(f"{x.__name__}{c}") for x in (F.min, F.max) for c in ("f1", "f2")), F.min(F.struct("_id", "_t", "s")).alias("first"))
+    shared = stage(shared.where("k > 1").select("key", F.expr("minf1 <> maxf1 OR minf2 <> maxf2").alias("mixed"), "first"), "suffix-anchors")
     hits = stage(anchors.join(shared, "key"), "suffix-hits")
     unstage(shared)
 
     # All segments of the anchor are equal: all but the first go whole.
     end = (F.col("s") + F.col("n") + length - 1).cast("int").alias("b")
-    later = lambda c: ~(F.col("_id").eqNullSafe(F.col(c)["_id"]) & (F.col("s") == F.col(c)["s"]))
-    plain = hits.where(~F.col("mixed") & later("first")).select("_id", F.col("s").alias("a"), end)
+    later = lambda c: ~(F.col("_id").eqNullSafe(F.col(c)["_id"]) & (F.col("_t") == F.col(c)["_t"]) & (F.col("s") == F.col(c)["s"]))
+    plain = hits.where(~F.col("mixed") & later("first")).select("_id", "_t", F.col("s").alias("a"), end)
 
     # Several different segments: of each all but its first go whole, the firsts are compared.
-    mixed = hits.where("mixed").select("key", "f1", "f2", "_id", "s", "n", "o")
-    heads = stage(mixed.groupBy("key", "f1", "f2").agg(F.min(F.struct("_id", "s", "n", "o")).alias("r")), "suffix-heads")
-    copies = mixed.join(heads, ["key", "f1", "f2"]).where(later("r")).select("_id", F.col("s").alias("a"), end)
+    mixed = hits.where("mixed").select("key", "f1", "f2", "_id", "_t", "s", "n", "o")
+    heads = stage(mixed.groupBy("key", "f1", "f2").agg(F.min(F.struct("_id", "_t", "s", "n", "o")).alias("r")), "suffix-heads")
+    copies = mixed.join(heads, ["key", "f1", "f2"]).where(later("r")).select("_id", "_t", F.col("s").alias("a"), end)
     many = heads.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     wanted = heads.join(many, "key").select("key", "r.*", "m")
     large = stage(_cut_out(rows, wanted.where(F.col("m") > MOST_SEGMENTS), length), "suffix-large")
     small = stage(_cut_out(rows, wanted.where(F.col("m") <= MOST_SEGMENTS), length), "suffix-pieces")
     partly = stage(_by_suffix_arrays(small, length).union(_by_windows(large, length)), "suffix-runs")
 
-    spans = plain.union(copies).union(partly).groupBy("_id").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    spans = plain.union(copies).union(partly).groupBy("_id", "_t").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
     spans = stage(spans, "suffix-spans")
     for t in (hits, heads, small, large, partly):
         unstage(t)
-    out = rows.join(spans.withColumnRenamed("_id", "_i"), F.col("_id").eqNullSafe(F.col("_i")), "left").select("_id", "_text", "_spans")
+    out = rows.join(*_same(spans), "left").select("_id", "_text", "_spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -134,6 +134,21 @@ def test_repeats(spark, monkeypatch, most):
     assert got == repeats_brute(rows, 100)
 
 
+def test_repeats_with_repeated_and_null_ids(spark):
+    """Different texts of one id are documents of their own: only what occurs twice goes."""
+    rng = random.Random(31)
+    a, b, c = (" ".join(rng.choices(VOCAB, k=40)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, b + " x"), (None, c + " tail"), (3, c), (4, a + b), (4, a + b)]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    n = lambda t: len(t.encode())
+    assert sorted(x for x in got if x[0] in (1, 3, 4)) == [(1, n(a), 0), (3, n(c), n(c)), (4, n(a + b), n(a + b)), (4, n(a + b), n(a + b))]
+    assert sorted(x for x in got if x[0] == 2) == sorted([(2, n(a), n(a)), (2, n(b), n(b))])  # b stands under a null id, which comes first
+    nulls = sorted(x[1:] for x in got if x[0] is None)
+    assert (n(b + " x"), 0) in nulls and sum(gone for _, gone in nulls) == n(c)
+    alone = suffixes.remove_repeats(spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in alone) == [(1, 0), (2, 0), (2, n(a))]
+
+
 def test_mixing_follows_weights(spark):
     rng = random.Random(3)
     sizes = {"a": 900, "b": 300, "c": 240, None: 60}
