@@ -173,15 +173,16 @@ def fit(
 
     Held out are the ids whose crc32 (of the id as text) is 0 modulo 5. The
     sample is the ``max_rows`` smallest by a hash of the id; an id with
-    several labels has the largest. Without labelled rows, or with one class
+    several labels has the largest, one with several texts one of them. Without labelled rows, or with one class
     only, the model gives every text that class's smoothed share.
     """
     ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
     ids = ids.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0).groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = ids.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_rows)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_id IS NOT NULL")
-    # At most max_rows ids are broadcast.
-    sample = stage(rows.join(F.broadcast(chosen), "_id").repartition(12, "_id"), "classifier-sample")
+    # At most max_rows ids are broadcast; of several texts of an id the one of smallest hash is taken.
+    sample = rows.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    sample = stage(sample.repartition(12, "_id"), "classifier-sample")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,5 +262,5 @@ def score(df: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "do
 
 
 def held_out(id_col: str = "doc_id"):
-    """Whether a row belongs to the fifth that is never trained on."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Whether a row belongs to the fifth that is never trained on (a null id does not, and is not trained on either)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -63,7 +63,7 @@ class LongestMatch:
             v = order[i]
             i += 1
             # The failure link's row is complete: it is of smaller depth.
-            row, popped = step[fail[v]].copy(), pops[fail[v]] + cut[v]
+            row, popped = step[fail[v]].copy(), pops[fail[v]].astype(np.int32) + cut[v]
             for c, u in children[v].items():
                 if token[u]:
                     fail[u], cut[u] = 0, 1
@@ -72,6 +72,8 @@ class LongestMatch:
                 order.append(u)
             for c, u in children[v].items():
                 row[c], popped[c] = u, 0
+            if popped.max() > np.iinfo(pops.dtype).max:
+                pops = pops.astype(np.int32)
             step[v], pops[v] = row, popped
             self.rest[v] = cut[v] + self.rest[fail[v]]
         self.step, self.pops = step, pops

@@ -307,6 +307,9 @@ def test_tokens(spark):
     assert got == {i: sum(greedy(b" " + w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in enumerate(texts)}
     with pytest.raises(ValueError):
         tokens.LongestMatch([b"a"])
+    # One byte can pop hundreds of tokens.
+    long = tokens.LongestMatch([bytes([c]) for c in range(256)] + [b"a" * 600 + b"c"])
+    assert long.counts([b"a" * 599 + b"b", b"a" * 600 + b"c", b"a" * 601 + b"c", b"a" * 1300]).tolist() == [600, 1, 2, 1300]
 
 
 def edit(a, b):
@@ -521,6 +524,16 @@ def test_markup_cases(markup, text):
     assert pages.main_text(pages.blocks(markup)) == text
 
 
+def test_classifier_sample_is_bounded(spark):
+    """A hot id brings one text to the sample; null ids are not held out and not trained on."""
+    docs = spark.createDataFrame([(1, f"text {i} of a hot id") for i in range(500)] + [(i, f"some text {i}") for i in range(40)] + [(None, "x")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1)], "doc_id bigint, quality int")
+    model = classifier.fit(docs, labels, max_rows=10)
+    scored = classifier.score(docs, model).select("doc_id", classifier.held_out().alias("held_out"), "score").collect()
+    assert len(scored) == 541 and all(r["held_out"] in (True, False) and 0 <= r["score"] <= 1 for r in scored)
+    assert classifier.fit(docs.orderBy(F.rand(3)), labels, max_rows=10).__dict__.keys() == model.__dict__.keys()
+
+
 def test_classifier_held_out(spark, small):
     d, labels = spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet"), spark.read.parquet(f"{small.replace('0.001', '0.1')}/labels.parquet")
     model = classifier.fit(d, labels, max_rows=3000)
