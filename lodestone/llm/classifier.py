@@ -127,9 +127,10 @@ def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, seed: int) ->
     """A two-layer network by Adam on the log loss, and the temperature that fits the last fifth of the rows."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
-    x, y = x[order], y[order]
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = (x - mean) / scale
+    z, y = x[order].astype(np.float64), y[order]
+    mean, scale = z.mean(0), z.std(0) + 1e-3
+    z -= mean
+    z /= scale
     cut = max(1, len(z) * 4 // 5)
     zt, yt = z[:cut], y[:cut]
     w = [rng.normal(0, (2 / z.shape[1]) ** 0.5, (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
@@ -218,7 +219,7 @@ def fit(
 
     context = np.zeros((len(known), DIM))
     if len(known):
-        for (sums,) in sample.mapInArrow(contexts, "sums binary").collect():  # one of the 12 tasks each
+        for (sums,) in sample.coalesce(12).mapInArrow(contexts, "sums binary").toLocalIterator():  # at most 12 rows, one at a time
             context += np.frombuffer(sums).reshape(context.shape)
     context = (context / (np.linalg.norm(context, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
@@ -228,13 +229,13 @@ def fit(
                 x = document_vectors(string_column(part, "_text"), known, context).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.string()), part.column("_y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "_y", "x"])
 
-    got = sorted(tuple(r) for r in sample.mapInArrow(vectors, "_id string, _y int, x binary").collect())  # max_rows vectors
-    y = np.array([r[1] for r in got], np.float64)
+    got = sample.coalesce(12).mapInArrow(vectors, "_id string, _y int, x binary").toArrow().sort_by("_id")  # max_rows vectors
+    y = got.column("_y").to_numpy().astype(np.float64)
     size = 2 * DIM + EXTRA
     if len(got) < 10 or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(known, context, np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))), 1.0)
-    x = np.stack([np.frombuffer(r[2], np.float32) for r in got]).astype(np.float64)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), size)
     return Model(known, context, *_train(x, y, hidden, epochs, seed))
 
 
