@@ -219,7 +219,7 @@ def fit(
 
     context = np.zeros((len(known), DIM))
     if len(known):
-        for (sums,) in sample.coalesce(12).mapInArrow(contexts, "sums binary").toLocalIterator():  # at most 12 rows, one at a time
+        for (sums,) in sample.coalesce(12).mapInArrow(contexts, "sums binary").collect():  # at most 12 rows of some 1.5 MB
             context += np.frombuffer(sums).reshape(context.shape)
     context = (context / (np.linalg.norm(context, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
