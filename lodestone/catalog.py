@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.queries import base, evaluation, extraction, flows, graphs, models, retrieval, tables, texts
+from lodestone.queries import base, evaluation, extraction, flows, graphs, models, retrieval, tables, tasks, texts
 
-MODULES = (texts, retrieval, graphs, evaluation, extraction, tables, models, flows)
+MODULES = (texts, retrieval, graphs, evaluation, extraction, tables, models, flows, tasks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

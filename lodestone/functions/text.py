@@ -33,13 +33,13 @@ def paragraph_sentences(text: Column) -> Column:
     return F.flatten(F.transform(paragraphs(text), sentences))
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+def tokens(text: Column, pattern: str = TOKEN) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def tokenized_sentences(text: Column) -> Column:
+def tokenized_sentences(text: Column, pattern: str = TOKEN) -> Column:
     """Each sentence as its tokens joined by single spaces."""
-    return F.transform(sentences(text), lambda s: F.array_join(tokens(s), " "))
+    return F.transform(sentences(text), lambda s: F.array_join(tokens(s, pattern), " "))
 
 
 def collapse_spaces(text: Column) -> Column:

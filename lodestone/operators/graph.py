@@ -66,6 +66,13 @@ def build_edges(triples: DataFrame) -> DataFrame:
     return triples.groupBy("head", "tail", "relation").agg(keys_of().alias("doc_key_list")).select("head", "relation", "tail", "doc_key_list")
 
 
+def counts(triples: DataFrame) -> DataFrame:
+    """One row: how many nodes and edges the triples' graph has."""
+    edges = triples.select("head", "tail", "relation").distinct().agg(F.count(F.lit(1)).alias("edges"))
+    nodes = triples.select(F.explode(F.array("head", "tail")).alias("id")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
+    return nodes.crossJoin(edges).select("nodes", "edges")  # one row each
+
+
 def simple_directed(triples: DataFrame) -> DataFrame:
     """One relation per ordered pair: the last in ingestion order."""
     return triples.groupBy("head", "tail").agg(F.max_by("relation", F.struct("ingest", "relation")).alias("relation"))

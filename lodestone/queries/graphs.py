@@ -78,9 +78,7 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {NODES_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
 def kg_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = triples(spark, sf_dir)
-    edges = t.select("head", "tail", "relation").distinct().agg(F.count(F.lit(1)).alias("edges"))
-    nodes = t.select(F.explode(F.array("head", "tail")).alias("id")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
-    return nodes.crossJoin(edges).select("nodes", "edges")  # one row each
+    return graph.counts(t)
 
 
 @query(f"WITH {TRIPLES_SQL} SELECT DISTINCT least(head, tail) AS a, greatest(head, tail) AS b FROM t")

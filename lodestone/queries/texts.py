@@ -78,8 +78,7 @@ def passages_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenized_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     unicode_token = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
-    each = F.transform(T.sentences(F.col("text")), lambda s: F.array_join(F.regexp_extract_all(s, F.lit(unicode_token), F.lit(0)), " "))
-    return docs.select("doc_id", F.array_join(each, "|").alias("tokenized"))
+    return docs.select("doc_id", F.array_join(T.tokenized_sentences(F.col("text"), unicode_token), "|").alias("tokenized"))
 
 
 @query(
