@@ -407,13 +407,67 @@ def test_bad_hosts_go(spark):
     assert v["bad"]["host_rejected"] and not v["good"]["host_rejected"] and 0.4 < v["few"]["host_rate"] < 1.0
 
 
-def test_license_automata():
+def filled(template, name="Software"):
+    """A template's wording with its optional parts and one word at each place of a name."""
+    return re.sub(r"<<var \d+>>", name, template.replace("<<opt>>", "").replace("<</opt>>", ""))
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_whole_licenses(label):
     scan = licenses.LicenseScanner().scan
-    text = licenses.TEMPLATES["mit"][0].replace("<<opt>>", "").replace("<</opt>>", "").replace("<<var 2>>", "Software")
-    words = licenses.words_of("Intro. " + text + " The end.")
-    base, found = scan(words)
-    assert [x[1] for x in base] == ["mit"] and "mit" in {x[2] for x in found}
-    assert not [x for x in scan([w for w in words if w != "merge"])[1]]
+    words = licenses.words_of("Intro. " + filled(licenses.TEMPLATES[label][0]) + " The end.")
+    assert [(x[0], x[2], x[3]) for x in scan(words)[1]] == [(1, label, True)]
+    # A text that breaks off, or lacks a word of the wording, is not the licence.
+    assert not [x for x in scan(words[: len(words) // 2])[1]]
+    kept = [w for w in words if w != {"zlib": "altered", "unlicense": "perpetuity"}.get(label, "software")]
+    assert not [x for x in scan(kept)[1] if x[3]]
+
+
+def test_notices(spark):
+    rows = [
+        (1, filled(licenses.TEMPLATES["isc"][0]), "isc", 1.0),
+        (2, "Released under the MIT License.", "mit", 0.8),
+        (3, "This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0", 0.8),
+        (4, "This program is " + filled(licenses.NOTICES["lgpl-2.1"][0]), "gpl,lgpl-2.1", 0.8),  # the phrase is in it
+        (5, "an apache license of some kind", "apache", 0.5),
+        (6, "the \u201cSoftware\u201d is free", "", 0.0),
+        (7, filled(licenses.TEMPLATES["mit"][0]).replace('"AS IS"', "\u201cAS IS\u201d"), "mit", 1.0),
+    ]
+    got = licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["labels"], r["score"]) for r in got) == [(i, labels, score) for i, _, labels, score in rows]
+    own = licenses.LicenseScanner({"x": ["alpha <<var 1>> beta"]})
+    assert own.scan("alpha beta alpha q beta".split())[1] == [(0, 2, "x", True), (2, 5, "x", True)]
+    with pytest.raises(ValueError):
+        licenses.LicenseScanner({"x": ["<<opt>>alpha<</opt>>"]})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_license_scan_against_patterns(seed):
+    """Automata accept what the template's regular expression does, at every start, for random templates and texts."""
+    rng = random.Random(seed)
+
+    def part(depth):
+        kind = rng.random()
+        if kind < 0.25 and depth < 2:
+            inner = [part(depth + 1) for _ in range(rng.randint(1, 2))]
+            return "<<opt>>" + " ".join(x[0] for x in inner) + "<</opt>>", "(?:" + "".join(x[1] for x in inner) + ")?"
+        if kind < 0.4:
+            n = rng.randint(1, 3)
+            return f"<<var {n}>>", r"(?:\S+ ){0,%d}" % n
+        word = rng.choice("abc")
+        return word, word + " "
+
+    for _ in range(60):
+        parts = [part(0) for _ in range(rng.randint(1, 5))]
+        automaton = licenses.TemplateAutomaton("a " + " ".join(x[0] for x in parts))
+        pattern = re.compile("a " + "".join(x[1] for x in parts))
+        words = [rng.choice("abcd") for _ in range(25)]
+        for at in range(len(words)):
+            ends = [e for e in range(at, len(words) + 1) if pattern.fullmatch("".join(w + " " for w in words[at:e]))]
+            assert automaton.match(words, at) == (ends[0] if ends else None)
+
+
+def test_license_automata():
     assert licenses.words_of("MIT-License é\x7f9") == ["mit", "license", "é", "9"]
     a = licenses.TemplateAutomaton("a <<opt>>b <<opt>>c<</opt>><</opt>> <<var 2>> d")
     for text, ok in (("a d", 1), ("a b d", 1), ("a b c x y d", 1), ("a x y z d", 0), ("a b", 0), ("a c d", 1), ("b d", 0)):
