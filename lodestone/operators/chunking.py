@@ -84,11 +84,12 @@ def merge_crossed_sentences(sentences: DataFrame, mentions: DataFrame, key: str
     on both sides; the running count of kept boundaries numbers the results.
     """
     placed = sentence_offsets(sentences, key)
-    cuts = placed.select(key, "sent_idx", "first_token").where("sent_idx > 0").alias("c")
-    m = mentions.select(F.col(key).alias("_k"), "begin", "end").alias("m")
-    crossed = cuts.join(m, (F.col(key) == F.col("_k")) & (F.col("begin") < F.col("first_token")) & (F.col("end") >= F.col("first_token")), "left_semi")
-    flags = crossed.select(key, "sent_idx", F.lit(True).alias("_crossed"))
-    flagged = placed.join(flags, [key, "sent_idx"], "left")
+    # A boundary is crossed if, of the mentions that begin before it, the farthest end reaches it.
+    none = F.lit(None).cast("bigint")
+    cuts = placed.select(key, "sent_idx", "sentence", F.col("first_token").alias("_at"), none.alias("_end"))
+    spans = mentions.select(key, none.alias("sent_idx"), F.lit(None).cast("string").alias("sentence"), F.col("begin").cast("bigint").alias("_at"), F.col("end").cast("bigint").alias("_end"))
+    reach = F.max("_end").over(Window.partitionBy(key).orderBy("_at", F.col("sent_idx").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    flagged = cuts.unionByName(spans).withColumn("_crossed", F.when(reach >= F.col("_at"), True)).where("sent_idx IS NOT NULL")
     kept = F.when((F.col("sent_idx") > 0) & F.col("_crossed").isNull(), 1).otherwise(0)
     run = F.sum(kept).over(Window.partitionBy(key).orderBy("sent_idx"))
     parts = F.array_sort(F.collect_list(F.struct("sent_idx", "sentence")))
