@@ -34,7 +34,7 @@ from lodestone.operators.components import connected_components
 from lodestone.plans.staging import stage, unstage
 
 #: Bytes of text whose n-grams one fragment of the hash range takes, and the least number of fragments.
-FRAGMENT_BYTES, FRAGMENTS = 24 << 20, 32
+FRAGMENT_BYTES, FRAGMENTS = 16 << 20, 32
 #: Frequencies at which the global order is cut for counting.
 CUTS = (4, 16, 128)
 #: N-grams of so many sets are equally frequent; a task holds about MOST_HELD places before it hands those on.
@@ -117,12 +117,16 @@ def _counted(spread: DataFrame, fragments: int) -> DataFrame:
             h, g = _once(np.concatenate(heads), np.concatenate(grams))
             heads.clear(), grams.clear()
             order = np.argsort(g, kind="stable")
-            edge = np.flatnonzero(np.diff(g[order], prepend=~g[order[:1]])) if len(g) else np.zeros(0, np.int64)
+            ranked = g[order]
+            edge = np.append(0, np.flatnonzero(ranked[1:] != ranked[:-1]) + 1) if len(g) else np.zeros(0, np.int64)
+            del ranked
             count = np.diff(edge, append=len(g))
-            df = np.empty(len(g), np.int64)
-            df[order] = np.repeat(np.minimum(count, FREQUENT), count)
-            df[np.isin(g, frequent)] = FREQUENT
-            seg = np.repeat(np.arange(len(h)), h["k"])
+            df = np.empty(len(g), np.int32)
+            df[order] = np.repeat(np.minimum(count, FREQUENT).astype(np.int32), count)
+            del order, edge, count
+            if len(frequent):
+                df[np.isin(g, frequent)] = FREQUENT
+            seg = np.repeat(np.arange(len(h), dtype=np.int32), h["k"])
             out = df > 1 if last else df >= FREQUENT
             yield from rows_of(h, seg[out], g[out], df[out])
             if not last:
