@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import classifier, decontaminate, jaccard, licenses, mixing, pages, rules, sharding, suffixes, tokens
+from lodestone.llm import classifier, decontaminate, importance, jaccard, licenses, mixing, pages, rules, sharding, spelling, suffixes, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,19 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -73,6 +86,9 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": op8_decontaminate,
         "op9_shard": op9_shard,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_url_filter": op12_url_filter,
+        "op13_importance_resample": op13_importance_resample,
     }
 
 
@@ -157,5 +173,120 @@ FROM d LEFT JOIN t USING (doc_id)
 """
 
 
+#: crc32 of the UTF-8 bytes of {s}, given the table k.tab of the 256 byte values.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab"
+_CRC = "xor(list_reduce([4294967295] || list_transform(range(octet_length(encode({s}))), lambda i: ('0x' || substr(hex(encode({s})), 2 * i + 1, 2))::BIGINT), lambda a, b: xor(a >> 8, k.tab[(xor(a, b) & 255) + 1])), 4294967295)"
+
+OP11_SQL = f"""
+WITH RECURSIVE k AS MATERIALIZED ({_CRC_TABLE}), r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS x FROM documents
+), p AS (
+  SELECT id, translate(x, '{spelling.UPPER}', '{spelling.LOWER}') AS x, count(*) AS n FROM r WHERE length(x) >= 6 GROUP BY ALL
+), h AS (
+  SELECT x, n, {_CRC.format(s="id || ':' || x")} AS h FROM p, k
+), w AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(x, 1, (h % length(x))::INT) || substr(x, (h % length(x))::INT + 2) ELSE x END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), v AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), e AS MATERIALIZED (
+  SELECT a.word, b.word AS near FROM v a JOIN v b ON a.i = b.i AND a.a = b.a AND a.z = b.z AND a.word <> b.word
+  UNION SELECT v.word, w.word FROM v JOIN w ON v.a || v.z = w.word
+  UNION SELECT w.word, v.word FROM v JOIN w ON v.a || v.z = w.word
+), m AS (
+  SELECT e.word, e.near, w.n AS m FROM e JOIN w ON w.word = e.near
+), b AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, m FROM m QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, near) = 1
+), f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.near END AS form, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n FROM w LEFT JOIN b USING (word)
+), c AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c USING (word) JOIN f z ON z.word = c.root AND z.form IS NULL
+"""
+
+
+def _op12_sql(rounds: int = 20) -> str:
+    """Rules, seeds and the rounds of propagation, one table a round."""
+    link = url_filter.HYPERLINK.replace("'", "''")
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+    lower = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+    steps = ["m0 AS MATERIALIZED (SELECT host, kind, floor(seed * (1 - 0.85::DOUBLE))::BIGINT AS own, floor(seed * (1 - 0.85::DOUBLE))::BIGINT AS mass FROM given)"]
+    for i in range(rounds):
+        sent = f"SELECT w.kind, w.dst AS host, sum(floor(m.mass * w.share)::BIGINT) AS got FROM m{i} m JOIN ways w ON w.kind = m.kind AND w.host = m.host GROUP BY 1, 2"
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT m.host, m.kind, m.own, (m.own + coalesce(s.got, 0))::BIGINT AS mass FROM m{i} m LEFT JOIN ({sent}) s ON s.kind = m.kind AND s.host = m.host)")
+    return f"""
+WITH rules(rule_host, rule_path, says) AS (VALUES {rules}), u AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, page_id, coalesce(html, '') AS html,
+         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), {lower}) AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), fits AS (
+  SELECT k, rule_host || rule_path AS rule, says FROM u JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC, says DESC) = 1
+), told AS MATERIALIZED (
+  SELECT u.k, page_id, host, path, rule, says FROM u LEFT JOIN fits USING (k)
+), seeds AS MATERIALIZED (
+  SELECT host, floor(count(*) FILTER (says = 'allow') * 1e9 / count(*))::BIGINT AS trust, floor(count(*) FILTER (says = 'block') * 1e9 / count(*))::BIGINT AS distrust
+  FROM told WHERE host <> '' GROUP BY host
+), found AS MATERIALIZED (
+  SELECT src, translate(dst, {lower}) AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS dst FROM u) WHERE src <> '' AND src <> translate(dst, {lower})
+), named AS MATERIALIZED (
+  SELECT host FROM seeds UNION SELECT dst FROM found
+), above AS (
+  SELECT a.host, b.host AS domain FROM named a JOIN named b ON ends_with(a.host, '.' || b.host)
+  QUALIFY row_number() OVER (PARTITION BY a.host ORDER BY length(b.host) DESC) = 1
+), links AS MATERIALIZED (
+  SELECT src, dst FROM found UNION ALL SELECT host, domain FROM above UNION ALL SELECT domain, host FROM above
+), both_ways AS (
+  SELECT 'trust' AS kind, src AS host, dst FROM links UNION ALL SELECT 'distrust', dst, src FROM links
+), ways AS MATERIALIZED (
+  SELECT kind, host, dst, 0.85::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY kind, host) AS share FROM both_ways GROUP BY kind, host, dst
+), given AS (
+  SELECT host, kind, coalesce(CASE kind WHEN 'trust' THEN trust ELSE distrust END, 0) AS seed FROM named LEFT JOIN seeds USING (host), (VALUES ('trust'), ('distrust')) AS t(kind)
+), {", ".join(steps)}, masses AS (
+  SELECT host, sum(mass) FILTER (kind = 'trust') AS trust, sum(mass) FILTER (kind = 'distrust') AS distrust FROM m{rounds} GROUP BY host
+)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN distrust > trust AND distrust >= 75000000 THEN 'block' ELSE 'allow' END) AS verdict
+FROM told LEFT JOIN masses USING (host)
+"""
+
+
+OP13_SQL = rf"""
+WITH k AS MATERIALIZED ({_CRC_TABLE}), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark
+), f AS MATERIALIZED (
+  SELECT row, unnest(w) AS x FROM d
+), c AS MATERIALIZED (
+  SELECT x, {_CRC.format(s="x")} % 10000 AS bucket FROM (SELECT x FROM f UNION SELECT x FROM b), k
+), s AS (
+  SELECT bucket, count(*) AS s FROM f JOIN c USING (x) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM b JOIN c USING (x) GROUP BY bucket
+), g AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+), m AS (
+  SELECT row, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN c USING (x) JOIN g USING (bucket) GROUP BY row
+), z AS (
+  SELECT row, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN m USING (row)
+), r AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM z WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n <= (SELECT count(*) FROM r) * 10 // 100 THEN n END AS rank FROM z LEFT JOIN r USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL}
+    return {
+        "op3_jaccard_join": OP3_SQL,
+        "op4_suffix_dedup": OP4_SQL,
+        "op7_quality_rules": OP7_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_url_filter": _op12_sql(),
+        "op13_importance_resample": OP13_SQL,
+    }
