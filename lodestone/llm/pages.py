@@ -51,7 +51,10 @@ CLASS_DROP = re.compile(
     r"log-?in|sign-?up|sign-?in|search|skip|pagination|pager|disclaimer|copyright|toolbar|hidden|visually-hidden|sr-only)(?=$|[\s_-])",
     re.I,
 )
-COMMENT_DROP = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|replies|respond|disqus|discussion|responses?)(?=$|[\s_-])", re.I)
+COMMENT_DROP = re.compile(
+    r"(?:^|[\s_-])(?:comments?|comment-?list|replies|respond|disqus|discussion|responses?|guest-?book|(?:user|reader|customer|visitor)s?-?(?:reviews?|remarks?|opinions?|feedback|posts?))(?=$|[\s_-])",
+    re.I,
+)
 CLASS_HEADER = re.compile(r"(?:^|[\s_-])headers?(?=$|[\s_-])", re.I)
 
 #: Class words that say what a layout has, not what the element is.
@@ -73,21 +76,43 @@ REPEATED = 0.1
 SOFT, OUTSIDE, LEAST = 0.5, 0.35, 0.25
 #: The share of the text from which on a branch counts fully, and the least share of a host's pages that a node of its tree is on (fixed values).
 WHOLE_SHARE, ON_PAGES = 0.75, 0.01
-#: Levels of elements that the tree distinguishes.
-LEVELS = 64
+#: Longer paths of elements are named by a hash of what they would be called.
+PATH_CHARS = 240
 
 #: Long numbers in class names differ from page to page.
 _DIGITS = re.compile(r"\d{3,}")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class Node:
+    """A block element of a page: its parent, and as ``key`` the path of labels down to it."""
+
+    __slots__ = ("beside", "content", "key", "layout", "length", "opened", "parent", "repeated")
+
+    def __init__(self, parent: Node | None, label: str):
+        key = f"{parent.key}>{label}" if parent else label
+        self.key = key if len(key) <= PATH_CHARS else f"#{xxhash.xxh3_64_hexdigest(key)}"
+        self.parent, self.opened, self.content, self.layout, self.length = parent, False, 0, 0, 0
+        self.beside: Node | bool | None = None
+        self.repeated: bool | None = None
+
+
+class Form:
+    """A form of a page; whether it is presentation is known at the page's end."""
+
+    __slots__ = ("length", "main")
+
+    def __init__(self):
+        self.length, self.main = 0, False
+
+
 class Block:
-    """A run of text between block boundaries: the path of elements above it, whether in an article, declared presentation (hard), or below a branch of that many levels with a class word of it (soft)."""
+    """A run of text between block boundaries: the element it stands in, whether in an article, declared presentation (hard), the branch with a class word of it (soft), and the form around it."""
 
-    __slots__ = ("hard", "main", "path", "soft", "text")
+    __slots__ = ("form", "hard", "main", "node", "soft", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], main: bool = False, hard: bool = False, soft: int = 0):
-        self.text, self.path, self.main, self.hard, self.soft = text, path, main, hard, soft
+    def __init__(self, text: str, node: Node | None, main: bool = False, hard: bool = False, soft: Node | None = None, form: Form | None = None):
+        self.text, self.node, self.main, self.hard, self.soft, self.form = text, node, main, hard, soft, form
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
@@ -118,8 +143,10 @@ def blocks(html: str) -> list[Block]:
     lists and tables; a "<" that no ">" follows is text.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, main, hard, soft
-    path: list[str] = []
+    # tag, main, hard, soft, form, and whether it is an inline element that goes with its text
+    top = ("", False, False, None, None, False)
+    stack: list[tuple[str, bool, bool, Node | None, Form | None, bool]] = []
+    path: list[Node] = []
     held: Counter[str] = Counter()
     parts: list[str] = []
     pos, end = 0, len(html)
@@ -131,8 +158,8 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, main, hard, soft = stack[-1] if stack else ("", False, False, 0)
-                out.append(Block(text, tuple(path[:LEVELS]), main, hard, soft))
+                _, main, hard, soft, form, _ = stack[-1] if stack else top
+                out.append(Block(text, path[-1] if path else None, main, hard, soft, form))
 
     def pop(index: int) -> None:
         gone = [x[0] for x in stack[index:]]
@@ -143,13 +170,17 @@ def blocks(html: str) -> list[Block]:
         held.subtract(gone)
         del stack[index:]
 
+    def say(text: str) -> None:
+        if not (stack and stack[-1][5]):
+            parts.append(text)
+
     while pos < end:
         at = html.find("<", pos)
         if at < 0:
-            parts.append(html[pos:])
+            say(html[pos:])
             break
         if at > pos:
-            parts.append(html[pos:at])
+            say(html[pos:at])
         lead = html[at + 1 : at + 2]
         if lead in ("!", "?"):
             mark = "-->" if html.startswith("<!--", at) else "]]>" if html.startswith("<![CDATA[", at) else ">"
@@ -162,10 +193,10 @@ def blocks(html: str) -> list[Block]:
             quotes = False
             stop = html.find(">", m.end())
             if stop < 0:
-                parts.append(html[at:])
+                say(html[at:])
                 break
         if not m:
-            parts.append("<")
+            say("<")
             pos = at + 1
             continue
         pos = rest.end() if rest else stop + 1
@@ -183,7 +214,7 @@ def blocks(html: str) -> list[Block]:
             if tag == "hr":
                 flush()
             elif tag == "br":
-                parts.append(" ")
+                say(" ")
             continue
         if tag in VOID:
             continue
@@ -195,6 +226,12 @@ def blocks(html: str) -> list[Block]:
                     unclosed.add(tag)
                 pos = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else pos)
             continue
+        if tag in BLOCK and stack and stack[-1][5]:
+            # A block ends the inline elements that go with their text.
+            first = len(stack) - 1
+            while first and stack[first - 1][5]:
+                first -= 1
+            pop(first)
         if tag in CLOSES_P and held["p"] > 0:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
@@ -209,40 +246,76 @@ def blocks(html: str) -> list[Block]:
                     break
                 if stack[i][0] in STOPS:
                     break
-        _, main, hard, soft = stack[-1] if stack else ("", False, False, 0)
+        _, main, hard, soft, form, gone = stack[-1] if stack else top
         says = _declared(tag, attrs, main)
         if tag in BLOCK:
             flush()
-            path.append(_label(tag, attrs))
-            soft = soft or (len(path) if says == 1 and len(path) <= LEVELS else 0)
-        elif says and not hard:
-            # An inline element goes with its text.
-            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
-            if close is None:
-                unclosed.add(tag)
-            else:
-                pos = close.end()
-            continue
+            path.append(Node(path[-1] if path else None, _label(tag, attrs)))
+            soft = soft or (path[-1] if says == 1 else None)
+            if tag == "form" and says == 2:
+                form, says = form or Form(), 0
+        else:
+            gone = gone or bool(says and not hard)
+            says = 0
         inside = main or tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
-        stack.append((tag, inside, hard or says == 2, soft))
+        stack.append((tag, inside, hard or says == 2, soft, form, gone))
         held[tag] += 1
     flush()
+    settle_forms(out)
     return out
 
 
+def settle_forms(page: list[Block]) -> None:
+    """Mark what stands in forms as presentation. One around the article, or (without an article) around most of the text, is the page's frame and no form."""
+    seen = [b for b in page if not b.hard]
+    for b in seen:
+        if b.form:
+            b.form.length += len(b.text)
+            b.form.main |= b.main
+    outside = any(b.main and not b.form for b in seen)
+    total = sum(len(b.text) for b in seen)
+    for b in seen:
+        if b.form and not b.form.main and (outside or 2 * b.form.length <= total):
+            b.hard = True
+
+
+def _fold(held: int, value: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d,%d" % (held, value))
+
+
 def branches(page: list[Block]) -> dict[str, tuple[int, int, float]]:
-    """For each style path of the page: hashes of its branch's content and of its layout, and its share of the page's text (of what is not presentation by its kind)."""
-    held: dict[str, list[Block]] = {}
+    """For each style path of the page: hashes of its branch's content and of its layout, and its share of the page's text (of what is not presentation by its kind).
+
+    Hashes are folded from the elements below, each once, so the time is linear in the page however deep it is.
+    """
     total = sum(len(b.text) for b in page if not b.hard) or 1
+    held: dict[str, list[int]] = {}
+    open_: list[Node] = []
+
+    def close() -> None:
+        n = open_.pop()
+        n.opened = False
+        x = held.setdefault(n.key, [0, 0, 0])
+        x[0], x[1], x[2] = _fold(x[0], n.content), _fold(x[1], n.layout), x[2] + n.length
+        if n.parent:
+            label = xxhash.xxh3_64_intdigest(n.key)
+            n.parent.content, n.parent.layout, n.parent.length = _fold(n.parent.content, n.content), _fold(_fold(n.parent.layout, label), n.layout), n.parent.length + n.length
+
     for b in page:
-        for depth in range(1, len(b.path) + 1):
-            held.setdefault(">".join(b.path[:depth]), []).append(b)
-    out = {}
-    for k, v in held.items():
-        depth = k.count(">") + 1
-        layout = "|".join(">".join(b.path[depth:]) for b in v)
-        out[k] = (xxhash.xxh3_64_intdigest("\n".join(b.text for b in v)) - 2**63, xxhash.xxh3_64_intdigest(layout) - 2**63, min(1.0, sum(len(b.text) for b in v) / total))
-    return out
+        chain, x = [], b.node
+        while x and not x.opened:
+            chain.append(x)
+            x = x.parent
+        while open_ and open_[-1] is not x:
+            close()
+        for n in reversed(chain):
+            n.opened, n.content, n.layout, n.length = True, 0, 0, 0
+            open_.append(n)
+        if b.node:
+            b.node.content, b.node.layout, b.node.length = _fold(b.node.content, xxhash.xxh3_64_intdigest(b.text)), _fold(b.node.layout, 1), b.node.length + len(b.text)
+    while open_:
+        close()
+    return {k: (c - 2**63, t - 2**63, min(1.0, n / total)) for k, (c, t, n) in held.items()}
 
 
 def importance(content: float, layout: float, share: float) -> float:
@@ -257,26 +330,47 @@ def judged(page: list[Block], known: dict[str, float], repeats: dict[str, list[i
     content entropy with the contents that the host repeats there.
     """
     own = branches(page)
-    inside = {b.path[:d] for b in page if b.main and not b.hard for d in range(len(b.path) + 1)}
-
-    def weighs(path: tuple[str, ...], prior: float) -> bool:
-        k = ">".join(path)
+    inside: set[str] = set()
+    article = False
+    for b in page:
+        if b.main and not b.hard:
+            article = True
+            x = b.node
+            while x and x.key not in inside:
+                inside.add(x.key)
+                x = x.parent
+
+    def weighs(k: str, prior: float) -> bool:
         return prior * known.get(k, importance(1.0, 0.0, own[k][2])) >= LEAST
 
+    def above(node: Node | None, known_of) -> list[Node]:
+        """The node and those above it of which nothing is known yet, the highest first."""
+        chain = []
+        while node and known_of(node) is None:
+            chain.append(node)
+            node = node.parent
+        return chain[::-1]
+
+    def beside(node: Node | None) -> Node | bool:
+        """The highest element above a block, or its own, that holds no article."""
+        for n in above(node, lambda x: x.beside):
+            n.beside = (n.parent.beside if n.parent else False) or (n if n.key not in inside else False)
+        return node.beside if node else False
+
+    def repeated(node: Node | None) -> bool:
+        for n in above(node, lambda x: x.repeated):
+            n.repeated = bool(n.parent and n.parent.repeated) or (own[n.key][2] <= max_share and own[n.key][0] in repeats.get(n.key, ()))
+        return bool(node and node.repeated)
+
     def fate(b: Block) -> str:
         if b.hard:
             return "declared"
-        if b.soft and not weighs(b.path[: b.soft], SOFT):
+        if b.soft and not weighs(b.soft.key, SOFT):
             return "cut"
-        if inside:
-            beside = next((d for d in range(1, len(b.path) + 1) if b.path[:d] not in inside), 0)
-            return "kept" if b.main or (beside and weighs(b.path[:beside], OUTSIDE)) else "cut"
-        if repeats:
-            for d in range(1, len(b.path) + 1):
-                k = ">".join(b.path[:d])
-                if own[k][2] <= max_share and own[k][0] in repeats.get(k, ()):
-                    return "cut"
-        return "kept"
+        if article:
+            at = beside(b.node)
+            return "kept" if b.main or (at and weighs(at.key, OUTSIDE)) else "cut"
+        return "cut" if repeats and repeated(b.node) else "kept"
 
     return [fate(b) for b in page]
 

@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, on the smallest tables."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_brute import jaccard_brute
 
@@ -35,3 +37,27 @@ def test_stages(spark, small, tmp_path):
 def test_run(spark, small):
     got = corpus_pipeline.run(spark, small).collect()
     assert len(got) > 100 and len({r["doc_id"] for r in got}) == len(got)
+
+
+def test_stages_on_odd_rows(spark, small):
+    """Clashing names, maps, nulls, empty and long texts and repeated rows pass every stage; an empty table stays empty."""
+    long = " ".join(f"word{i % 977} x{i}" for i in range(20_000))
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first()["text"]
+    good = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").limit(6).collect()]
+    rows = [(1, good[0], "a"), (1, good[0], "a"), (2, None, "a"), (3, "", None), (None, good[1], None), (4, long, "b"), (5, good[2] + " " + item, "b"), (6, good[3], "b")]
+    docs = spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    clash = ("kept", "leak", "place", "mixed", "_kept", "_leak", "_d", "_p", "score", "predicted", "c0", "c1", "component_id", "shard", "slot", "size")
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.monotonically_increasing_id())).select("*", *(F.lit(c).alias(c) for c in clash))
+    for k, (_, step) in enumerate(corpus_pipeline.STAGES):
+        out = step(spark, docs, small)
+        got = out.collect()
+        if k < 4:
+            assert out.columns == docs.columns
+        if k == 1:  # both rows of document 1 differ in their map
+            assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 1, 2, 3, 4, 5, 6]
+            assert len(step(spark, docs.withColumn("tags", F.create_map(F.lit("k"), F.lit(1), F.lit("j"), F.lit(2))), small).collect()) == 7
+        if k == 2:
+            assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 1, 2, 3, 4, 6]
+        if k in (3, 4):
+            assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 1, 2, 3, 4, 5, 6]
+        assert step(spark, docs.limit(0), small).collect() == []
