@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import extraction
+from lodestone.operators import extraction, multi_search
 
 Method = Callable[..., DataFrame]
 
@@ -47,11 +47,14 @@ class Task:
 
 
 def dictionary_mentions(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Mentions of dictionary names (name, entity_type) of one word: every equal word of a document, in text order from 0."""
-    words = documents.select("doc_key", F.posexplode(T.words(F.col("text"))).alias("at", "name"))
-    named = dictionary.select("name", "entity_type").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_key").orderBy("at", "entity_type")) - 1
-    return words.join(named, "name").select("doc_key", nth.alias("m_idx"), F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "name", "entity_type")
+    """Mentions of dictionary names (name, entity_type) of any number of words, in text order from 0; the leftmost and longest of names that overlap.
+
+    A name of several types gives a mention for each.
+    """
+    named = dictionary.select(F.array_join(T.words(F.col("name")), " ").alias("name"), "entity_type").distinct()
+    found = multi_search.names_in_texts(documents, named).join(named, "name")
+    nth = F.row_number().over(Window.partitionBy("doc_key").orderBy("start", "entity_type")) - 1
+    return found.select("doc_key", nth.alias("m_idx"), "start", "end", "name", "entity_type")
 
 
 def named_candidates(mentions: DataFrame, dictionary: DataFrame, k: int = 10) -> DataFrame:

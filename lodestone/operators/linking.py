@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import retrieval
+from lodestone.operators import edit_search, retrieval
 
 NO_PREDICTION = "NO-PRED"
 
@@ -54,10 +54,12 @@ def lexical_candidates(mentions: DataFrame, passages: DataFrame, terms, k: int,
         corpus = passages.select("passage_id", "entity_id", terms(F.lower(F.concat_ws(" ", "title", "text"))).alias("terms"))
         found = retrieval.bm25_search(corpus, names.select("_name", terms(F.col("_name")).alias("terms")), "passage_id", "_name", k, group="entity_id", fill=False, **params)
     else:
-        texts = passages.select("entity_id", "passage_id", F.lower("title").alias("t"))
-        scored = names.crossJoin(texts).select(  # distinct names: a stated query set
-            "_name", "passage_id", "entity_id", (F.lit(1.0) / (F.levenshtein("_name", "t") + 1)).alias("score")
-        )
+        titles = passages.select("entity_id", "passage_id", F.lower("title").alias("_t")).where("_t IS NOT NULL")
+        held = titles.groupBy("_t").agg(F.countDistinct("entity_id").alias("_held"))
+        # With at most ``most`` texts an entity, the k * most nearest belong to k entities at least.
+        most = titles.groupBy("entity_id").agg(F.countDistinct("_t").alias("n")).agg(F.max("n")).first()[0] or 1
+        near = edit_search.nearest_texts(held, names.select(F.col("_name").alias("_q")).where("_q IS NOT NULL"), k * most)
+        scored = near.join(titles, "_t").select(F.col("_q").alias("_name"), "passage_id", "entity_id", (F.lit(1.0) / (F.col("_d") + 1)).alias("score"))
         found = retrieval.ranked(scored, "_name", "passage_id", k, group=F.col("entity_id"))
     return mentions.select(key, "m_idx", F.lower("name").alias("_name")).join(found, "_name").select(key, "m_idx", "rank", "entity_id", "score")
 

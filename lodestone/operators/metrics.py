@@ -50,8 +50,12 @@ def overlap_scores(pred: DataFrame, gold: DataFrame, key: str = "doc_key") -> Da
     p, g = pred.select(*cols).distinct(), gold.select(*cols).distinct()
 
     def touched(a: DataFrame, b: DataFrame) -> DataFrame:
-        o = b.select(F.col(key).alias("_k"), F.col("begin").alias("_b"), F.col("end").alias("_e"), F.col("entity_type").alias("_t"))
-        return a.join(o, (F.col(key) == F.col("_k")) & (F.col("entity_type") == F.col("_t")) & (F.col("begin") <= F.col("_e")) & (F.col("_b") <= F.col("end")), "left_semi")
+        """Spans of ``a`` for which some span of ``b`` begins by their end and ends no sooner than they begin: one sweep over each document's ends."""
+        others = b.select(key, "entity_type", F.col("begin").alias("_at"), F.lit(0).alias("_side"), F.col("end").alias("_reach"), F.lit(None).cast("bigint").alias("begin"))
+        mine = a.select(key, "entity_type", F.col("end").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_reach"), "begin")
+        sofar = Window.partitionBy(key, "entity_type").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        swept = others.unionByName(mine).where(F.col(key).isNotNull() & F.col("entity_type").isNotNull())
+        return swept.withColumn("_far", F.max("_reach").over(sofar)).where((F.col("_side") == 1) & (F.col("_far") >= F.col("begin")))
 
     one = _count(p, "pred").crossJoin(_count(g, "gold")).crossJoin(_count(touched(p, g), "correct_pred")).crossJoin(_count(touched(g, p), "correct_gold"))  # one row each
     return _prf(one, "correct_pred", "correct_gold")

@@ -163,12 +163,12 @@ def ner_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT vec_id, list_slice(embedding, 1, 8)::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, v, list_reverse_sort(v)[3] AS f FROM e),
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, v, list_reverse_sort(v)[3] AS f FROM e),
     y AS (SELECT vec_id, list_transform(v, lambda z: CASE WHEN z > v[1] AND z >= f THEN 1 ELSE 0 END) AS l FROM x)
     SELECT vec_id, array_to_string(list_prepend(CASE WHEN list_sum(l) = 0 THEN 1 ELSE 0 END, l[2:]), '') AS labels FROM y"""
 )
 def adaptive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return e.select("vec_id", F.array_join(X.adaptive_labels(F.col("v"), 3).cast("array<string>"), "").alias("labels"))
 
 
@@ -207,11 +207,11 @@ def pair_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {evaluation.REL_SQL}, f AS (SELECT DISTINCT h, r, t FROM g WHERE d % 2 = 0)
+    f"""WITH {evaluation.REL_SQL}, f AS (SELECT DISTINCT h, r, t FROM g)
     SELECT DISTINCT a.d AS doc_key, f.h AS head, f.r AS relation, f.t AS tail FROM oc a JOIN f ON a.en = f.h JOIN oc b ON b.d = a.d AND b.s = a.s AND b.en = f.t"""
 )
 def distant_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = evaluation.gold_relations(spark, sf_dir).where("doc_key % 2 = 0").select("head", "relation", "tail")
+    facts = evaluation.gold_relations(spark, sf_dir).select("head", "relation", "tail")
     return X.distant_triples(evaluation.occurrences(spark, sf_dir), facts)
 
 

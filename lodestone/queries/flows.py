@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunking, retrieval
+from lodestone.operators import chunking, graph, retrieval
 from lodestone.plans.staging import shared_dir
 from lodestone.queries import graphs, texts
 from lodestone.queries.base import query, table
-from lodestone.streaming import operators as S
+from lodestone.streaming import graph_upsert as U, operators as S
 
 REPORT_CHUNKS_SQL = graphs.REPORT_SQL.replace("WITH ed AS", "WITH RECURSIVE ed AS") + """, d AS (
   SELECT community_id, list_filter(regexp_extract_all(text, '[^.!?
@@ -49,12 +49,18 @@ def graph_to_ranked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(df: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
-    """A stream run to its end over what is there, as a table of its last state."""
+    """A stream run to its end over what is there, as a table of its last state: files in the shared folder."""
     where = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    name = f"s{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = f"{where}/rows"  # an empty table where the stream has no rows
+    spark.createDataFrame([], df.schema).write.parquet(out)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{where}/stream")
+        writer.start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{where}/stream")
+    # The whole state comes with every batch; a batch that is run again writes the same.
+    writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +109,29 @@ def edges_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(S.edge_stream(t), spark, "complete")
 
 
+def _upserted(spark: SparkSession, sf_dir: str) -> str:
+    """The graph of all triples where suppliers and nations are known beforehand and orders arrive as a stream."""
+    where = f"{shared_dir(spark)}/graphs/{uuid.uuid4().hex}"
+    arriving = graph.ordered_triples(graphs.sold_of(_stream(spark, sf_dir, "lineitem")))
+    known = graphs.existing(spark, sf_dir)
+    known = graph.ordered_triples(known.withColumn("doc_key", F.lit(None).cast("string")).limit(0), known)
+    for q in U.start_upserts(arriving, where, known):
+        q.awaitTermination()
+    return where
+
+
+@query(f"WITH {graphs.NODES_SQL} SELECT * FROM nodes")
+def kg_nodes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of ``kg_nodes``, upserted from a stream."""
+    return U.nodes_now(spark, _upserted(spark, sf_dir), graphs.dictionary(spark, sf_dir))
+
+
+@query(f"WITH {graphs.EDGES_SQL} SELECT * FROM edges")
+def kg_edges_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of ``kg_edges``, upserted from a stream."""
+    return U.edges_now(spark, _upserted(spark, sf_dir))
+
+
 @query(texts.CHUNKS_SQL + "SELECT count(*) AS chunks, sum(len(string_split(text, ' ')))::BIGINT AS words FROM chunks")
 def chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _run(S.chunk_stream(_stream(spark, sf_dir, "documents").select("doc_id", "text"), 100), spark, "append")

@@ -21,8 +21,11 @@ def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of documents: each order says which supplier supplies which part."""
-    l = table(spark, sf_dir, "lineitem")
-    return l.select(
+    return sold_of(table(spark, sf_dir, "lineitem"))
+
+
+def sold_of(items: DataFrame) -> DataFrame:
+    return items.select(
         F.concat(F.lit("S"), "l_suppkey").alias("head"),
         F.when(F.col("l_returnflag") == "R", "returned").otherwise("supplies").alias("relation"),
         F.concat(F.lit("P"), "l_partkey").alias("tail"),
@@ -192,7 +195,8 @@ def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hierarchical_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = community.hierarchical_records(existing(spark, sf_dir), 10)
+    """Communities of at most ten nodes at the leaves, of the graph of all triples."""
+    out = community.hierarchical_records(triples(spark, sf_dir), 10)
     return out.select("community_id", "level", "parent_community_id", F.array_join("nodes", "|").alias("nodes"), F.array_join("child_community_ids", "|").alias("children"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import linking, retrieval as R
+from lodestone.operators import edit_search, linking, retrieval as R
 from lodestone.queries.base import query, table
 
 TERMS_SQL = "list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')"
@@ -70,7 +70,7 @@ def term_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def levenshtein_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("p"))
     asked = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("s"))
-    out = R.string_search(parts, asked, "p_partkey", "s_suppkey", "p", "s", 3)
+    out = edit_search.string_search(parts, asked, "p_partkey", "s_suppkey", "p", "s", 3)
     return out.select("s_suppkey", "p_partkey", F.round("score", 6).alias("score"), "rank")
 
 

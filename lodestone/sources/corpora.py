@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.kb import tree_category
 from lodestone.operators.linking import aggregate_mentions
+from lodestone.sources.parts import in_file_order
 
 
 def read_pubtator(spark: SparkSession, path: str, type_names: dict[str, str] | None = None) -> DataFrame:
@@ -38,14 +39,11 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
 
     idx counts the document's tokens; keys are ``ID0`` on, in file order.
     """
-    from pyspark.sql import Window
-
-    docs = spark.read.option("lineSep", "-DOCSTART-").text(path).select(F.monotonically_increasing_id().alias("_o"), "value")
+    text = spark.read.option("lineSep", "-DOCSTART-").text(path)
     # The first line break ends the mark's own line.
     sents = F.filter(F.split(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\n[ \t\r]*\n"), lambda s: F.trim(F.translate(s, "\n\r\t", "   ")) != "")
-    docs = docs.select("_o", sents.alias("ss")).where(F.size("ss") > 0)
-    keyed = docs.select("_o", F.concat(F.lit("ID"), F.row_number().over(Window.orderBy("_o")) - 1).alias("doc_key"))  # document numbers only
-    rows = docs.join(keyed, "_o").select("doc_key", F.posexplode("ss").alias("sent_idx", "s"))
+    docs = in_file_order(text, F.size(sents) > 0)
+    rows = docs.select(F.concat(F.lit("ID"), "n").alias("doc_key"), F.posexplode(sents).alias("sent_idx", "s"))
     rows = rows.select("doc_key", "sent_idx", F.posexplode(F.filter(F.split("s", r"\r?\n"), lambda x: F.trim(x) != "")).alias("i", "l"))
     part = lambda n: F.get(F.split(F.trim("l"), " "), F.lit(n))
     at = F.row_number().over(Window.partitionBy("doc_key").orderBy("sent_idx", "i")) - 1

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from xml.sax.saxutils import escape, quoteattr
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.parts import write_framed
+
 NODE = "entity_id string, entity_type string, name string, description string, doc_key_list string"
 
 
@@ -41,34 +40,27 @@ NODE_KEYS = {"entity_id": "d0", "entity_type": "d1", "name": "d2", "description"
 EDGE_KEYS = {"relation": "d5", "doc_key_list": "d6"}
 
 
-def graphml_lines(nodes: DataFrame, edges: DataFrame) -> Iterator[str]:
-    """The file's lines, streamed from the tables in the order of their keys."""
-    yield '<?xml version="1.0" encoding="utf-8"?>'
-    yield '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'
-    for kind, keys in (("edge", EDGE_KEYS), ("node", NODE_KEYS)):
-        for name, key in keys.items():
-            yield f'  <key id="{key}" for="{kind}" attr.name="{name}" attr.type="string" />'
-    yield '  <graph edgedefault="directed">'
-
-    def data(row, keys: dict[str, str]) -> Iterator[str]:
-        for name, key in keys.items():
-            if row[name] is not None:
-                yield f'      <data key="{key}">{escape(row[name])}</data>'
-
-    for r in nodes.orderBy("entity_id").toLocalIterator():
-        yield f"    <node id={quoteattr(r['entity_id'])}>"
-        yield from data(r, NODE_KEYS)
-        yield "    </node>"
-    for r in edges.orderBy("head", "tail", "relation").toLocalIterator():
-        yield f"    <edge source={quoteattr(r['head'])} target={quoteattr(r['tail'])} id={quoteattr(r['relation'])}>"
-        yield from data(r, EDGE_KEYS)
-        yield "    </edge>"
-    yield "  </graph>"
-    yield "</graphml>"
+def _escaped(value: Column) -> Column:
+    """Text as XML has it, quotes included."""
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        value = F.replace(value, F.lit(plain), F.lit(written))
+    return value
+
+
+def graphml_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(value): a line for each node and edge."""
+
+    def data(keys: dict[str, str], columns: list[str]) -> list[Column]:
+        return [F.coalesce(F.concat(F.lit(f'<data key="{key}">'), _escaped(F.col(name).cast("string")), F.lit("</data>")), F.lit("")) for name, key in keys.items() if name in columns]
+
+    named = lambda c: F.concat(F.lit('"'), _escaped(F.col(c)), F.lit('"'))
+    n = nodes.select(F.concat(F.lit("<node id="), named("entity_id"), F.lit(">"), *data(NODE_KEYS, nodes.columns), F.lit("</node>")).alias("value"))
+    e = edges.select(F.concat(F.lit("<edge source="), named("head"), F.lit(" target="), named("tail"), F.lit(" id="), named("relation"), F.lit(">"), *data(EDGE_KEYS, edges.columns), F.lit("</edge>")).alias("value"))
+    return n.unionByName(e)
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One GraphML file on the driver's machine; rows pass through one at a time. For large graphs write the tables as Parquet."""
-    with open(path, "w", encoding="utf-8") as f:
-        for line in graphml_lines(nodes, edges):
-            f.write(line + "\n")
+    """A folder of GraphML documents, each written by one task; together they are the graph, and ``read_graphml`` reads them as one."""
+    keys = [f'<key id="{key}" for="{kind}" attr.name="{name}" attr.type="string"/>' for kind, of in (("edge", EDGE_KEYS), ("node", NODE_KEYS)) for name, key in of.items()]
+    first = "\n".join(['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="directed">'])
+    write_framed(graphml_elements(nodes, edges), path, first, "</graph>\n</graphml>")

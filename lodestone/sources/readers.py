@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.sources.parts import numbered
+
 PASSAGE = "title string, text string"
 DOCUMENT = (
     "doc_key string, sentences array<string>, mentions array<struct<span:array<int>,name:string,entity_type:string,entity_id:string>>, "
@@ -54,11 +56,9 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def vocabulary(df: DataFrame, col: str, null_label: str | None = None) -> DataFrame:
     """(word, id) of the sorted distinct labels of a column; a null label, if named, has id 0."""
-    from pyspark.sql import Window
-
     words = df.select(F.col(col).alias("word")).where("word IS NOT NULL").distinct()
     first = 0 if null_label is None else 1
-    out = words.select("word", (F.row_number().over(Window.orderBy("word")) - 1 + first).alias("id"))  # a label set
+    out = numbered(words, "word").select("word", (F.col("n") + first).cast("int").alias("id"))
     if null_label is not None:
         out = df.sparkSession.range(1).select(F.lit(null_label).alias("word"), F.lit(0).alias("id")).union(out)
     return out

@@ -8,25 +8,24 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.parts import write_framed
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_json_array(df: DataFrame, path: str, order: list[str], ensure_ascii: bool = False) -> None:
-    """One indented JSON array on the driver's machine, rows streamed in order. For small results."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for i, r in enumerate(df.orderBy(*order).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
-            body = json.dumps(json.loads(r[0]), indent=4, ensure_ascii=ensure_ascii)
-            f.write((",\n" if i else "\n") + "\n".join("    " + line for line in body.split("\n")))
-        f.write("\n]\n")
+def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
+    """Indented JSON arrays, one a part; parts by name, and rows in them, follow ``order``. Nulls are written out."""
+    lines = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    body = F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"})
+    write_framed(lines.select(F.concat(F.lit("    "), F.replace(body, F.lit("\n"), F.lit("\n    "))).alias("value")), path, "[", "]", ",")
 
 
 def write_vocabulary(df: DataFrame, path: str) -> None:
-    """word, id (and freq) as tab-separated lines in the order of ids."""
+    """word, id (and freq) as tab-separated lines; parts by name, and lines in them, follow the ids."""
     cols = [c for c in ("word", "id", "freq") if c in df.columns]
-    df.select(*cols).coalesce(1).sortWithinPartitions("id").write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)
+    df.select(*cols).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)
 
 
 def write_grouped(df: DataFrame, path: str, index: str, group_size: int) -> None:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators import chunking, graph, retrieval
+from lodestone.operators import chunking
+from lodestone.operators.text_index import TextIndex
 
 
 def chunk_stream(passages: DataFrame, window: int) -> DataFrame:
@@ -35,30 +36,14 @@ def edge_stream(triples: DataFrame) -> DataFrame:
     return triples.groupBy("head", "relation", "tail").agg(F.count(F.lit(1)).alias("n"))
 
 
-def upsert_edges(triples: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge arriving triples (with ingest) into an edge table at ``path``, batch by batch.
+def query_stream(queries: DataFrame, index: TextIndex, query: str, k: int, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Arriving queries (``query``, terms) against a saved index: the ``k`` best passages of each, a folder ``batch=n`` of ``path`` for each batch.
 
-    Each batch writes a new version of the merged table beside the old one,
-    so a batch that is run again gives the same version.
+    The index is read, never made anew; segments added between batches count
+    from the next one. A batch that is run again replaces its own folder.
     """
 
-    def merge(batch: DataFrame, n: int) -> None:
-        new = batch.select("head", "relation", "tail", "doc_key")
-        if n:
-            old = batch.sparkSession.read.parquet(f"{path}/v{n - 1}").select("head", "relation", "tail", F.explode(F.split("doc_key_list", r"\|")).alias("doc_key"))
-            new = new.unionByName(old)
-        graph.build_edges(new).write.mode("overwrite").parquet(f"{path}/v{n}")
-
-    return triples.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def query_stream(queries: DataFrame, passages: DataFrame, key: str, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Arriving queries against a fixed index: (query, term, key, score part). ``queries``: query, terms; sum by query and key downstream."""
-    sizes = passages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean"))
-    tf = passages.select(key, F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = retrieval.document_frequencies(tf)
-    index = tf.join(df, "term").crossJoin(F.broadcast(sizes))  # one row
-    n = F.col("n")
-    idf = F.greatest(F.lit(0.0), F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    index = index.select("term", key, (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("part"))
-    return queries.select(query, F.explode("terms").alias("term")).join(index, "term").select(query, "term", key, "part")
+    def answer(batch: DataFrame, n: int) -> None:
+        index.search(batch, query, k).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

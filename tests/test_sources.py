@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.sources import corpora, graphml, readers, sinks
+from lodestone.sources.graph_store import GraphStore
+from lodestone.sources.parts import in_file_order, numbered
 
 
 def put(path, text):
@@ -16,9 +18,15 @@ def test_json_and_lines(spark, tmp_path):
     assert sorted((r["title"] or "", r["text"]) for r in readers.read_json(spark, p, readers.PASSAGE).collect()) == [("", "y"), ("t", "x")]
     p = put(tmp_path / "b.txt", " a \nb\n")
     assert [r[0] for r in readers.read_lines(spark, p).collect()] == ["a", "b"]
-    out = str(tmp_path / "c.json")
-    sinks.write_json_array(spark.createDataFrame([(2, "é"), (1, None)], "k int, v string"), out, ["k"])
-    assert json.loads(open(out, encoding="utf-8").read()) == [{"k": 1, "v": None}, {"k": 2, "v": "é"}]
+    rows = [(k, f"é\n{k}" if k % 3 else None) for k in range(50, 0, -1)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for of, some in (("many", rows), ("one", rows[:1]), ("none", [])):
+        sinks.write_json_array(spark.createDataFrame(some, "k int, v string").repartition(3), str(tmp_path / of), ["k"])
+        parts = [json.loads(p.read_text(encoding="utf-8")) for p in sorted((tmp_path / of).glob("part-*")) if p.stat().st_size]
+        assert [x for p in parts for x in p] == [{"k": k, "v": v} for k, v in sorted(some)]
+        assert len(parts) > 1 or of != "many"
+        assert sorted(tuple(r) for r in readers.read_json(spark, str(tmp_path / of), "k int, v string").collect()) == sorted(some)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_vocabulary(spark, tmp_path):
@@ -54,13 +62,62 @@ def test_templates(spark, tmp_path):
 
 
 def test_graphml(spark, tmp_path):
-    nodes = spark.createDataFrame([("A", "T", "a < b", "d", "k1|k2"), ("B", "T", "b", None, "k1")], graphml.NODE)
-    edges = spark.createDataFrame([("A", "r", "B", "k1"), ("A", "s", "B", "k2")], "head string, relation string, tail string, doc_key_list string")
-    p = str(tmp_path / "g.graphml")
-    graphml.write_graphml(nodes, edges, p)
+    """A round trip over several parts, each a document of its own; odd characters, nulls, an empty graph."""
+    from xml.etree import ElementTree
+
+    nodes = spark.createDataFrame([("A", "T", 'a < b & "c"', "d\n\te", "k1|k2"), ("B", "T", "b", None, "k1")] + [(f"n{i}", "T", f"é{i}", "", "k") for i in range(40)], graphml.NODE)
+    edges = spark.createDataFrame([("A", "r", "B", "k1"), ("A", "s>", "B", "k2")], "head string, relation string, tail string, doc_key_list string")
+    p = str(tmp_path / "g")
+    for _ in range(2):  # written again, it is the same
+        graphml.write_graphml(nodes.repartition(3), edges, p)
+    parts = sorted((tmp_path / "g").glob("part-*"))
+    assert len(parts) > 2 and all(ElementTree.parse(x).getroot().tag.endswith("graphml") for x in parts)
     n, e = graphml.read_graphml(spark, p)
-    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, nodes.collect()))
+    assert sorted((r[0], r[2]) for r in n.collect()) == sorted((r[0], r[2]) for r in nodes.collect())
+    assert sorted((r[0], r[3] or "") for r in n.collect()) == sorted((r[0], r[3] or "") for r in nodes.collect())
     assert sorted(map(tuple, e.collect())) == sorted(map(tuple, edges.collect()))
+    graphml.write_graphml(nodes.limit(0), edges.limit(0), str(tmp_path / "none"))
+    assert [x.count() for x in graphml.read_graphml(spark, str(tmp_path / "none"))] == [0, 0]
+
+
+def test_numbers_in_order(spark, tmp_path):
+    """Lines of many splits, and values of many ranges, are numbered without a gap."""
+    lines = [f"line {i} " + "x" * (i % 90) for i in range(3000)]
+    put(tmp_path / "b.txt", "\n".join(lines[1000:]) + "\n")
+    put(tmp_path / "a.txt", "\n".join(lines[:1000]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = in_file_order(spark.read.text(str(tmp_path / "[ab].txt")))
+        assert spark.read.text(str(tmp_path / "[ab].txt")).rdd.getNumPartitions() > 4
+        assert [r["value"] for r in rows.orderBy("n").collect()] == lines
+        odd = in_file_order(spark.read.text(str(tmp_path / "[ab].txt")), F.col("value").contains("7"))
+        assert [r["n"] for r in odd.orderBy("n").collect()] == list(range(sum("7" in x for x in lines)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = numbered(spark.createDataFrame([(w,) for w in lines], "w string").repartition(5), "w").collect()
+    assert [r["w"] for r in sorted(got, key=lambda r: r["n"])] == sorted(lines)
+
+
+def test_graph_store(spark, tmp_path):
+    """Merges that run again change nothing, later ones win, deletion leaves an empty graph."""
+    store = GraphStore(spark, str(tmp_path / "store"))
+    assert store.commits() == [] and store.nodes().count() == 0 and store.listing().count() == 0
+    nodes = spark.createDataFrame([("A", "T", "a"), ("A", "T", "a"), ("B", None, "b"), (None, "T", "x")], "entity_id string, entity_type string, name string")
+    edges = spark.createDataFrame([("A", "r", "B", "d"), ("A", "r", "gone", "d"), ("A", None, "B", "d")], "head string, relation string, tail string, doc_key_list string")
+    for _ in range(2):
+        store.merge(nodes, edges, "1")
+    assert sorted(map(tuple, store.nodes().collect())) == [("A", "T", "a"), ("B", None, "b")]
+    assert [tuple(r) for r in store.edges().collect()] == [("A", "r", "B", "d")]
+    store.merge(spark.createDataFrame([("B", "U", "bb"), ("C", "U", "c")], "entity_id string, entity_type string, name string"), spark.createDataFrame([("C", "r", "B", "e")], "head string, relation string, tail string, doc_key_list string"), "2")
+    assert sorted(map(tuple, store.nodes().collect())) == [("A", "T", "a"), ("B", "U", "bb"), ("C", "U", "c")]
+    assert sorted(map(tuple, store.listing().collect())) == [("edge", "r", 2), ("node", "T", 1), ("node", "U", 2)]
+    (tmp_path / "store" / "edges" / "commit=2" / "_SUCCESS").unlink()  # a commit that was not finished
+    assert store.commits() == ["1"] and store.nodes().count() == 2
+    with pytest.raises(ValueError):
+        store.merge(nodes, edges, "a/b")
+    for _ in range(2):
+        store.delete_all()
+    assert store.commits() == [] and store.edges().count() == 0
 
 
 def test_pubtator(spark, tmp_path):
@@ -140,26 +197,53 @@ def test_sinks(spark, tmp_path):
     assert sorted(open(out).read().split("\n")[:-1]) == ["edge r", "node A", "node B"]
 
 
-def test_stream_upserts(spark, tmp_path):
-    from lodestone.streaming import operators as S
+TRIPLES = "head string, relation string, tail string, doc_key string, head_type string, ingest struct<part:int,pos:bigint>"
+
+
+@pytest.mark.parametrize("batches,seed", [(1, 1), (3, 2), (6, 3)])
+def test_graph_of_a_stream(spark, tmp_path, batches, seed):
+    """Any split of the triples into batches, in any order, gives the graph of all of them; a restart goes on."""
+    import random
+
+    from lodestone.operators import graph
+    from lodestone.streaming import graph_upsert as U
 
-    src = str(tmp_path / "in")
-    rows = [("A", "r", "B", "d1"), ("A", "r", "B", "d2")]
-    spark.createDataFrame(rows, "head string, relation string, tail string, doc_key string").write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    S.upsert_edges(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    spark.createDataFrame([("A", "r", "B", "d3")], "head string, relation string, tail string, doc_key string").write.mode("append").parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    S.upsert_edges(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out" / "v1")).first()["doc_key_list"] == "d1|d2|d3"
+    rng = random.Random(seed)
+    rows = [(f"e{rng.randrange(8)}", f"r{rng.randrange(3)}", f"e{rng.randrange(8)}", rng.choice(["d1", "d2", "d3", None]), rng.choice([None, "", "T1", "T2"]), (1, i)) for i in range(120)]
+    known = [("e0", "r0", "e1", "ExistingKG", "K", (0, 0)), ("new", "r0", "e1", "ExistingKG", None, (0, 1))]
+    rng.shuffle(rows)
+    src, out = str(tmp_path / "in"), str(tmp_path / "graph")
+    for k in range(batches):
+        part = rows[k * len(rows) // batches : (k + 1) * len(rows) // batches]
+        spark.createDataFrame(part, TRIPLES).coalesce(1).write.mode("append").parquet(src)
+        if k % 2 == 0 or k == batches - 1:  # some starts find several files, taken one a batch
+            stream = spark.readStream.schema(TRIPLES).option("maxFilesPerTrigger", 1).parquet(src)
+            for q in U.start_upserts(stream, out, spark.createDataFrame(known, TRIPLES)):
+                q.awaitTermination()
+    whole = spark.createDataFrame(rows + known, TRIPLES)
+    assert sorted(map(str, U.nodes_now(spark, out).collect())) == sorted(map(str, graph.build_nodes(whole).collect()))
+    assert sorted(map(str, U.edges_now(spark, out).collect())) == sorted(map(str, graph.build_edges(whole).collect()))
+    # State passes on only what is new.
+    written = spark.read.parquet(f"{out}/nodes/stream").count()
+    assert written < 2 * len(rows)
 
 
-def test_query_stream(spark):
+def test_query_stream(spark, tmp_path):
+    """Queries that arrive in several batches get what a search of all of them gets; the index grows between starts."""
     from lodestone.operators import retrieval as R
+    from lodestone.operators.text_index import TextIndex
     from lodestone.streaming import operators as S
 
-    p = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["c"])], "id int, terms array<string>")
-    q = spark.createDataFrame([("x", ["a", "c"])], "q string, terms array<string>")
-    got = {r["id"]: r["s"] for r in S.query_stream(q, p, "id", "q").groupBy("id").agg(F.sum("part").alias("s")).collect()}
-    ref = {r["id"]: r["score"] for r in R.bm25_scores(p, q, "id", "q").collect()}
-    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in ref.items()}
+    p = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["c"]), (4, ["d", "d", "e"]), (5, ["e"]), (6, []), (7, ["f"])], "id int, terms array<string>")
+    index = TextIndex.build(p.where("id < 5"), "id", str(tmp_path / "index"))
+    index.append(p.where("id >= 5"), "id")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "q string, terms array<string>"
+    asked = [("x", ["a", "c"]), ("y", ["d"]), ("z", ["nothing"])]
+    for row in asked:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    S.query_stream(stream, index, "q", 3, out, str(tmp_path / "check")).awaitTermination()
+    got = [(r["q"], r["id"], round(r["score"], 9), r["rank"]) for r in spark.read.parquet(out).collect()]
+    want = [(r["q"], r["id"], round(r["score"], 9), r["rank"]) for r in R.bm25_search(p, spark.createDataFrame(asked, schema), "id", "q", 3).collect()]
+    assert sorted(got) == sorted(want) and len(list((tmp_path / "out").glob("batch=*"))) > 1
