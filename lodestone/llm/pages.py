@@ -100,10 +100,10 @@ class Node:
 class Form:
     """A form of a page; whether it is presentation is known at the page's end."""
 
-    __slots__ = ("length", "main")
+    __slots__ = ("frames", "inside", "length")
 
-    def __init__(self):
-        self.length, self.main = 0, False
+    def __init__(self, inside: bool):
+        self.length, self.inside, self.frames = 0, inside, False  # text, whether in an article, whether around one
 
 
 class Block:
@@ -143,9 +143,9 @@ def blocks(html: str) -> list[Block]:
     lists and tables; a "<" that no ">" follows is text.
     """
     out: list[Block] = []
-    # tag, main, hard, soft, form, and whether it is an inline element that goes with its text
-    top = ("", False, False, None, None, False)
-    stack: list[tuple[str, bool, bool, Node | None, Form | None, bool]] = []
+    # tag, main, hard, soft, form, and whether text in it goes: 1 up to the next block, 2 up to its end
+    top = ("", False, False, None, None, 0)
+    stack: list[tuple[str, bool, bool, Node | None, Form | None, int]] = []
     path: list[Node] = []
     held: Counter[str] = Counter()
     parts: list[str] = []
@@ -226,10 +226,10 @@ def blocks(html: str) -> list[Block]:
                     unclosed.add(tag)
                 pos = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else pos)
             continue
-        if tag in BLOCK and stack and stack[-1][5]:
+        if tag in BLOCK and stack and stack[-1][5] == 1:
             # A block ends the inline elements that go with their text.
             first = len(stack) - 1
-            while first and stack[first - 1][5]:
+            while first and stack[first - 1][5] == 1:
                 first -= 1
             pop(first)
         if tag in CLOSES_P and held["p"] > 0:
@@ -253,11 +253,19 @@ def blocks(html: str) -> list[Block]:
             path.append(Node(path[-1] if path else None, _label(tag, attrs)))
             soft = soft or (path[-1] if says == 1 else None)
             if tag == "form" and says == 2:
-                form, says = form or Form(), 0
+                form, says = form or Form(main), 0
         else:
-            gone = gone or bool(says and not hard)
+            if says and not hard and not gone:
+                gone = 1
+                if tag in PLAIN_DROP:
+                    closed = tag not in unclosed and re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
+                    if not closed:
+                        unclosed.add(tag)
+                    gone = 2 if closed else 0
             says = 0
         inside = main or tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
+        if form and inside and not main:
+            form.frames = True
         stack.append((tag, inside, hard or says == 2, soft, form, gone))
         held[tag] += 1
     flush()
@@ -268,14 +276,13 @@ def blocks(html: str) -> list[Block]:
 def settle_forms(page: list[Block]) -> None:
     """Mark what stands in forms as presentation. One around the article, or (without an article) around most of the text, is the page's frame and no form."""
     seen = [b for b in page if not b.hard]
+    article = any(b.main for b in seen)
     for b in seen:
         if b.form:
             b.form.length += len(b.text)
-            b.form.main |= b.main
-    outside = any(b.main and not b.form for b in seen)
     total = sum(len(b.text) for b in seen)
     for b in seen:
-        if b.form and not b.form.main and (outside or 2 * b.form.length <= total):
+        if b.form and not b.form.frames and (article or 2 * b.form.length <= total):
             b.hard = True
 
 

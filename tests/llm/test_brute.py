@@ -572,6 +572,16 @@ def test_markup():
         ("<article><header><h1>T</h1></header><table><tr><td>1<td>2<tr><td>3</table><pre>a\n b</pre><footer>f</footer></article>", "T\n1\n2\n3\na b"),
         ("<p>a<!-- x <p>y -->b<style>p{}</style><select><option>o</select><p hidden>h</p>", "ab"),
         ("a < b &lt;c&gt; &#233;&#x41;", "a < b <c> éA"),
+        ("One <a class='share'>Share<p>Body</p><p>Two</p> see <a>link</a> tail", "One\nBody\nTwo\nsee link tail"),
+        ("<p>x</p><span class='ad'><span>buy</span> now cheap</span> y", "x\ny"),
+        ("<p>x <b class='promo'>buy <i>now</i></b> y <b class='ad'>never closed</p><p>z", "x y\nz"),
+        ("<div>" * 70 + "<div class='advert'>buy</div><p>" + "text " * 30, ("text " * 30).strip()),
+        ("<form><p>The whole page is one form</p><label>Name</label><button><div>Go</div></button></form>", "The whole page is one form"),
+        ("<form><nav>m</nav><main><p>A</p></main><p>beside</p></form>", "A"),
+        ("<article><p>A</p></article><form>sign in here with a good many words of its own</form>", "A"),
+        ("<article><p>A</p><form><p>join</p></form></article>", "A"),
+        ("<p>A</p><button>never closed<p>B</p>", "A\nnever closed\nB"),
+        ("<p>A long story is told here</p><div class='user-reviews'>Great</div>", "A long story is told here"),
     ],
 )
 def test_markup_cases(markup, text):
