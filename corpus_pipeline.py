@@ -11,27 +11,51 @@ from lodestone.plans.staging import stage
 SHARDS = 24
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator uses, and the name there of each of its columns."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain, dict(zip(docs.columns, plain.columns, strict=True))
+
+
+def own_names(rows: DataFrame, name: dict[str, str]) -> DataFrame:
+    return rows.select(*(F.col(c).alias(own) for own, c in name.items()))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of these documents, does not reject."""
+    """Documents that the classifier, trained on the labels of these documents, does not reject.
+
+    Null and empty texts are scored like others; repeated rows go or stay
+    together; extra columns are carried along; an empty table stays empty.
+    """
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no clash with the scores' names
-    name = dict(zip(docs.columns, plain.columns, strict=True))
+    plain, name = plain_names(docs)
     kept = classifier.score(plain, model, threshold=0.3, id_col=name["doc_id"], text_col=name["text"], keep=tuple(c for c in plain.columns if c != name["doc_id"]))
-    return kept.where("predicted = 1").select(*(F.col(name[c]).alias(c) for c in docs.columns))
+    return own_names(kept.where("predicted = 1"), name)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id in each component of near duplicates (five words, 0.8); repeated rows once."""
+    """The document of smallest id in each component of near duplicates (five words, 0.8).
+
+    Rows that are equal in every column stay once; rows of one id that differ
+    in any column, maps included, stay both. Texts without words are near
+    nothing; those of a null id are one document.
+    """
     groups = jaccard.jaccard_components(docs, size=5, percent=80)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns).dropDuplicates([c for c, kind in docs.dtypes if "map<" not in kind])
+    kept = stage(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct(), "kept")
+    plain, name = plain_names(docs)
+    rows = plain.join(kept, F.col(name["doc_id"]).eqNullSafe(F.col("kept"))).drop("kept")
+    # Maps cannot be compared; their entries in order can, or else what they read as.
+    kinds = {c: kind for c, kind in rows.dtypes if "map<" in kind or "variant" in kind}
+    as_text = {f"as_{c}": F.to_json(F.struct(F.array_sort(F.map_entries(c)) if kind.startswith("map<") and "map<" not in kind[4:] else F.col(c))) for c, kind in kinds.items()}
+    return own_names(rows.withColumns(as_text).dropDuplicates([c for c in rows.columns if c not in kinds] + list(as_text)), name)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; all rows of an id that does go. Null and empty texts hold none."""
     leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = stage(leaks.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = stage(leaks.select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+    plain, name = plain_names(docs)
+    return own_names(plain.join(leaks, F.col(name["doc_id"]).eqNullSafe(F.col("leak")), "left_anti"), name)
 
 
 def mixed_order(docs: DataFrame) -> DataFrame:
@@ -41,17 +65,18 @@ def mixed_order(docs: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: files and the rows in them follow the schedule."""
-    order = mixed_order(docs).toDF("_d", "_p")
-    last = order.agg(F.max("_p")).first()[0] or 0
+    """All documents in the order of the mix: files and the rows in them follow the schedule. Null sources are a source of their own."""
+    order = mixed_order(docs).toDF("mixed", "place")
+    last = order.agg(F.max("place")).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = F.expr(f"cast(_p * {parts} div {last + 1} as int)")
-    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return placed.repartitionById(parts, part).sortWithinPartitions("_p").select(*docs.columns)
+    plain, name = plain_names(docs)
+    placed = plain.join(order, F.col(name["doc_id"]).eqNullSafe(F.col("mixed")))
+    part = F.expr(f"cast(place * {parts} div {last + 1} as int)")
+    return own_names(placed.repartitionById(parts, part).sortWithinPartitions("place"), name)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shards of near equal bytes, cut from the mixed order; it is found again from the rows, so it does not matter how they come."""
+    """Shards of near equal bytes, cut from the mixed order; it is found again from the rows, so it does not matter how they come. Null texts count 8 bytes."""
     return sharding.shard_by_size(docs, SHARDS, order=mixed_order(docs))
 
 
