@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.queries import base, conversions, evaluation, extraction, flows, graphs, indexes, models, retrieval, tables, tasks, texts
+from lodestone.queries import base, conversions, evaluation, extraction, flows, graphs, indexes, models, retrieval, roundtrips, tables, tasks, texts
 
-MODULES = (texts, retrieval, graphs, evaluation, extraction, tables, models, flows, tasks, conversions, indexes)
+MODULES = (texts, retrieval, graphs, evaluation, extraction, tables, models, flows, tasks, conversions, indexes, roundtrips)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

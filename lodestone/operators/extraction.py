@@ -228,6 +228,28 @@ def pair_questions(entities: DataFrame, templates: DataFrame, gold: DataFrame |
     return out
 
 
+def triples_from_answers(questions: DataFrame, answer: str = "answer", key: str = "doc_key") -> DataFrame:
+    """(key, arg1, relation, arg2) of the pair questions whose answer says yes: its first word, whatever the case and the marks around it."""
+    first = F.regexp_extract(F.col(answer), r"^[^A-Za-z]*([A-Za-z]+)", 1)
+    return questions.where(F.lower(first) == "yes").select(key, "arg1", "relation", "arg2").distinct()
+
+
+def linking_demonstrations(candidates: DataFrame, gold: DataFrame, distractors: int = 2, key: str = "doc_key") -> DataFrame:
+    """(key, m_idx, options, answer): for each gold mention (key, m_idx, entity_id) its first candidates that are wrong, and the right one last.
+
+    ``candidates``: key, m_idx, entity_id, rank. A right entity that is not
+    among the candidates is not shown, and the answer is ``NA``.
+    """
+    right = gold.select(key, "m_idx", F.col("entity_id").alias("_gold"))
+    met = right.join(candidates.select(key, "m_idx", "entity_id", "rank"), [key, "m_idx"], "left")
+    is_gold = F.col("entity_id").eqNullSafe(F.col("_gold"))
+    wrong = F.when(~is_gold & F.col("entity_id").isNotNull(), F.struct("rank", "entity_id"))
+    lists = met.groupBy(key, "m_idx", "_gold").agg(F.array_sort(F.collect_list(wrong)).alias("_w"), F.coalesce(F.max(is_gold & F.col("entity_id").isNotNull()), F.lit(False)).alias("_found"))
+    shown = F.transform(F.slice("_w", 1, distractors), lambda x: x["entity_id"])
+    own = F.when(F.col("_found"), F.array("_gold")).otherwise(F.array().cast("array<string>"))
+    return lists.select(key, "m_idx", F.concat(shown, own).alias("options"), F.when(F.col("_found"), F.col("_gold")).otherwise("NA").alias("answer"))
+
+
 def distant_triples(occurrences: DataFrame, facts: DataFrame, key: str = "doc_key") -> DataFrame:
     """Every known relation of two entities that share a sentence. ``occurrences``: key, entity, sent_idx; ``facts``: head, relation, tail."""
     o = occurrences.select(key, "entity", "sent_idx").distinct()

@@ -81,11 +81,18 @@ def first_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.where("rank = 1").select("doc_key", "m_idx", "entity_id")
 
 
+def known_relations(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """The known facts (head, relation, tail) between two entities of a document; facts are met by their head, then held against the document's entities."""
+    inside = documents.select("doc_key", F.explode("entities.entity_id").alias("entity")).distinct()
+    met = inside.withColumnRenamed("entity", "head").join(facts.select("head", "relation", "tail").distinct(), "head").where("head <> tail")
+    return met.join(inside.withColumnRenamed("entity", "tail"), ["doc_key", "tail"], "left_semi").select("doc_key", "head", "relation", "tail")
+
+
 #: Mention recognition, candidate search, reranking, relation extraction and question answering.
 ner = Task("mention recognition", ("doc_key", "text"), ("doc_key", "m_idx", "name", "entity_type"), {"dictionary": dictionary_mentions})
 entity_search = Task("entity search", ("doc_key", "m_idx", "name"), ("doc_key", "m_idx", "entity_id", "score", "rank"), {"names": named_candidates})
 reranking = Task("entity reranking", ("doc_key", "m_idx", "entity_id", "score", "rank"), ("doc_key", "m_idx", "entity_id", "score", "rank"), {"identity": unchanged, "score": by_score})
-relations = Task("relation extraction", ("doc_key", "text", "entities"), ("doc_key", "head", "relation", "tail"))
+relations = Task("relation extraction", ("doc_key", "text", "entities"), ("doc_key", "head", "relation", "tail"), {"known": known_relations})
 
 
 def extract_triples(
@@ -131,3 +138,23 @@ def answers(
     prompt = extraction.assembled(template, question=F.col("question"), contexts=shown)
     out = extraction.generated(questions, prompt, generate)
     return out.withColumn("answer", parse(F.col("generated_text"))).drop("_c")
+
+
+class Evaluator:
+    """Scores predictions against gold rows that are read once and kept, and keeps what was asked and answered.
+
+    ``score``: (predictions, gold) to a DataFrame of scores. Below ``path`` the
+    gold rows are a table and each step's prompts and answers are JSON lines,
+    so that a later evaluator at the same path goes on with the same gold.
+    """
+
+    def __init__(self, gold: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], path: str):
+        self.path, self.score = path.rstrip("/"), score
+        gold.write.mode("ignore").parquet(f"{self.path}/gold")
+        self.gold = gold.sparkSession.read.schema(gold.schema).parquet(f"{self.path}/gold")
+
+    def evaluate(self, predictions: DataFrame, step: str, answers: DataFrame | None = None) -> DataFrame:
+        """The scores of a step's predictions. ``answers`` (prompt, generated_text and any key) are written out; a step that is run again replaces its own."""
+        if answers is not None:
+            answers.write.mode("overwrite").json(f"{self.path}/answers/step={step}")
+        return self.score(predictions, self.gold)

@@ -44,6 +44,11 @@ def relation_signatures(names: DataFrame, structure: DataFrame) -> DataFrame:
     return names.join(pairs, "relation", "left")
 
 
+def relations_of_pairs(triples: DataFrame) -> DataFrame:
+    """(head, tail, relations): each ordered pair with its sorted distinct relations."""
+    return triples.groupBy("head", "tail").agg(F.array_sort(F.collect_set("relation")).alias("relations"))
+
+
 def identifier_map(pairs: DataFrame, source: str, target: str) -> DataFrame:
     """source id, sorted distinct target ids."""
     return pairs.groupBy(source).agg(F.array_sort(F.collect_set(target)).alias(target + "s"))

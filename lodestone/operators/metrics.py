@@ -157,6 +157,16 @@ def _hits(found: DataFrame, gold: DataFrame, query: str, key: str) -> DataFrame:
     return found.join(rel, [query, key], "left").withColumn("_rel", F.coalesce("_rel", F.lit(0)))
 
 
+def without_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with equal keys one: what is left of a sorted list when each row that equals the one before is passed over."""
+    return rows.dropDuplicates(keys)
+
+
+def identified(rows: DataFrame, passages: DataFrame, key: str, identity: Column, name: str = "identity") -> DataFrame:
+    """``rows`` with what their passages count as (an expression over ``passages``) in place of the passages' key: equal texts, say, as one."""
+    return rows.join(passages.select(key, identity.alias(name)), key).drop(key)
+
+
 def precision_recall_at_k(found: DataFrame, gold: DataFrame, query: str, key: str, grid: tuple[int, ...] = K_GRID) -> DataFrame:
     """(k, precision, recall) with counts summed over queries; a passage counts once a query."""
     first = _hits(found, gold, query, key).groupBy(query, key).agg(F.min("rank").alias("rank"), F.max("_rel").alias("_rel"))

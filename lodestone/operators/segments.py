@@ -83,3 +83,9 @@ def document_statistics(mentions: DataFrame, relations: DataFrame, key: str = "d
     full = per.join(rel, key, "full").select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("mentions", "entities", "relations")))
     each = full.select(F.inline(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("n")) for c in ("mentions", "entities", "relations")))))
     return each.groupBy("kind").agg(F.sum("n").alias("total"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.min("n").alias("least"))
+
+
+def entities_per_split(mentions: DataFrame, split: Column, about: float | None = None) -> DataFrame:
+    """(split, entities, mentions): distinct entities and mentions of each split of a corpus; with ``about`` the entities within that relative error."""
+    entities = F.approx_count_distinct("entity_id", about) if about else F.countDistinct("entity_id")
+    return mentions.groupBy(split.alias("split")).agg(entities.alias("entities"), F.count(F.lit(1)).alias("mentions"))

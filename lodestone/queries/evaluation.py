@@ -250,6 +250,20 @@ def precision_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.precision_recall_at_k(found(spark, sf_dir), gold_contexts_of(spark, sf_dir), "item_id", "doc_id"))
 
 
+@query(
+    FOUND_SQL
+    + """, tx AS (SELECT doc_id, md5(text) AS x FROM documents), gx AS (SELECT DISTINCT item_id, x FROM gl JOIN tx USING (doc_id)),
+    fx AS (SELECT item_id, x, min(rank) AS rank FROM fd JOIN tx USING (doc_id) GROUP BY ALL), hx AS (SELECT fx.*, CASE WHEN gx.x IS NULL THEN 0 ELSE 1 END AS rel FROM fx LEFT JOIN gx USING (item_id, x))
+    SELECT k::INT AS k, round(100 * sum(rel) / count(*), 6) AS precision, round(100 * sum(rel) / (SELECT count(*) FROM gx), 6) AS recall
+    FROM hx, (SELECT unnest([1, 2, 4, 5, 8, 10, 16, 20, 30, 32, 50, 64, 100, 128]) AS k) WHERE rank <= k GROUP BY k"""
+)
+def precision_recall_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``precision_recall_at_k`` where passages of equal text are one."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    as_text = lambda rows: M.identified(rows, docs, "doc_id", F.md5("text"))
+    return _rounded(M.precision_recall_at_k(as_text(found(spark, sf_dir)), as_text(gold_contexts_of(spark, sf_dir)), "item_id", "identity"))
+
+
 @query(
     FOUND_SQL
     + """, ks AS (SELECT unnest([1, 2, 4, 5, 8, 10, 16, 20, 30, 32, 50, 64, 100, 128]) AS k),

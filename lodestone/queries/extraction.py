@@ -206,6 +206,17 @@ def pair_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.pair_questions(e, templates, gold, [("R", "A"), ("R", "N")], pairs.where("(arg1 + arg2) % 5 = 0"))
 
 
+@query(
+    """WITH e AS (SELECT l_orderkey AS d, l_partkey AS i, min(l_returnflag) AS ty FROM lineitem GROUP BY 1, 2), t(r) AS (VALUES ('r1'), ('r2'))
+    SELECT DISTINCT a.d AS doc_key, a.i AS arg1, r AS relation, b.i AS arg2
+    FROM e a JOIN e b ON a.d = b.d AND a.i <> b.i, t WHERE a.ty = 'R' AND b.ty <> 'R' AND (a.i + b.i) % 5 <> 0 AND r = 'r' || (a.i % 2 + 1) AND b.i > a.i"""
+)
+def triples_from_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triples that the yes-answers of ``pair_questions`` say, the answers in a generator's words."""
+    said = pair_questions(spark, sf_dir).withColumn("answer", F.when(F.col("answer") == "Yes", " **yes**, it is.").otherwise("No: yes would be wrong"))
+    return X.triples_from_answers(said)
+
+
 @query(
     f"""WITH {evaluation.REL_SQL}, f AS (SELECT DISTINCT h, r, t FROM g)
     SELECT DISTINCT a.d AS doc_key, f.h AS head, f.r AS relation, f.t AS tail FROM oc a JOIN f ON a.en = f.h JOIN oc b ON b.d = a.d AND b.s = a.s AND b.en = f.t"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import community, filters, graph, questions, reports
+from lodestone.operators import community, filters, graph, kb, metrics, questions, reports
 from lodestone.queries.base import query, table
 
 
@@ -89,6 +89,18 @@ def kg_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.undirected(triples(spark, sf_dir))
 
 
+@query(f"WITH {TRIPLES_SQL} SELECT head, tail, string_agg(DISTINCT relation, '|' ORDER BY relation) AS relations FROM t GROUP BY head, tail")
+def pair_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kb.relations_of_pairs(triples(spark, sf_dir))
+    return out.withColumn("relations", F.array_join("relations", "|"))
+
+
+@query(f"WITH {TRIPLES_SQL} SELECT DISTINCT head, relation, tail FROM (SELECT * FROM t UNION ALL SELECT * FROM t WHERE part = 1)")
+def triples_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triples(spark, sf_dir).select("head", "relation", "tail", "ingest")
+    return metrics.without_repeats(t.unionByName(t.where("ingest.part = 1")), ["head", "relation", "tail"]).drop("ingest")
+
+
 @query(f"WITH {TRIPLES_SQL} SELECT head, tail, arg_max(relation, part * 1000000000000 + pos) AS relation FROM t GROUP BY head, tail")
 def kg_simple_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.simple_directed(triples(spark, sf_dir))

@@ -61,8 +61,7 @@ def question_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {evaluation.GOLD_SQL} SELECT doc_id % 3 AS split, count(DISTINCT ent) AS entities, count(*) AS mentions FROM gold GROUP BY 1")
 def entities_per_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = evaluation.gold_mentions(spark, sf_dir)
-    return g.groupBy((F.col("doc_key") % 3).alias("split")).agg(F.countDistinct("entity_id").alias("entities"), F.count(F.lit(1)).alias("mentions"))
+    return segments.entities_per_split(evaluation.gold_mentions(spark, sf_dir), F.col("doc_key") % 3)
 
 
 @query(
