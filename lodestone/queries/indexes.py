@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.late_index import LateIndex
 from lodestone.operators.text_index import TextIndex
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans.staging import shared_dir
@@ -55,3 +56,13 @@ def query_stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = fresh_path(spark, "streams")
     S.query_stream(arriving, index, "item_id", 10, f"{where}/rows", f"{where}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{where}/rows").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def late_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``late_interaction_topk`` by a saved index: each embedding as four token vectors of sixteen places."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+    corpus = vectors(spark, sf_dir)[0].select("vec_id", parts.alias("tokens"))
+    index = LateIndex.build(corpus, "vec_id", "tokens", fresh_path(spark, "late-index"))
+    out = index.search(corpus.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), "query_id", "tokens", 10)
+    return out.select("query_id", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "rank")

@@ -93,7 +93,6 @@ def start_upserts(triples: DataFrame, path: str, initial: DataFrame | None = Non
     last ones stopped, and a batch that is run again writes nothing twice.
     """
     spark = triples.sparkSession
-    spark.conf.set(*STORE)
     known = None
     if initial is not None:
         known = appearances(initial)
@@ -101,9 +100,12 @@ def start_upserts(triples: DataFrame, path: str, initial: DataFrame | None = Non
             known.write.mode("overwrite").parquet(f"{path}/nodes/initial")
             edge_changes(initial).write.mode("overwrite").parquet(f"{path}/edges/initial")
     started = []
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)  # a query keeps the settings that it was started with
     for name, changes in (("nodes", node_changes(triples, known)), ("edges", edge_changes(triples))):
         writer = changes.writeStream.format("parquet").outputMode("append").option("path", f"{path}/{name}/stream").option("checkpointLocation", f"{path}/checkpoints/{name}")
         started.append(writer.trigger(**(trigger or {"availableNow": True})).start())
+    spark.conf.set(STORE[0], before) if before is not None else spark.conf.unset(STORE[0])
     return started
 
 

@@ -260,3 +260,29 @@ def test_index_queries(spark):
 
     asked = indexes.vectors(spark, SMALL)[1].count()
     assert indexes.vector_index_topk(spark, SMALL).count() == 10 * asked
+
+
+def test_late_index(spark, tmp_path, capsys):
+    """Recall at 10 against all passages, and the share of passages that was scored."""
+    from lodestone.operators.late_index import LateIndex
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16))
+    tokens = base[rng.integers(40, size=(1500, 4))] + 0.5 * rng.normal(size=(1500, 4, 16))
+    tokens = (tokens / np.linalg.norm(tokens, axis=2, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(tokens)] + [(9000, None), (9001, []), (9002, [[1.0], None])], "id int, v array<array<float>>")
+    LateIndex.build(df.where("id % 2 = 0"), "id", "v", str(tmp_path / "late"), metric="ip")
+    index = LateIndex(spark, str(tmp_path / "late"))
+    for _ in range(2):
+        index.append(df.where("id % 2 = 1"), "id", "v", "odd")
+    asked = df.where("id % 50 = 0 AND id < 1500").select(F.col("id").alias("q"), "v")
+    full = np.einsum("qid,pjd->qpij", tokens[::50], tokens).max(3).sum(2)
+    want = np.argsort(-full, axis=1, kind="stable")[:, :10]
+    rows = index.search(asked, "q", "v", 10).collect()
+    got = {(r["q"], r["key"]) for r in rows}
+    recall = np.mean([(50 * i, int(j)) in got for i, row in enumerate(want) for j in row])
+    share = index.candidates(asked, "q", "v", 256, 100).count() / (len(want) * 1500)
+    with capsys.disabled():
+        print(f"\nlate interaction: recall {recall:.3f}, {share:.3f} of the passages scored")
+    assert recall >= 0.9 and share < 0.1
+    assert all(abs(full[r["q"] // 50, r["key"]] - r["score"]) < 1e-4 for r in rows)
