@@ -70,7 +70,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     last = order.agg(F.max("place")).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain, name = plain_names(docs)
-    placed = plain.join(order, F.col(name["doc_id"]).eqNullSafe(F.col("mixed")))
+    # The order has a row for each document, so it is joined in the same way at every size.
+    placed = plain.join(order.hint("merge"), F.col(name["doc_id"]).eqNullSafe(F.col("mixed")))
     part = F.expr(f"cast(place * {parts} div {last + 1} as int)")
     return own_names(placed.repartitionById(parts, part).sortWithinPartitions("place"), name)
 
