@@ -43,7 +43,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = jaccard.jaccard_components(docs, size=5, percent=80)
     kept = stage(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct(), "kept")
     plain, name = plain_names(docs)
-    rows = plain.join(kept, F.col(name["doc_id"]).eqNullSafe(F.col("kept"))).drop("kept")
+    # One row for each group: joined in the same way at every size.
+    rows = plain.join(kept.hint("merge"), F.col(name["doc_id"]).eqNullSafe(F.col("kept"))).drop("kept")
     # Maps cannot be compared; their entries in order can, or else what they read as.
     kinds = {c: kind for c, kind in rows.dtypes if "map<" in kind or "variant" in kind}
     as_text = {f"as_{c}": F.to_json(F.struct(F.array_sort(F.map_entries(c)) if kind.startswith("map<") and "map<" not in kind[4:] else F.col(c))) for c, kind in kinds.items()}
