@@ -109,13 +109,13 @@ def edges_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(S.edge_stream(t), spark, "complete")
 
 
-def _upserted(spark: SparkSession, sf_dir: str) -> str:
-    """The graph of all triples where suppliers and nations are known beforehand and orders arrive as a stream."""
+def _upserted(spark: SparkSession, sf_dir: str, what: str) -> str:
+    """The nodes or the edges of all triples where suppliers and nations are known beforehand and orders arrive as a stream."""
     where = f"{shared_dir(spark)}/graphs/{uuid.uuid4().hex}"
     arriving = graph.ordered_triples(graphs.sold_of(_stream(spark, sf_dir, "lineitem")))
     known = graphs.existing(spark, sf_dir)
     known = graph.ordered_triples(known.withColumn("doc_key", F.lit(None).cast("string")).limit(0), known)
-    for q in U.start_upserts(arriving, where, known):
+    for q in U.start_upserts(arriving, where, known, what=(what,)):
         q.awaitTermination()
     return where
 
@@ -123,13 +123,13 @@ def _upserted(spark: SparkSession, sf_dir: str) -> str:
 @query(f"WITH {graphs.NODES_SQL} SELECT * FROM nodes")
 def kg_nodes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of ``kg_nodes``, upserted from a stream."""
-    return U.nodes_now(spark, _upserted(spark, sf_dir), graphs.dictionary(spark, sf_dir))
+    return U.nodes_now(spark, _upserted(spark, sf_dir, "nodes"), graphs.dictionary(spark, sf_dir))
 
 
 @query(f"WITH {graphs.EDGES_SQL} SELECT * FROM edges")
 def kg_edges_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of ``kg_edges``, upserted from a stream."""
-    return U.edges_now(spark, _upserted(spark, sf_dir))
+    return U.edges_now(spark, _upserted(spark, sf_dir, "edges"))
 
 
 @query(texts.CHUNKS_SQL + "SELECT count(*) AS chunks, sum(len(string_split(text, ' ')))::BIGINT AS words FROM chunks")
