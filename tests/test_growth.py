@@ -18,3 +18,65 @@ def test_upserts_start_what_is_asked(spark, tmp_path):
         assert "Pandas" not in "".join(q._jsq.explainInternal(False) for q in started)
     assert [r["doc_key_list"] for r in U.nodes_now(spark, str(tmp_path / "nodes")).collect()] == ["d", "d"]
     assert [r["doc_key_list"] for r in U.edges_now(spark, str(tmp_path / "edges")).collect()] == ["d"]
+
+
+def test_late_search(spark):
+    """Equal to scores of all pairs; pairs are never rows."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import retrieval as R
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, (int(rng.integers(1, 4)), 4)).astype(float).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, v array<array<double>>").repartition(3)
+    asked = df.where("id % 7 = 0").withColumnRenamed("id", "q")
+    got = R.late_search(df, asked, "id", "q", "v", 5, 4)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    plain = df.crossJoin(asked.withColumnRenamed("v", "w")).select("q", "id", R.max_similarity(F.col("w"), F.col("v")).alias("score"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.ranked(plain, "q", "id", 5).collect()))
+
+
+def test_best_entities(spark):
+    """The negatives from each task's best rows equal those from all pairs, with ties, copies of ids and odd vectors; pairs are no rows but for odd vectors."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import linking, retrieval as R
+
+    rng = np.random.default_rng(6)
+    rows = [(i % 290, rng.integers(-2, 3, 3).astype(float).tolist(), int(rng.integers(0, 40))) for i in range(300)]
+    rows += [(600, None, 3), (601, [1.0, float("nan"), 0.0], 41), (602, [1.0], 42), (603, [1.0, 1.0, 1.0], None), (604, [9.0, 9.0, 9.0], 5)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, e int").repartition(3)
+    asked = df.where("id % 7 = 0 OR id = 601").select(F.col("id").alias("q"), "v", F.col("e").alias("gold_id")).dropDuplicates(["q"])
+    got = linking.hard_negatives(R.best_entities(df.withColumnRenamed("id", "vec_id").withColumnRenamed("e", "entity_id"), asked, "vec_id", "q", "v", "entity_id", "gold_id", 5), "q", 5)
+    pairs = df.crossJoin(asked.withColumnRenamed("v", "w")).select("q", "gold_id", F.col("id").alias("vec_id"), F.col("e").alias("entity_id"), F.round(R.inner_product(F.col("w"), F.col("v")), 9).alias("score"))
+    want = linking.hard_negatives(pairs.where("vec_id <> q OR entity_id <> gold_id"), "q", 5)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_buckets_without_pairs(spark):
+    """LSH scores what shares a bucket without a join of pairs."""
+    from lodestone.operators import retrieval as R
+
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))], "id int, v array<double>")
+    asked = df.where("id % 9 = 0").withColumnRenamed("id", "q")
+    few = R.lsh_search(df, asked, "id", "q", "v", 200, bits=6, tables=1)
+    assert "Join" not in few._jdf.queryExecution().toString()
+    planes = np.random.default_rng(3).normal(size=(8, 6))
+    codes = {r["id"]: tuple(np.array(r["v"]) @ planes > 0) for r in df.collect()}
+    assert {(r["q"], r["id"]) for r in few.collect()} == {(q, i) for q in range(0, 200, 9) for i in codes if codes[i] == codes[q]}
+
+
+def test_best_is_bounded():
+    """Of many blocks some 2 k rows a query are held; ties at the last place go by key."""
+    from lodestone.operators.retrieval import Best
+
+    rng = np.random.default_rng(8)
+    s = rng.integers(0, 50, (6, 5000)).astype(float)
+    held, most = Best(6, 10), 0
+    for at in range(0, 5000, 100):
+        held.add(s[:, at : at + 100], np.arange(5000 - at, 4900 - at, -1))
+        most = max(most, held.held)
+    keys = np.arange(5000, 0, -1)
+    want = [(q, int(keys[c])) for q in range(6) for c in np.lexsort((keys, -s[q]))[:10]]
+    assert [(int(q), int(k)) for q, k in zip(*held.rows()[:2])] == want and most < 6 * 10 * 4 + 600
