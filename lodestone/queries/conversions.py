@@ -310,6 +310,5 @@ def late_interaction_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all rows for each query of the stated set (ids divisible by 50)."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
     corpus = table(spark, sf_dir, "embeddings").select("vec_id", parts.alias("tokens"))
-    asked = corpus.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("tokens").alias("_q"))
-    scored = corpus.crossJoin(asked).select("query_id", "vec_id", retrieval.max_similarity(F.col("_q"), F.col("tokens")).alias("score"))
-    return retrieval.ranked(scored, "query_id", "vec_id", 10).select("query_id", "vec_id", "rank")
+    asked = corpus.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return retrieval.late_search(corpus, asked, "vec_id", "query_id", "tokens", 10, 16).select("query_id", "vec_id", "rank")
