@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import extraction, multi_search
+from lodestone.plans.staging import stage
 
 Method = Callable[..., DataFrame]
 
@@ -82,10 +83,24 @@ def first_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def known_relations(documents: DataFrame, facts: DataFrame) -> DataFrame:
-    """The known facts (head, relation, tail) between two entities of a document; facts are met by their head, then held against the document's entities."""
+    """The known facts (head, relation, tail) between two entities of a document.
+
+    An entity that has fewer facts than the document has entities meets its
+    facts, which are held against the document's entities; others are paired
+    with these entities first, so that a hub's facts are not brought to every
+    document that names it.
+    """
+    facts = facts.select("head", "relation", "tail").distinct()
     inside = documents.select("doc_key", F.explode("entities.entity_id").alias("entity")).distinct()
-    met = inside.withColumnRenamed("entity", "head").join(facts.select("head", "relation", "tail").distinct(), "head").where("head <> tail")
-    return met.join(inside.withColumnRenamed("entity", "tail"), ["doc_key", "tail"], "left_semi").select("doc_key", "head", "relation", "tail")
+    tails = inside.withColumnRenamed("entity", "tail").join(facts.select("tail"), "tail", "left_semi")
+    each = facts.groupBy("head").agg(F.count(F.lit(1)).alias("_facts"))
+    heads = inside.withColumnRenamed("entity", "head").join(each, "head").join(tails.groupBy("doc_key").agg(F.count(F.lit(1)).alias("_tails")), "doc_key")
+    heads = stage(heads, "heads")
+    by_fact = heads.where("_facts < _tails").select("doc_key", "head").join(facts, "head").where("head <> tail")
+    by_fact = by_fact.join(tails, ["doc_key", "tail"], "left_semi").select("doc_key", "head", "relation", "tail")
+    by_pair = heads.where("_facts >= _tails").select("doc_key", "head").join(tails, "doc_key").where("head <> tail")
+    by_pair = by_pair.join(facts, ["head", "tail"]).select("doc_key", "head", "relation", "tail")
+    return by_fact.unionByName(by_pair)
 
 
 #: Mention recognition, candidate search, reranking, relation extraction and question answering.

@@ -80,3 +80,30 @@ def test_best_is_bounded():
     keys = np.arange(5000, 0, -1)
     want = [(q, int(keys[c])) for q in range(6) for c in np.lexsort((keys, -s[q]))[:10]]
     assert [(int(q), int(k)) for q, k in zip(*held.rows()[:2])] == want and most < 6 * 10 * 4 + 600
+
+
+def test_names_without_a_call_a_document(spark):
+    """Spans of one document are told apart across batches, without a group a document and without a join back to the words."""
+    from lodestone.operators import multi_search as P
+
+    docs = spark.createDataFrame([(f"d{i}", "a b c " * (i % 5)) for i in range(40)], "doc_key string, text string")
+    got = P.names_in_texts(docs, spark.createDataFrame([("a b",), ("b c",), ("c",)], "name string"))
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "Join" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = sorted(tuple(r) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows == sorted((f"d{i}", 3 * j + a, 3 * j + b, n) for i in range(40) for j in range(i % 5) for a, b, n in ((0, 2, "a b"), (2, 3, "c")))
+
+
+def test_hub_facts(spark):
+    """Facts of a hub and of a plain entity, in a small document and a large one, equal to the plain join."""
+    from lodestone.operators import facades
+
+    facts = [("h", "r", f"t{i}") for i in range(50)] + [("p", "s", "t1"), ("p", "s", "p"), ("t1", "r", "h")]
+    docs = {"x": ["h", "t3", "t4", "u"], "y": ["p", "t1", "h"] + [f"t{i}" for i in range(20, 90)], "z": []}
+    d = spark.createDataFrame([(k, "", [(e,) for e in v]) for k, v in docs.items()], "doc_key string, text string, entities array<struct<entity_id:string>>")
+    got = facades.known_relations(d, spark.createDataFrame(facts, "head string, relation string, tail string"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, *f) for k, v in docs.items() for f in facts if f[0] in v and f[2] in v and f[0] != f[2])
