@@ -107,3 +107,23 @@ def test_hub_facts(spark):
     d = spark.createDataFrame([(k, "", [(e,) for e in v]) for k, v in docs.items()], "doc_key string, text string, entities array<struct<entity_id:string>>")
     got = facades.known_relations(d, spark.createDataFrame(facts, "head string, relation string, tail string"))
     assert sorted(map(tuple, got.collect())) == sorted((k, *f) for k, v in docs.items() for f in facts if f[0] in v and f[2] in v and f[0] != f[2])
+
+
+def test_bm25_without_pairs(spark):
+    """The ranking equals that of all pairs' scores, with and without groups and fill; nulls and empty passages too."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import retrieval as R
+
+    rng = np.random.default_rng(9)
+    rows = [(i, [str(w) for w in rng.integers(0, 30, int(rng.integers(0, 12)))], [None, "a", "b", "c"][i % 4]) for i in range(400)] + [(1000, None, "a")]
+    p = spark.createDataFrame(rows, "id int, terms array<string>, g string").repartition(3)
+    q = spark.createDataFrame([(j, [str(w) for w in rng.integers(0, 32, 4)]) for j in range(6)] + [(9, ["none"]), (10, [])], "q int, terms array<string>")
+    best = R._bm25_best(p, q, "id", "q", 7, None)
+    assert best.count() <= 3 * 7 * 6 and "Aggregate" not in best._jdf.queryExecution().toString()
+    scored = R.bm25_scores(p, q, "id", "q", keep_zero=False)
+    shown = lambda df, *c: sorted((r["q"], r["id"], round(r["score"], 9), r["rank"]) for r in df.collect())
+    assert shown(R.bm25_search(p, q, "id", "q", 7, fill=False)) == shown(R.ranked(scored, "q", "id", 7))
+    assert shown(R.bm25_search(p, q, "id", "q", 7, group="g", fill=False)) == shown(R.ranked(scored.join(p.select("id", "g"), "id"), "q", "id", 7, group=F.col("g")))
+    every = q.select("q").crossJoin(p.select("id")).join(scored, ["q", "id"], "left").fillna(0.0, ["score"])
+    assert shown(R.bm25_search(p, q, "id", "q", 7)) == shown(R.ranked(every, "q", "id", 7))
