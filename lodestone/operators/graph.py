@@ -90,11 +90,27 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return out.union(back).where("node <> neighbour")
 
 
+#: Neighbours of one node that one task pairs with the others (fixed value).
+NODES_A_TASK = 512
+
+
 def two_hop(edges: DataFrame) -> DataFrame:
-    """Distinct (node, neighbour) two steps away, the node itself left out."""
+    """Distinct (node, neighbour) two steps away, the node itself left out.
+
+    The neighbours of a hub go in parts, each against all of them. Two nodes
+    can meet over several others only if both have several neighbours, so only
+    such pairs are looked at for repeats; the others are never shuffled.
+    """
     n = neighbours(edges).select("node", "neighbour").distinct()
-    far = n.toDF("mid", "far")
-    return n.join(far, F.col("neighbour") == F.col("mid")).where("node <> far").select("node", F.col("far").alias("neighbour")).distinct()
+    several = n.groupBy("node").agg((F.count(F.lit(1)) > 1).alias("several"))
+    held = n.groupBy("neighbour").agg(F.count(F.lit(1)).alias("_held"))
+    n = n.join(several, "node").join(held, "neighbour").withColumn("_parts", F.expr(f"cast(1 + (_held - 1) div {NODES_A_TASK} as int)"))
+    a = n.select("node", "neighbour", "several", F.expr("pmod(xxhash64(node), _parts)").cast("int").alias("_part"))
+    far = n.select(F.col("node").alias("far"), "neighbour", F.col("several").alias("_far"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    # By a shuffle: few bytes of nodes make many pairs, which need the tasks.
+    met = lambda x, y: x.hint("shuffle_hash").join(y, ["neighbour", "_part"]).where("node <> far").select("node", F.col("far").alias("neighbour"))
+    both = met(a.where("several"), far.where("_far")).distinct()
+    return both.union(met(a.where("NOT several"), far)).union(met(a.where("several"), far.where("NOT _far")))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

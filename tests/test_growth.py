@@ -127,3 +127,29 @@ def test_bm25_without_pairs(spark):
     assert shown(R.bm25_search(p, q, "id", "q", 7, group="g", fill=False)) == shown(R.ranked(scored.join(p.select("id", "g"), "id"), "q", "id", 7, group=F.col("g")))
     every = q.select("q").crossJoin(p.select("id")).join(scored, ["q", "id"], "left").fillna(0.0, ["score"])
     assert shown(R.bm25_search(p, q, "id", "q", 7)) == shown(R.ranked(every, "q", "id", 7))
+
+
+def test_two_hop_of_hubs(spark, monkeypatch):
+    """Hubs in parts, nodes that meet over several others once, equal to brute force; one neighbour needs no removal of repeats."""
+    import random
+
+    from lodestone.operators import graph
+
+    rng = random.Random(4)
+    monkeypatch.setattr(graph, "NODES_A_TASK", 3)
+    rows = [("hub", "r", f"s{i}") for i in range(20)] + [(f"e{rng.randrange(9)}", "r", f"e{rng.randrange(9)}") for _ in range(25)] + [("e1", "q", "hub"), ("s1", "r", "s1")]
+    near = {(a, b) for h, _, t in rows for a, b in ((h, t), (t, h)) if a != b}
+    got = [tuple(r) for r in graph.two_hop(spark.createDataFrame(rows, "head string, relation string, tail string")).collect()]
+    assert sorted(got) == sorted({(a, d) for a, b in near for c, d in near if b == c and a != d})
+
+
+def test_vectors_met_without_broadcast(spark, tmp_path):
+    """The candidates of a search, small in their files and large in memory, are not sent to the driver to be broadcast."""
+    from lodestone.operators.vector_index import VectorIndex
+
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(200)], "id int, v array<double>")
+    index = VectorIndex.build(df, "id", "v", str(tmp_path / "i"))
+    near = spark.createDataFrame([(0, 1, 0)], "n int, key int, list int")
+    plan = index._reranked(near, df.limit(1).selectExpr("id AS _q", "v AS _v").collect(), "q", df.schema["id"].dataType)
+    plan.collect()
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
