@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import neighbours
+from lodestone.plans.staging import stage
 
 
 def fill(template: Column, **values: Column) -> Column:
@@ -21,8 +27,12 @@ def entity_names(canonical: Column, synonyms: Column, mentioned: Column | None =
     return F.array_distinct(F.concat(*lists, *([mentioned] if mentioned is not None else [])))
 
 
-#: Nodes of one neighbour that one task pairs with the others (fixed value).
+#: Nodes in one row of a block of pairs at most, about (fixed value).
 NODES_A_TASK = 512
+#: Parts into which nodes are dealt, edges that make another part worth its while, and edges that a part holds at most, about: blocks of pairs are met in one task each.
+PARTS, EDGES_MORE, EDGES_A_PART = 16, 4096, 1 << 20
+#: Pairs by shared neighbour that a task holds at once, about.
+PAIRS_AT_ONCE = 1 << 20
 
 
 def neighbourhood(edges: DataFrame, templates: dict[str, str] | None = None, least: int = 2) -> DataFrame:
@@ -35,19 +45,90 @@ def neighbourhood(edges: DataFrame, templates: dict[str, str] | None = None, lea
     return out.select("node", "relation", fill(F.col("_t"), target=F.col("node")).alias("question"), "answers")
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (start, size), one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _lists(rows: pa.Table, names: pa.Array, hubs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and neighbours of the rows' edges as places among the names, and the nodes' numbers of neighbours."""
+    code = lambda values, of: pc.index_in(values, of).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(rows["nodes"]).to_numpy()
+    return code(pc.list_flatten(rows["nodes"]).combine_chunks(), names), np.repeat(code(rows["neighbour"].combine_chunks(), hubs), sizes), pc.list_flatten(rows["ns"]).to_numpy()
+
+
+def _met(rows: pa.Table, least: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of one block: nodes of part ``i`` with nodes of part ``j`` (rows with ``far``) that share ``least`` neighbours or more, each having others too."""
+    ordered = lambda values: (u := pc.unique(values.combine_chunks())).take(pc.sort_indices(u))
+    names, hubs = ordered(pc.list_flatten(rows["nodes"])), ordered(rows["neighbour"])
+    same = rows["i"][0].as_py() == rows["j"][0].as_py()
+    a, hub_a, n_a = _lists(rows if same else rows.filter(pc.invert(rows["far"])), names, hubs)
+    b, hub_b, n_b = (a, hub_a, n_a) if same else _lists(rows.filter(rows["far"]), names, hubs)
+    n = np.zeros(len(names), np.int64)
+    n[a], n[b] = n_a, n_b
+    by_hub = np.argsort(hub_b, kind="stable")
+    b, sizes = b[by_hub], np.bincount(hub_b, minlength=len(hubs))
+    first = np.cumsum(sizes) - sizes
+    by_node = np.argsort(a, kind="stable")
+    a, hub_a = a[by_node], hub_a[by_node]
+    pairs, starts = np.cumsum(sizes[hub_a]), np.flatnonzero(np.diff(a, prepend=-1))
+    node_bits, hub_bits = len(names).bit_length(), len(hubs).bit_length()
+    at = 0
+    while at < len(starts):
+        # Whole nodes, until there are enough pairs: a node's pairs are at most the far side's edges.
+        lo = starts[at]
+        upto = max(at + 1, int(np.searchsorted(starts, np.searchsorted(pairs, (pairs[lo - 1] if lo else 0) + at_once, "right"), "right")) - 1)
+        hi = starts[upto] if upto < len(starts) else len(a)
+        at = upto
+        x, hub, size = a[lo:hi] - a[lo], hub_a[lo:hi], sizes[hub_a[lo:hi]]
+        y = b[_ranges(first[hub], size)]
+        key = (((np.repeat(x, size) << node_bits) | y) << hub_bits) | np.repeat(hub, size)
+        if same:
+            key = key[np.repeat(x, size) + a[lo] < y]
+        key.sort()
+        pair = key >> hub_bits
+        heads = np.flatnonzero(np.diff(pair, prepend=-1))
+        k = np.diff(heads, append=len(pair))
+        x, y = (pair[heads] >> node_bits) + a[lo], pair[heads] & ((1 << node_bits) - 1)
+        kept = (k >= least) & (n[x] > k) & (n[y] > k)
+        if not kept.any():
+            continue
+        x, y, heads, k = x[kept], y[kept], heads[kept], k[kept]
+        shared = hubs.take(pa.array(key[_ranges(heads, k)] & ((1 << hub_bits) - 1)))
+        answers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), shared)
+        relation = pa.array([rows["relation"][0].as_py()]).take(pa.array(np.zeros(len(x), np.int64)))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(np.minimum(x, y))), names.take(pa.array(np.maximum(x, y))), relation, answers], ["node_a", "node_b", "relation", "answers"])
+
+
 def intersection(edges: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of nodes that share ``least`` neighbours under one relation, each having others too: node_a < node_b, relation, answers."""
+    """Pairs of nodes that share ``least`` neighbours under one relation, each having others too: node_a < node_b, relation, answers.
+
+    The nodes of a relation are dealt to parts. Each pair of parts is a block,
+    to which go the edges of both; its task meets them some nodes at a time,
+    so that pairs by shared neighbour are never rows.
+    """
     near = neighbours(edges).distinct()
-    size = near.groupBy("node", "relation").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    size = near.groupBy("node", "relation").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") > least)
     near = near.join(size, ["node", "relation"])
-    # The nodes of a neighbour that has many go in parts, each against all of them.
     held = near.groupBy("relation", "neighbour").agg(F.count(F.lit(1)).alias("_held")).where("_held > 1")
-    near = near.join(held, ["relation", "neighbour"]).withColumn("_parts", F.expr(f"cast(1 + (_held - 1) div {NODES_A_TASK} as int)"))
-    a = near.select(F.col("node").alias("node_a"), "relation", "neighbour", F.col("n").alias("n_a"), F.expr("pmod(xxhash64(node), _parts)").cast("int").alias("_part"))
-    b = near.select(F.col("node").alias("node_b"), "relation", "neighbour", F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    shared = a.join(b, ["relation", "neighbour", "_part"]).where("node_a < node_b").groupBy("node_a", "node_b", "relation", "n_a", "n_b").agg(F.array_sort(F.collect_list("neighbour")).alias("answers"))
-    k = F.size("answers")
-    return shared.where((k >= least) & (F.col("n_a") > k) & (F.col("n_b") > k)).select("node_a", "node_b", "relation", "answers")
+    near = stage(near.join(held, ["relation", "neighbour"]), "near")
+    parts = F.greatest(F.least(F.lit(PARTS), F.ceil(F.count(F.lit(1)) / EDGES_MORE)), F.ceil(F.count(F.lit(1)) / EDGES_A_PART)).cast("int")
+    near = near.join(F.broadcast(near.groupBy("relation").agg(parts.alias("_parts"))), "relation")  # one row per relation of the schema
+    # The nodes of a neighbour that has many go in several rows of a part.
+    row = F.pmod(F.xxhash64("node", F.lit(1)), 1 + F.floor(F.col("_held") / (F.col("_parts") * NODES_A_TASK)))
+    lists = near.groupBy("relation", "neighbour", "_parts", F.pmod(F.xxhash64("node"), "_parts").cast("int").alias("_p"), row.alias("_row")).agg(F.collect_list(F.struct("node", "n")).alias("_l"))
+    other = lists.select("relation", "neighbour", "_p", "_l", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_o"))
+    blocks = other.select(
+        "relation", F.least("_p", "_o").alias("i"), F.greatest("_p", "_o").alias("j"), (F.col("_p") > F.col("_o")).alias("far"), "neighbour", F.col("_l.node").alias("nodes"), F.col("_l.n").alias("ns")
+    )
+    at_once = PAIRS_AT_ONCE
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _met(pa.Table.from_batches(batches), least, at_once)
+
+    kind = near.schema["node"].dataType.simpleString()
+    return blocks.groupBy("relation", "i", "j").applyInArrow(meet, f"node_a {kind}, node_b {kind}, relation string, answers array<{kind}>")
 
 
 def two_hop(edges: DataFrame, least: int = 2) -> DataFrame:

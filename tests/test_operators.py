@@ -251,6 +251,17 @@ def test_intersections_with_hot_neighbours(spark, monkeypatch):
     assert got == intersections(edges)
 
 
+def test_intersections_in_blocks(spark, monkeypatch):
+    """Several parts, a few pairs at once, names whose order is not that of their numbers; pairs by shared neighbour are no rows."""
+    rng = random.Random(10)
+    for name, value in (("PARTS", 3), ("EDGES_MORE", 50), ("EDGES_A_PART", 200), ("PAIRS_AT_ONCE", 30), ("NODES_A_TASK", 4)):
+        monkeypatch.setattr(questions, name, value)
+    edges = [(f"s{rng.randrange(120)}", rng.choice("rq"), f"é{rng.randrange(90)}") for _ in range(900)] + [("a", None, "b"), ("a", "r", None), ("s1", "t", "s2"), ("s2", "t", "s1")]
+    found = questions.intersection(spark.createDataFrame(edges, "head string, relation string, tail string"))
+    assert {(r["node_a"], r["node_b"], r["relation"]): r["answers"] for r in found.collect()} == intersections([e for e in edges if None not in e])
+    assert "node_a" not in found._jdf.queryExecution().optimizedPlan().children().head().toString()
+
+
 def test_intersections_of_all_triples(spark, small):
     from lodestone.catalog import queries
     from lodestone.queries.graphs import triples
