@@ -153,3 +153,20 @@ def test_vectors_met_without_broadcast(spark, tmp_path):
     plan = index._reranked(near, df.limit(1).selectExpr("id AS _q", "v AS _v").collect(), "q", df.schema["id"].dataType)
     plan.collect()
     assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_by_kind_make_no_pairs(spark):
+    """Equal to the scores of the triples that ``intra_inter`` files under the kind; no join is by document alone."""
+    from lodestone.operators import metrics as M
+
+    rng = np.random.default_rng(8)
+    occ = spark.createDataFrame([(int(d), f"e{e}", int(s)) for d, e, s in zip(rng.integers(0, 9, 200), rng.integers(0, 8, 200), rng.integers(0, 12, 200))] + [(None, "e1", 1), (1, None, 2)], "doc_key int, entity string, sent_idx int")
+    made = lambda n: [(int(d), f"e{h}", ["r", "q", None][r], f"e{t}") for d, h, r, t in zip(rng.integers(0, 10, n), rng.integers(0, 9, n), rng.integers(0, 3, n), rng.integers(0, 9, n))]
+    pred, gold = (spark.createDataFrame(made(n) + [(None, "e1", "r", "e2"), (1, None, "r", "e2")], "doc_key int, head string, relation string, tail string") for n in (300, 400))
+    for kind in ("intra", "inter"):
+        pairs = M.intra_inter(occ).where(f"kind = '{kind}'")
+        only = lambda df: df.join(pairs, ["doc_key", "head", "tail"], "left_semi")  # noqa: B023, E731
+        got = M.relation_scores_by(pred, gold, occ, kind)
+        assert got.collect() == M.relation_scores(only(pred), only(gold)).collect() and got.first()["correct"] > 0
+        joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+        assert len(joins) == 2 and all("doc_key" in x and ("head" in x or "tail" in x) for x in joins)
