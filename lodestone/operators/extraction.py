@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import parsing, text as T
-from lodestone.operators.filters import entity_pairs
+from lodestone.operators.filters import dealt, entity_pairs
+from lodestone.plans.staging import stage
 
 
 class Scorer(Protocol):
@@ -208,6 +209,9 @@ def adaptive_labels(logits: Column, top_k: int = -1) -> Column:
 
 # Relations by rule
 
+#: Entities whose pairs one task takes, about (fixed value): what a task holds does not grow with the input.
+ENTITIES_A_TASK = 100_000
+
 
 def pair_questions(entities: DataFrame, templates: DataFrame, gold: DataFrame | None = None, types=None, excluded: DataFrame | None = None, key: str = "doc_key") -> DataFrame:
     """A yes/no question for every ordered pair of entities and every relation with a template.
@@ -216,16 +220,16 @@ def pair_questions(entities: DataFrame, templates: DataFrame, gold: DataFrame |
     template with ``@@@HEAD###`` and ``@@@TAIL###``. With ``gold`` (key, arg1,
     relation, arg2) an answer Yes or No is added.
     """
-    pairs = entity_pairs(entities, types, excluded, key)
-    name = lambda a, n: entities.select(key, F.col("e_idx").alias(a), F.col("name").alias(n))
-    out = pairs.join(name("arg1", "_h"), [key, "arg1"]).join(name("arg2", "_t"), [key, "arg2"])
-    out = out.crossJoin(F.broadcast(templates.select("relation", "template")))  # one row per relation of the schema
-    text = F.replace(F.replace(F.col("template"), F.lit("@@@HEAD###"), F.col("_h")), F.lit("@@@TAIL###"), F.col("_t"))
-    out = out.select(key, "arg1", "relation", "arg2", text.alias("question"))
+    entities = stage(entities, "entities")
+    pieces = 1 + entities.count() // ENTITIES_A_TASK
+    out = entity_pairs(entities, types, excluded, key, "name", pieces)
     if gold is not None:
-        known = gold.select(key, "arg1", "relation", "arg2").distinct().withColumn("_y", F.lit("Yes"))
-        out = out.join(known, [key, "arg1", "relation", "arg2"], "left").withColumn("answer", F.coalesce("_y", F.lit("No"))).drop("_y")
-    return out
+        known = dealt(gold.select(key, "arg1", "relation", "arg2"), key, pieces).groupBy(key, "arg1", "arg2").agg(F.collect_set("relation").alias("_known"))
+        out = out.join(known, [key, "arg1", "arg2"], "left")
+    out = out.crossJoin(F.broadcast(templates.select("relation", "template")))  # one row per relation of the schema
+    text = F.replace(F.replace(F.col("template"), F.lit("@@@HEAD###"), F.col("name1")), F.lit("@@@TAIL###"), F.col("name2"))
+    said = [F.when(F.array_contains("_known", F.col("relation")), "Yes").otherwise("No").alias("answer")] if gold is not None else []
+    return out.select(key, "arg1", "relation", "arg2", text.alias("question"), *said)
 
 
 def triples_from_answers(questions: DataFrame, answer: str = "answer", key: str = "doc_key") -> DataFrame:

@@ -72,22 +72,31 @@ def spans_within(spans: DataFrame, sentence_of: DataFrame, max_words: int = 10,
     return near.join(a, [key, "begin"]).join(b, [key, "end"]).where("_sb = _se").select(*spans.columns)
 
 
-def entity_pairs(entities: DataFrame, types: list[tuple[str, str]] | None = None, excluded: DataFrame | None = None, key: str = "doc_key") -> DataFrame:
+def entity_pairs(entities: DataFrame, types: list[tuple[str, str]] | None = None, excluded: DataFrame | None = None, key: str = "doc_key", beside: str | None = None, pieces: int | None = None) -> DataFrame:
     """Ordered pairs of different entities of a document: key, arg1, arg2 and their types.
 
     ``types`` restricts the pair of types; ``excluded`` (key, arg1, arg2)
-    takes out pairs in both directions.
+    takes out pairs in both directions. With ``beside`` the pairs carry that
+    column of both entities (with 1 and 2); they are dealt to ``pieces``.
     """
-    a = entities.select(key, F.col("e_idx").alias("arg1"), F.col("entity_type").alias("type1"))
-    b = entities.select(key, F.col("e_idx").alias("arg2"), F.col("entity_type").alias("type2"))
+    more = [beside] if beside else []
+    a = entities.select(key, F.col("e_idx").alias("arg1"), F.col("entity_type").alias("type1"), *(F.col(c).alias(f"{c}1") for c in more))
+    b = entities.select(key, F.col("e_idx").alias("arg2"), F.col("entity_type").alias("type2"), *(F.col(c).alias(f"{c}2") for c in more))
     pairs = a.join(b, key).where("arg1 <> arg2")
     if types is not None:
         allowed = [F.struct(F.lit(x), F.lit(y)) for x, y in types]
         pairs = pairs.where(F.struct("type1", "type2").isin(allowed)) if allowed else pairs.where(F.lit(False))
+    pairs = dealt(pairs, key, pieces)
     if excluded is not None:
-        both = excluded.select(key, "arg1", "arg2").union(excluded.select(key, F.col("arg2"), F.col("arg1")))
-        pairs = pairs.join(both, [key, "arg1", "arg2"], "left_anti")
-    return pairs.select(key, "arg1", "arg2", "type1", "type2")
+        ways = F.array(F.struct("arg1", "arg2"), F.struct(F.col("arg2").alias("arg1"), F.col("arg1").alias("arg2")))
+        both = excluded.select(key, F.inline(ways))
+        pairs = pairs.join(dealt(both, key, pieces), [key, "arg1", "arg2"], "left_anti")
+    return pairs.select(key, "arg1", "arg2", "type1", "type2", *(f"{c}{i}" for c in more for i in (1, 2)))
+
+
+def dealt(pairs: DataFrame, key: str, pieces: int | None) -> DataFrame:
+    """Pairs (key, arg1, arg2, ...) shuffled to so many partitions, where a join or an aggregation by them finds them; as they are without a number."""
+    return pairs.repartition(pieces, key, "arg1", "arg2") if pieces else pairs
 
 
 def drop_unlinked_mentions(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:

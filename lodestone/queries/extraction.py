@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import parsing, text as T
 from lodestone.operators import extraction as X
 from lodestone.operators import linking, metrics
+from lodestone.plans.staging import stage
 from lodestone.queries import evaluation
 from lodestone.queries.base import query, table
 
@@ -200,6 +201,7 @@ def span_greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     e = l.groupBy(F.col("l_orderkey").alias("doc_key"), F.col("l_partkey").alias("e_idx")).agg(F.min("l_returnflag").alias("entity_type")).withColumn("name", F.concat(F.lit("P"), "e_idx"))
+    e = stage(e, "pair-entities")
     pairs = e.select("doc_key", F.col("e_idx").alias("arg1")).join(e.select("doc_key", F.col("e_idx").alias("arg2")), "doc_key").where("arg2 > arg1")
     templates = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(r).alias("relation"), F.lit(t).alias("template")) for r, t in (("r1", "Is @@@HEAD### part of @@@TAIL###?"), ("r2", "Does @@@HEAD### use @@@TAIL###?"))))))
     gold = pairs.select("doc_key", "arg1", F.concat(F.lit("r"), F.col("arg1") % 2 + 1).alias("relation"), "arg2")

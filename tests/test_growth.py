@@ -170,3 +170,24 @@ def test_scores_by_kind_make_no_pairs(spark):
         assert got.collect() == M.relation_scores(only(pred), only(gold)).collect() and got.first()["correct"] > 0
         joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
         assert len(joins) == 2 and all("doc_key" in x and ("head" in x or "tail" in x) for x in joins)
+
+
+def test_pair_questions_in_pieces(spark, monkeypatch):
+    """Partitions of pairs grow with the entities; gold may repeat, and pairs are shuffled once."""
+    from lodestone.operators import extraction as X
+
+    monkeypatch.setattr(X, "ENTITIES_A_TASK", 20)
+    rng = np.random.default_rng(9)
+    ids = {(int(d), int(e)): "AB"[int(t)] for d, e, t in zip(rng.integers(0, 30, 150), rng.integers(0, 9, 150), rng.integers(0, 2, 150))}
+    e = spark.createDataFrame([(d, i, f"n{i}", t) for (d, i), t in ids.items()], "doc_key int, e_idx int, name string, entity_type string")
+    templates = spark.createDataFrame([("r", "@@@HEAD###-@@@TAIL###"), ("q", "@@@TAIL###")], "relation string, template string")
+    gold = [(d, a, "r", b) for d in range(30) for a in range(9) for b in range(9) if (a + b) % 3 == 0] * 2 + [(1, 1, None, 2)]
+    out = [(d, a, b) for d in range(30) for a in range(4) for b in range(a) if (a + b) % 2]
+    frames = spark.createDataFrame(gold, "doc_key int, arg1 int, relation string, arg2 int"), spark.createDataFrame(out, "doc_key int, arg1 int, arg2 int")
+    got = X.pair_questions(e, templates, frames[0], [("A", "B")], frames[1])
+    pairs = [(d, a, b) for (d, a), s in ids.items() for (f, b), t in ids.items() if d == f and a != b and (s, t) == ("A", "B") and (d, a, b) not in out and (d, b, a) not in out]
+    want = [(d, a, r, b, q, "Yes" if (d, a, r, b) in gold else "No") for d, a, b in pairs for r, q in (("r", f"n{a}-n{b}"), ("q", f"n{b}"))]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.rdd.getNumPartitions() == 1 + len(ids) // 20
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "Cross" not in x]
+    assert len(joins) == 3
