@@ -2,8 +2,9 @@
 
 Below one folder there are three tables, each with one partition a segment:
 ``passages`` (key, length, block), ``postings`` (a row for each term and
-block of at most BLOCK passages, with the passages, the largest frequency and
-the least length among them) and ``sums``. Nothing in a segment depends on the rest of the corpus, so more
+block of at most 64 passages, with the passages, the largest frequency and
+the least length among them; one without a term lists a block's passages) and
+``sums``. A block's postings lie in one file. Nothing in a segment depends on the rest of the corpus, so more
 segments can be added at any time: weights of terms and bounds of blocks are
 worked out from the sums at search time.
 """
@@ -11,7 +12,11 @@ worked out from the sums at search time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,51 @@ from lodestone.plans.staging import stage, unstage
 BLOCK_BITS = 6
 
 
+def _block(rows: pa.Table) -> pa.RecordBatch:
+    """The postings of one block's passages (block, key, len, terms), by term, and a row without a term for all its passages."""
+    keys, lens = rows["key"].combine_chunks(), rows["len"].to_numpy()
+    sizes = pc.fill_null(pc.list_value_length(rows["terms"]), 0).to_numpy()
+    words = pc.list_flatten(rows["terms"]).combine_chunks().dictionary_encode()
+    at = np.repeat(np.arange(len(lens)), sizes)
+    codes = pc.fill_null(words.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    terms = words.dictionary
+    order = pc.sort_indices(terms).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at, codes = at[codes >= 0], codes[codes >= 0]
+    pairs, tf = np.unique(place[codes] * len(lens) + at, return_counts=True)
+    term, at = pairs // len(lens), pairs % len(lens)
+    # The passages' own row comes last.
+    heads = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))
+    at, tf = np.append(at, np.arange(len(lens))), np.append(tf, np.zeros(len(lens), np.int64))
+    entries = pa.StructArray.from_arrays([keys.take(pa.array(at)), pa.array(tf, pa.int64()), pa.array(lens[at], pa.int32())], ["key", "tf", "len"])
+    offsets = np.append(heads, len(at))
+    columns = {
+        "term": pa.concat_arrays([terms.take(pa.array(order)), pa.nulls(1, terms.type)]),
+        "block": pa.array(np.full(len(heads), rows["block"][0].as_py()), pa.int64()),
+        "n": pa.array(np.diff(offsets), pa.int64()),
+        "most": pa.array(np.maximum.reduceat(tf, heads), pa.int64()),
+        "shortest": pa.array(np.minimum.reduceat(lens[at], heads), pa.int32()),
+        "entries": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of passages that come block by block."""
+    held: list[pa.RecordBatch] = []  # of the last block
+    for batch in batches:
+        block = batch["block"].to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and held[0]["block"][0].as_py() != block[lo]:
+                yield _block(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield _block(pa.Table.from_batches(held))
+
+
 class TextIndex:
     """A saved index; ``build`` makes one, ``TextIndex(spark, path)`` finds one again."""
 
@@ -49,17 +99,14 @@ class TextIndex:
         like = F.floor(F.log2(F.size("terms") + 1)).alias("_like")
         rows = rows.select("*", F.size("terms").alias("len"), like).repartitionByRange("_like", "key").sortWithinPartitions("_like", "key").drop("_like")
         block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)  # blocks do not span partitions
-        held = stage(rows.withColumn("block", block), "passages")
-        near = held.repartition("block")
-        tf = near.select("block", "key", "len", F.explode("terms").alias("term")).groupBy("block", "term", "key", "len").agg(F.count(F.lit(1)).alias("tf"))
-        postings = tf.groupBy("block", "term").agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.collect_list(F.struct("key", "tf", "len")).alias("entries")
-        )
-        postings = postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
-        postings.select("term", "block", "n", "most", "shortest", "entries").write.mode("overwrite").parquet(f"{self.path}/postings/segment={segment}")
+        # A block's postings are made where its passages were sorted, and stay in one file: words are shuffled once, with their passages.
+        made = rows.select(block.alias("block"), "key", "len", "terms").mapInArrow(_postings, self._postings_schema())
+        path = f"{self.path}/postings/segment={segment}"
+        made.write.mode("overwrite").parquet(path)
+        held = self.spark.read.schema(self._postings_schema()).parquet(path).where("term IS NULL").select("block", F.inline("entries"))
         held.select("key", "len", "block").write.mode("overwrite").parquet(f"{self.path}/passages/segment={segment}")
+        held = self.spark.read.schema(f"key {self.key_type}, len int, block bigint").parquet(f"{self.path}/passages/segment={segment}")
         held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("len").cast("bigint")), F.lit(0)).alias("total")).write.mode("overwrite").parquet(f"{self.path}/sums/segment={segment}")
-        unstage(held)
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(f"{schema}, segment string").parquet(f"{self.path}/{name}")
@@ -68,7 +115,10 @@ class TextIndex:
         return self._read("passages", f"key {self.key_type}, len int, block bigint")
 
     def postings(self) -> DataFrame:
-        return self._read("postings", f"term string, block bigint, n bigint, most bigint, shortest int, entries array<struct<key: {self.key_type}, tf: bigint, len: int>>")
+        return self._read("postings", self._postings_schema()).where("term IS NOT NULL")
+
+    def _postings_schema(self) -> str:
+        return f"term string, block bigint, n bigint, most bigint, shortest int, entries array<struct<key: {self.key_type}, tf: bigint, len: int>>"
 
     def _sums(self) -> tuple[int, float]:
         """Number of passages and their mean length."""
@@ -98,9 +148,12 @@ class TextIndex:
     def scores(self, weights: DataFrame, blocks: DataFrame, query: str) -> DataFrame:
         """(query, key, score) of all passages in the given blocks (query, segment, block) that hold a weighted term."""
         _, mean = self._sums()
-        need = blocks.select(query, "segment", "block").join(weights, query)
-        met = self.postings().select("term", "segment", "block", "entries").join(need, ["term", "segment", "block"])
-        each = met.select(query, "weight", "segment", "block", F.inline("entries"))
+        # Postings of weighted terms are shuffled by their block alone, where its passages' scores are summed too.
+        asked = weights.groupBy("term").agg(F.collect_list(F.struct(query, "weight")).alias("_asked"))
+        need = blocks.groupBy("segment", "block").agg(F.collect_set(query).alias("_need"))
+        met = self.postings().select("term", "segment", "block", "entries").join(asked, "term").join(need, ["segment", "block"])
+        wanted = F.filter("_asked", lambda x: F.array_contains("_need", x[query]))
+        each = met.select("segment", "block", "entries", F.inline(wanted)).select(query, "weight", "segment", "block", F.inline("entries"))
         part = self._part(F.col("weight"), F.col("tf"), F.col("len"), mean)
         return each.groupBy(query, "segment", "block", "key").agg(F.sum(part).alias("score")).select(query, "key", "score")
 

@@ -191,3 +191,26 @@ def test_pair_questions_in_pieces(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == 1 + len(ids) // 20
     joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "Cross" not in x]
     assert len(joins) == 3
+
+
+def test_postings_stay_with_their_block(spark, tmp_path):
+    """Postings equal those of an aggregation over words, with null and empty passages; all of a block lie in one file, and scores need no shuffle but by block."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.text_index import TextIndex
+
+    rng = np.random.default_rng(10)
+    rows = [(i, [f"w{int(w)}" for w in rng.integers(0, 40, int(rng.integers(0, 30)))]) for i in range(500)] + [(500, None), (501, ["é", None, "é"])]
+    df = spark.createDataFrame(rows, "id int, terms array<string>").repartition(3)
+    index = TextIndex.build(df, "id", str(tmp_path / "index"))
+    assert sorted((r["key"], r["len"]) for r in index.passages().collect()) == sorted((i, len(t or [])) for i, t in rows)
+    got = index.postings().select("term", F.inline("entries")).select("term", "key", "tf", "len").collect()
+    assert sorted(map(tuple, got)) == sorted((w, i, t.count(w), len(t)) for i, t in rows for w in set(t or []) - {None})
+    heads = index.postings().select("n", "most", "shortest", "entries").collect()
+    assert all((r["n"], r["most"], r["shortest"]) == (len(r["entries"]), max(e["tf"] for e in r["entries"]), min(e["len"] for e in r["entries"])) for r in heads)
+    files = index.postings().select("block", F.input_file_name().alias("f")).distinct().groupBy("block").count()
+    assert files.count() > 3 and files.where("count > 1").isEmpty()
+    asked = spark.createDataFrame([(1, ["w1", "w2"]), (2, ["w3"])], "q int, terms array<string>")
+    blocks = index.postings().select("segment", "block").distinct().crossJoin(asked.select("q"))
+    plan = index.scores(index.weights(asked, "q"), blocks, "q")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "key#" in x]
