@@ -214,3 +214,42 @@ def test_postings_stay_with_their_block(spark, tmp_path):
     blocks = index.postings().select("segment", "block").distinct().crossJoin(asked.select("q"))
     plan = index.scores(index.weights(asked, "q"), blocks, "q")._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "key#" in x]
+
+
+def test_turns_of_leiden(spark, monkeypatch):
+    """A small graph's turns are one task's, not tables; over tables, whatever the parts, they give the same rows, and so do ids that clash at first and repeated edges."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import leiden
+
+    rng = np.random.default_rng(9)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 90, (500, 2))]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    staged = []
+    monkeypatch.setattr(leiden, "stage", lambda df, label, stage=leiden.stage: (staged.append(label), stage(df, label))[1])
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(leiden.hierarchy(df, 10))
+    assert len(staged) <= 6  # some hundred before
+    assert rows(leiden.hierarchy(df.union(df.select("b", "a")).union(df), 10)) == want
+    monkeypatch.setattr(leiden, "EDGES_A_ROW", 50)
+    monkeypatch.setattr(leiden, "EDGES_A_PART", 300)
+    assert rows(leiden.hierarchy(df, 10, at_once=200)) == want
+    assert "leiden-moved" in staged
+    clash = lambda node, salt: F.xxhash64(node, F.lit(salt)) if salt > 1 else F.length(node).cast("long")
+    names, found = leiden._clustered(df.where("a <> b").withColumn("w", F.lit(1.0)), 1.0, 0, 1 << 17, clash)
+    assert names.count() == found.count() == names.select("id").distinct().count() == 90
+
+
+def test_turns_to_the_end(spark):
+    """Over tables to the end: the same sets as in one task, and hashes as Spark's."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import leiden
+
+    edges = [(f"n{i}", f"n{j}", 1.0) for k in range(0, 12, 4) for i in range(k, k + 4) for j in range(i + 1, k + 4)] + [("n0", "n4", 1.0), ("n9", "n9", 2.0)]
+    df = spark.createDataFrame(edges, "a string, b string, w double")
+    sets = lambda df, c: {frozenset(r["s"]) for r in df.groupBy(c).agg(F.collect_list("node").alias("s")).collect()}
+    a, b = leiden.cluster(df), leiden.cluster(df, at_once=-1)
+    assert sets(a, "community") == sets(b, "community") and sets(a, F.col("merged")[1]) == sets(b, F.col("merged")[1])
+    x = spark.range(50).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(7)).alias("t")).toPandas()
+    assert (leiden._hash(x["h"].to_numpy(), 7) == x["t"].to_numpy()).all()
