@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as T
 from lodestone.operators import extraction, multi_search
 from lodestone.plans.staging import stage
 
@@ -52,17 +51,17 @@ def dictionary_mentions(documents: DataFrame, dictionary: DataFrame) -> DataFram
 
     A name of several types gives a mention for each.
     """
-    named = dictionary.select(F.array_join(T.words(F.col("name")), " ").alias("name"), "entity_type").distinct()
-    found = multi_search.names_in_texts(documents, named).join(named, "name")
-    nth = F.row_number().over(Window.partitionBy("doc_key").orderBy("start", "entity_type")) - 1
-    return found.select("doc_key", nth.alias("m_idx"), "start", "end", "name", "entity_type")
+    found = multi_search.numbered_names(documents, dictionary.select("name", F.col("entity_type").alias("kind")))
+    return found.select("doc_key", F.col("nth").alias("m_idx"), "start", "end", "name", F.col("kind").alias("entity_type"))
 
 
 def named_candidates(mentions: DataFrame, dictionary: DataFrame, k: int = 10) -> DataFrame:
-    """The first ``k`` entities whose name equals the mention's, by entity id, all with score 1."""
-    met = mentions.select("doc_key", "m_idx", "name").join(dictionary.select("name", "entity_id").distinct(), "name")
-    rank = F.row_number().over(Window.partitionBy("doc_key", "m_idx").orderBy("entity_id"))
-    return met.select("doc_key", "m_idx", "entity_id", F.lit(1.0).alias("score"), rank.alias("rank")).where(F.col("rank") <= k)
+    """The first ``k`` entities whose name equals the mention's, by entity id, all with score 1, and the mention's type where it has one."""
+    # The rank is the name's, whoever mentions it.
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("entity_id"))
+    first = dictionary.select("name", "entity_id").where("name IS NOT NULL").distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+    kept = [c for c in ("doc_key", "m_idx", "entity_type") if c in mentions.columns]
+    return mentions.select(*kept, "name").join(first, "name").select(*kept, "entity_id", F.lit(1.0).alias("score"), "rank")
 
 
 def unchanged(candidates: DataFrame) -> DataFrame:
@@ -90,11 +89,12 @@ def known_relations(documents: DataFrame, facts: DataFrame) -> DataFrame:
     with these entities first, so that a hub's facts are not brought to every
     document that names it.
     """
-    facts = facts.select("head", "relation", "tail").distinct()
-    inside = documents.select("doc_key", F.explode("entities.entity_id").alias("entity")).distinct()
-    tails = inside.withColumnRenamed("entity", "tail").join(facts.select("tail"), "tail", "left_semi")
-    each = facts.groupBy("head").agg(F.count(F.lit(1)).alias("_facts"))
-    heads = inside.withColumnRenamed("entity", "head").join(each, "head").join(tails.groupBy("doc_key").agg(F.count(F.lit(1)).alias("_tails")), "doc_key")
+    facts = stage(facts.select("head", "relation", "tail").where("head <> tail").distinct(), "facts")
+    ends = facts.select(F.inline(F.array(F.struct(F.col("head").alias("entity"), F.lit(1).alias("n"), F.lit(0).alias("t")), F.struct(F.col("tail").alias("entity"), F.lit(0).alias("n"), F.lit(1).alias("t")))))
+    known = ends.groupBy("entity").agg(F.sum("n").alias("_facts"), (F.max("t") == 1).alias("_tail"))
+    inside = stage(documents.select("doc_key", F.explode("entities.entity_id").alias("entity")).distinct().join(known, "entity"), "inside")
+    tails = inside.where("_tail").select("doc_key", F.col("entity").alias("tail"))
+    heads = inside.where("_facts > 0").select("doc_key", F.col("entity").alias("head"), "_facts").join(tails.groupBy("doc_key").agg(F.count(F.lit(1)).alias("_tails")), "doc_key")
     heads = stage(heads, "heads")
     by_fact = heads.where("_facts < _tails").select("doc_key", "head").join(facts, "head").where("head <> tail")
     by_fact = by_fact.join(tails, ["doc_key", "tail"], "left_semi").select("doc_key", "head", "relation", "tail")
@@ -121,10 +121,16 @@ def extract_triples(
 
     ``relate`` gets a row a document: doc_key, text and entities (a sorted list
     of entity_id, entity_type and the numbers of its mentions); documents
-    without linked mentions have an empty list.
+    without linked mentions have an empty list. Candidates that carry the
+    mentions' entity_type need not be joined to the mentions again.
     """
     mentions = recognize(documents)
-    linked = mentions.join(first_candidates(rerank(search(mentions))), ["doc_key", "m_idx"])
+    linked = rerank(search(mentions)).where("rank = 1")
+    if "entity_type" not in linked.columns:
+        mentions = stage(mentions, "mentions")  # read twice
+        linked = mentions.join(first_candidates(rerank(search(mentions))), ["doc_key", "m_idx"])
+    # Dealt by document, which serves both groupings and the join.
+    linked = linked.select("doc_key", "entity_id", "entity_type", "m_idx").repartition("doc_key")
     entities = linked.groupBy("doc_key", "entity_id").agg(F.min("entity_type").alias("entity_type"), F.array_sort(F.collect_list("m_idx")).alias("mentions"))
     lists = entities.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("entity_id", "entity_type", "mentions"))).alias("entities"))
     held = documents.select("doc_key", "text").join(lists, "doc_key", "left")

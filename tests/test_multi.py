@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import facades, metrics as M, multi_search as P
@@ -55,6 +56,32 @@ def test_a_large_dictionary(spark):
     assert sorted((r["start"], r["end"], r["name"]) for r in got) == [(2, 4, "name 77"), (8, 10, "name 5")]
 
 
+def test_a_text_is_read_once_for_all_names(spark, monkeypatch):
+    """Names of one to six words held against a filter, in a full one too, equal brute force; texts do not pass a part of the names at a time."""
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefé") + rng.choice("xy")
+    names = sorted({" ".join(word() for _ in range(rng.choice([1, 2, 2, 3, 6]))) for _ in range(60)})
+    kinds = {tuple(n.split()): sorted({None, "K"} if i % 5 == 0 else {f"K{i % 3}", "K"}, key=lambda k: k or "") for i, n in enumerate(names)}
+    texts = [(i, "\t".join(word() for _ in range(rng.choice([0, 1, 5, 200])))) for i in range(50)] + [(90, None), (91, " "), (92, "ax by " * 20_000)]
+    docs = spark.createDataFrame(texts, "doc_key int, text string").repartition(3)
+    known = spark.createDataFrame([(" ".join(n), k) for n, ks in kinds.items() for k in ks], "name string, kind string")
+    want = []
+    for key, text in texts:
+        words, at, nth = (text or "").split(), 0, 0
+        while at < len(words):
+            best = max((n for n in range(1, 7) if at + n <= len(words) and tuple(words[at : at + n]) in kinds), default=0)
+            for k in kinds[tuple(words[at : at + best])] if best else ():
+                want.append((key, at, at + best, " ".join(words[at : at + best]), nth, k))
+                nth += 1
+            at += best or 1
+    monkeypatch.setattr(P, "_places", lambda *_: pytest.fail("texts passed through automata"))
+    monkeypatch.setattr(P, "TEXT_CHARS", 300)
+    order = lambda rows: sorted(rows, key=lambda r: (*r[:5], r[5] or ""))
+    for bits in (1 << 27, 8):
+        monkeypatch.setattr(P, "FILTER_BITS", bits)
+        assert order(map(tuple, P.numbered_names(docs, known, part_chars=100).collect())) == order(want)
+
+
 def test_overlapping_spans(spark):
     rng = random.Random(2)
 
