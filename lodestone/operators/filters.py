@@ -72,6 +72,12 @@ def spans_within(spans: DataFrame, sentence_of: DataFrame, max_words: int = 10,
     return near.join(a, [key, "begin"]).join(b, [key, "end"]).where("_sb = _se").select(*spans.columns)
 
 
+def within_sentences(spans: Column, sentence_of: Column, max_words: int = 10) -> Column:
+    """``spans_within`` for a document's spans (array of struct begin, end) and the sentence of each of its tokens (array), which need no shuffle."""
+    there = lambda i: F.get(sentence_of, i.cast("int"))
+    return F.filter(spans, lambda s: (s["end"] - s["begin"] <= max_words) & (there(s["begin"]) == there(s["end"])))
+
+
 def entity_pairs(entities: DataFrame, types: list[tuple[str, str]] | None = None, excluded: DataFrame | None = None, key: str = "doc_key", beside: str | None = None, pieces: int | None = None) -> DataFrame:
     """Ordered pairs of different entities of a document: key, arg1, arg2 and their types.
 

@@ -80,9 +80,11 @@ def merged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PLACED_SQL}, sp AS (SELECT doc_id, token AS b, token + length(w) % 14 AS e FROM tk) SELECT sp.doc_id AS doc_key, b AS begin, e AS \"end\" FROM sp JOIN tk x ON x.doc_id = sp.doc_id AND x.token = b JOIN tk y ON y.doc_id = sp.doc_id AND y.token = e WHERE e - b <= 10 AND x.sent_idx = y.sent_idx")
 def spans_within_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = placed_tokens(spark, sf_dir)
-    spans = t.select("doc_key", F.col("token").alias("begin"), (F.col("token") + F.length("w") % 14).alias("end"))
-    return filters.spans_within(spans, t.select("doc_key", "token", "sent_idx")).select("doc_key", "begin", "end")
+    """A document is one row, its tokens' lengths and sentences are arrays."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), F.transform(T.sentences(F.col("text")), lambda s: F.transform(T.words(s), F.length)).alias("n"))
+    d = d.select("doc_key", F.flatten("n").alias("lengths"), F.flatten(F.transform("n", lambda s, i: F.array_repeat(i, F.size(s)))).alias("sentence_of"))
+    spans = F.transform("lengths", lambda n, i: F.struct(i.cast("bigint").alias("begin"), (i + n % 14).cast("bigint").alias("end")))
+    return d.select("doc_key", F.inline(filters.within_sentences(spans, F.col("sentence_of"))))
 
 
 @query(
