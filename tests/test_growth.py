@@ -253,3 +253,39 @@ def test_turns_to_the_end(spark):
     assert sets(a, "community") == sets(b, "community") and sets(a, F.col("merged")[1]) == sets(b, F.col("merged")[1])
     x = spark.range(50).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(7)).alias("t")).toPandas()
     assert (leiden._hash(x["h"].to_numpy(), 7) == x["t"].to_numpy()).all()
+
+
+def test_spans_of_a_document_are_not_shuffled(spark, small):
+    """Spans are held against the sentences of their own document's row."""
+    from pyspark.sql import functions as F
+
+    from lodestone import catalog
+    from lodestone.operators import filters
+
+    plan = catalog.queries()["spans_within_sentences"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    spans = [(0, 1), (1, 3), (2, 12), (3, 14), (2, 2), (13, 15), (-1, 0), (5, 4)]
+    sentences = [0, 0, *[1] * 12]
+    d = spark.createDataFrame([(spans, sentences)], "s array<struct<begin:int,end:int>>, o array<int>")
+    got = d.select(F.inline(filters.within_sentences(F.col("s"), F.col("o")))).collect()
+    assert [tuple(r) for r in got] == [(0, 1), (2, 12), (2, 2), (5, 4)]
+
+
+def test_names_do_not_multiply_triples(spark):
+    """Scores without known facts join lists of names: rows are multiplied only once alike triples are one."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import metrics as M
+
+    names = [(d, e, f"{e}{n}") for d in (1, 2, 3) for e in ("a", "b", "c") for n in range(3)] + [(3, "a", None)]
+    n = spark.createDataFrame(names, "doc_key int, entity string, name string")
+    g = spark.createDataFrame([(1, "a", "r", "b"), (2, "a", "r", "b"), (2, "b", "s", "c"), (3, "c", "r", "a"), (3, "x", "r", "a"), (None, "a", "r", "b")] * 2, "doc_key int, head string, relation string, tail string")
+    facts = spark.createDataFrame([("a2", "r", "b0"), ("a1", "r", "b1"), ("c0", "s", "b0")], "head_name string, relation string, tail_name string")
+    r = M.unseen_relation_scores(g, g, n, facts).first()
+    assert (r["pred"], r["gold"], r["correct"], r["correct_known"]) == (6, 6, 5, 2)
+    assert M.named_facts(g, n).count() == 9 + 9 + 12
+    assert M._with_names(g, n, "doc_key").count() == 8  # the rows of triples with named ends, each once
+    e = F.array(F.lit(0), F.lit(0), F.lit(1))
+    o = M.official_scores(g.withColumn("evidences", e), g.withColumn("evidences", F.array(F.lit(1), F.lit(2))), n, facts).first()
+    assert (o["pred"], o["gold"], o["correct"], o["correct_known"]) == (6, 6, 5, 2)
+    assert round(o["evidence_f1"], 6) == round(100 * 2 * (5 / 12) * (5 / 12) / (5 / 12 + 5 / 12), 6)
