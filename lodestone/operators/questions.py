@@ -27,8 +27,8 @@ def entity_names(canonical: Column, synonyms: Column, mentioned: Column | None =
     return F.array_distinct(F.concat(*lists, *([mentioned] if mentioned is not None else [])))
 
 
-#: Nodes in one row of a block of pairs at most, about (fixed value).
-NODES_A_TASK = 512
+#: Nodes of one side of a block that a task meets at once at most (fixed value).
+NODES_A_TASK = 1 << 16
 #: Parts into which nodes are dealt, edges that make another part worth its while, and edges that a part holds at most, about: blocks of pairs are met in one task each.
 PARTS, EDGES_MORE, EDGES_A_PART = 16, 4096, 1 << 20
 #: Pairs by shared neighbour that a task holds at once, about.
@@ -51,20 +51,50 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _lists(rows: pa.Table, names: pa.Array, hubs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes and neighbours of the rows' edges as places among the names, and the nodes' numbers of neighbours."""
-    code = lambda values, of: pc.index_in(values, of).to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = pc.list_value_length(rows["nodes"]).to_numpy()
-    return code(pc.list_flatten(rows["nodes"]).combine_chunks(), names), np.repeat(code(rows["neighbour"].combine_chunks(), hubs), sizes), pc.list_flatten(rows["ns"]).to_numpy()
+def _ordered(values: pa.Array) -> pa.Array:
+    return (u := pc.unique(values)).take(pc.sort_indices(u))
 
 
-def _met(rows: pa.Table, least: int, at_once: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of one block: nodes of part ``i`` with nodes of part ``j`` (rows with ``far``) that share ``least`` neighbours or more, each having others too."""
-    ordered = lambda values: (u := pc.unique(values.combine_chunks())).take(pc.sort_indices(u))
-    names, hubs = ordered(pc.list_flatten(rows["nodes"])), ordered(rows["neighbour"])
+def _codes(values: pa.Array, of: pa.Array) -> np.ndarray:
+    return pc.index_in(values, of).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _packed(nodes: pa.Array, neighbours: pa.Array, ns: np.ndarray) -> bytes:
+    """The edges of a part, and each node's number of neighbours: every name once, edges by node as steps between their neighbours' places, compressed."""
+    names, hubs = _ordered(nodes), _ordered(neighbours)
+    a, hub = _codes(nodes, names), _codes(neighbours, hubs)
+    order = np.lexsort((hub, a))
+    n = np.zeros(len(names), np.int32)
+    n[a] = ns
+    columns = [names, pa.array(n), pa.array(np.bincount(a, minlength=len(names)).astype(np.int32)), hubs, pa.array(np.diff(hub[order], prepend=0).astype(np.int32))]
+    row = pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["names", "n", "edges", "hubs", "steps"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(part: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Names, their numbers of neighbours, the edges' nodes and neighbours as places, and the neighbours' names."""
+    row = pa.ipc.open_stream(part).read_all()
+    names, n, edges, hubs, steps = (row[c].combine_chunks().flatten() for c in ("names", "n", "edges", "hubs", "steps"))
+    return names, n.to_numpy(), np.repeat(np.arange(len(names)), edges.to_numpy()), hubs, np.cumsum(steps.to_numpy(), dtype=np.int64)
+
+
+def _met(rows: pa.Table, least: int, at_once: int, nodes_at_once: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of one block: nodes of part ``i`` with nodes of part ``j`` (the row with ``far``) that share ``least`` neighbours or more, each having others too."""
     same = rows["i"][0].as_py() == rows["j"][0].as_py()
-    a, hub_a, n_a = _lists(rows if same else rows.filter(pc.invert(rows["far"])), names, hubs)
-    b, hub_b, n_b = (a, hub_a, n_a) if same else _lists(rows.filter(rows["far"]), names, hubs)
+    if not same and len(rows) < 2:
+        return
+    sides = [_unpacked(r["part"]) for r in sorted(rows.select(["far", "part"]).to_pylist(), key=lambda r: r["far"])]
+    names, hubs = (_ordered(pa.concat_arrays([s[c] for s in sides])) for c in (0, 3))
+
+    def placed(side: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = _codes(side[0], names)
+        return at[side[2]], _codes(side[3], hubs)[side[4]], side[1][side[2]]
+
+    a, hub_a, n_a = placed(sides[0])
+    b, hub_b, n_b = (a, hub_a, n_a) if same else placed(sides[1])
     n = np.zeros(len(names), np.int64)
     n[a], n[b] = n_a, n_b
     by_hub = np.argsort(hub_b, kind="stable")
@@ -78,7 +108,7 @@ def _met(rows: pa.Table, least: int, at_once: int) -> Iterator[pa.RecordBatch]:
     while at < len(starts):
         # Whole nodes, until there are enough pairs: a node's pairs are at most the far side's edges.
         lo = starts[at]
-        upto = max(at + 1, int(np.searchsorted(starts, np.searchsorted(pairs, (pairs[lo - 1] if lo else 0) + at_once, "right"), "right")) - 1)
+        upto = max(at + 1, min(at + nodes_at_once, int(np.searchsorted(starts, np.searchsorted(pairs, (pairs[lo - 1] if lo else 0) + at_once, "right"), "right")) - 1))
         hi = starts[upto] if upto < len(starts) else len(a)
         at = upto
         x, hub, size = a[lo:hi] - a[lo], hub_a[lo:hi], sizes[hub_a[lo:hi]]
@@ -104,9 +134,9 @@ def _met(rows: pa.Table, least: int, at_once: int) -> Iterator[pa.RecordBatch]:
 def intersection(edges: DataFrame, least: int = 2) -> DataFrame:
     """Pairs of nodes that share ``least`` neighbours under one relation, each having others too: node_a < node_b, relation, answers.
 
-    The nodes of a relation are dealt to parts. Each pair of parts is a block,
-    to which go the edges of both; its task meets them some nodes at a time,
-    so that pairs by shared neighbour are never rows.
+    The nodes of a relation are dealt to parts, whose edges are packed. Each
+    pair of parts is a block, to which go both; its task meets them some nodes
+    at a time, so that pairs by shared neighbour are never rows.
     """
     near = neighbours(edges).distinct()
     size = near.groupBy("node", "relation").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") > least)
@@ -115,17 +145,22 @@ def intersection(edges: DataFrame, least: int = 2) -> DataFrame:
     near = stage(near.join(held, ["relation", "neighbour"]), "near")
     parts = F.greatest(F.least(F.lit(PARTS), F.ceil(F.count(F.lit(1)) / EDGES_MORE)), F.ceil(F.count(F.lit(1)) / EDGES_A_PART)).cast("int")
     near = near.join(F.broadcast(near.groupBy("relation").agg(parts.alias("_parts"))), "relation")  # one row per relation of the schema
-    # The nodes of a neighbour that has many go in several rows of a part.
-    row = F.pmod(F.xxhash64("node", F.lit(1)), 1 + F.floor(F.col("_held") / (F.col("_parts") * NODES_A_TASK)))
-    lists = near.groupBy("relation", "neighbour", "_parts", F.pmod(F.xxhash64("node"), "_parts").cast("int").alias("_p"), row.alias("_row")).agg(F.collect_list(F.struct("node", "n")).alias("_l"))
-    other = lists.select("relation", "neighbour", "_p", "_l", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_o"))
-    blocks = other.select(
-        "relation", F.least("_p", "_o").alias("i"), F.greatest("_p", "_o").alias("j"), (F.col("_p") > F.col("_o")).alias("far"), "neighbour", F.col("_l.node").alias("nodes"), F.col("_l.n").alias("ns")
-    )
-    at_once = PAIRS_AT_ONCE
+    dealt = near.select("relation", F.pmod(F.xxhash64("node"), "_parts").cast("int").alias("_p"), "_parts", "node", "neighbour", "n")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        first = t.slice(0, 1)
+        part = _packed(t["node"].combine_chunks(), t["neighbour"].combine_chunks(), t["n"].to_numpy())
+        yield pa.RecordBatch.from_arrays([first[c].combine_chunks() for c in ("relation", "_p", "_parts")] + [pa.array([part], pa.binary())], ["relation", "_p", "_parts", "part"])
+
+    # A part is packed once; its copies for the blocks are a few bytes an edge.
+    packed = stage(dealt.groupBy("relation", "_p").applyInArrow(pack, "relation string, _p int, _parts int, part binary"), "parts")
+    other = packed.select("relation", "_p", "part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_o"))
+    blocks = other.select("relation", F.least("_p", "_o").alias("i"), F.greatest("_p", "_o").alias("j"), (F.col("_p") > F.col("_o")).alias("far"), "part")
+    at_once, nodes_at_once = PAIRS_AT_ONCE, NODES_A_TASK
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _met(pa.Table.from_batches(batches), least, at_once)
+        yield from _met(pa.Table.from_batches(batches), least, at_once, nodes_at_once)
 
     kind = near.schema["node"].dataType.simpleString()
     return blocks.groupBy("relation", "i", "j").applyInArrow(meet, f"node_a {kind}, node_b {kind}, relation string, answers array<{kind}>")

@@ -277,6 +277,24 @@ def test_answer_kinds(spark):
     assert got == [[("a", "list", 0), ("b", "list", 0), ("c", "list", 1)], [("i", "summary", 0)]]
 
 
+def test_parts_are_packed():
+    """The edges of a part take a few bytes each and come out as they went in."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import questions
+
+    rng = np.random.default_rng(1)
+    edges = np.unique(rng.integers(0, [300, 3_000], (60_000, 2)), axis=0)
+    rng.shuffle(edges)
+    nodes, hubs = pa.array([f"S{a}" for a in edges[:, 0]]), pa.array([f"P{b}" for b in edges[:, 1]])
+    part = questions._packed(nodes, hubs, edges[:, 0] % 7)
+    assert len(part) < 4 * len(edges)
+    names, n, a, held, b = questions._unpacked(part)
+    assert sorted(zip(names.take(pa.array(a)).to_pylist(), held.take(pa.array(b)).to_pylist(), strict=True)) == sorted(zip(nodes.to_pylist(), hubs.to_pylist(), strict=True))
+    assert all(k == int(s[1:]) % 7 for s, k in zip(names.to_pylist(), n, strict=True))
+
+
 def test_python_lists(spark):
     assert spark.range(1).select(kb.python_list(F.lit("""['a', "b's", 'c\\'d']""")).alias("x")).first()[0] == ["a", "b's", "c'd"]
 
